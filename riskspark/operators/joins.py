@@ -1,0 +1,25 @@
+"""Join helpers that keep broadcasts behind a size check."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def fits_broadcast(df: DataFrame, max_rows: int) -> bool:
+    """True when ``df`` has at most ``max_rows`` rows.
+
+    ``limit(max_rows + 1).count()`` stops reading after the bound, so the check
+    stays cheap however big ``df`` is.
+    """
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
+def bounded_broadcast(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
+    """Mark ``df`` for broadcast only when its row count is proven small.
+
+    Beyond the bound the frame is returned unchanged and Catalyst/AQE pick a
+    shuffle join (AQE still turns it into a broadcast at run time if the
+    measured size is under ``spark.sql.autoBroadcastJoinThreshold``).
+    """
+    return F.broadcast(df) if fits_broadcast(df, max_rows) else df
