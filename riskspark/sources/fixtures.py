@@ -108,7 +108,7 @@ GAUGE_COLUMNS: list[tuple[str, str]] = [
     ("mode", "case user_id % 4 when 0 then 'idle' when 1 then 'user' when 2 then 'iowait' else 'system' end"),
     ("dimension", "case when event_id % 2 = 0 then 'read_bytes_per_sec' else 'write_bytes_per_sec' end"),
     ("ts", "cast(ts as timestamp)"),
-    ("value", "value"),
+    ("value", "cast(floor(value * 100) as double)"),
     ("event_id", "event_id"),
 ]
 
@@ -254,11 +254,6 @@ def quantities_sql() -> str:
 # --------------------------------------------------------------------------
 # File listings, ledgers, topics.
 # --------------------------------------------------------------------------
-FILES_EXPR = [
-    ("run", "concat('run_', date_format_month)"),
-]
-
-
 def run_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """File table (topic, run, file, rows, bytes, mtime): run = ship month,
     file = supplier key mod 8; topic by file number."""
