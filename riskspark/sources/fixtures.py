@@ -202,12 +202,13 @@ TELEMETRY_LINE = (
     "' | ram_percent=', cast(event_id % 100 as {s}), "
     "' | fraud_blocked=', cast(event_id % 7 as {s}), "
     "' | cpu_tps=', cast(event_id % 1000 as {s})) end")
-TELEMETRY_LOG = "concat('pod-', cast(user_id % 3 as {s}))"
+TELEMETRY_LOG = "'pipeline_report'"
 
 
 def telemetry_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Log lines (log, line_no, line); most carry a [TELEMETRY] record, every
-    13th is a plain log line and every 97th has a bad number."""
+    """Log lines (log, line_no, line) of one report file, numbered without gaps;
+    most carry a [TELEMETRY] record, every 13th is a plain log line and every
+    97th has a bad number."""
     ev = _read(spark, sf_dir, "events")
     return ev.selectExpr(f"{TELEMETRY_LOG.format(s='string')} as log", "event_id as line_no",
                          f"{TELEMETRY_LINE.format(s='string')} as line")
@@ -316,3 +317,17 @@ def queue_limits_sql() -> str:
         for r in QUEUE_LIMITS)
     return (f"select topic, cast(warning as bigint) as warning, cast(critical as bigint) as critical, action "
             f"from (values {rows}) t(topic, warning, critical, action)")
+
+
+METRICS_LINE = ("case when event_id % 3 = 0 then concat('METRICS: Rows=', cast(event_id * 10 as {s}), ' | Time=', "
+                "cast(user_id as {s}), '.', cast(event_id % 100 as {s}), 's | Throughput=', cast(cast(floor(value * 100) as bigint) as {s}), "
+                "'.', cast(event_id % 10 as {s}), ' rows/s') else concat('METRICS: CPU=', cast(user_id % 16 as {s}), '.0 Cores') end")
+
+
+def metrics_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Final summary lines: ``METRICS: Rows=.. | Time=..s | Throughput=.. rows/s`` and CPU lines."""
+    return _read(spark, sf_dir, "events").selectExpr("event_id as line_no", f"{METRICS_LINE.format(s='string')} as line")
+
+
+def metrics_lines_sql() -> str:
+    return f"select event_id as line_no, {METRICS_LINE.format(s='varchar')} as line from events"
