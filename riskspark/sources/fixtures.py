@@ -331,3 +331,47 @@ def metrics_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def metrics_lines_sql() -> str:
     return f"select event_id as line_no, {METRICS_LINE.format(s='varchar')} as line from events"
+
+
+# --------------------------------------------------------------------------
+# Transactions as text with bad values, and replayed batches.
+# --------------------------------------------------------------------------
+TEXT_TX = [
+    ("trans_key", "cast(trans_key as {s})"),
+    ("unix_time", "cast(unix_time as {s})"),
+    ("cc_num", "cast(cc_num as {s})"),
+    ("category", "case when trans_key % 307 = 0 then null else category end"),
+    ("amt", "case when trans_key % 211 = 0 then 'x' else cast(amt as {s}) end"),
+    ("state", "state"),
+]
+
+
+def tx_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transactions as strings (as a text feed delivers them): every 211th
+    amount is not a number and every 307th category is missing."""
+    return tx(spark, sf_dir).selectExpr(*[f"{e.format(s='string')} as {a}" for a, e in TEXT_TX])
+
+
+def tx_text_sql() -> str:
+    return "select " + ", ".join(f"{e.format(s='varchar')} as {a}" for a, e in TEXT_TX) + " from tx"
+
+
+def tx_replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transactions with a republished batch: rows with trans_key % 20 = 0 appear twice."""
+    t = tx(spark, sf_dir)
+    return t.unionByName(t.where(F.col("trans_key") % 20 == 0))
+
+
+TX_REPLAYED_SQL = "select * from tx union all select * from tx where trans_key % 20 = 0"
+
+
+def tx_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scored transactions cut into daily batches (batch_id = day number) with
+    the batch's end time, as a scorer would see them."""
+    t = tx(spark, sf_dir)
+    b = F.floor(F.col("unix_time") / 86400)
+    return t.withColumn("batch_id", b).withColumn("batch_ts", F.timestamp_seconds((b + 1) * 86400))
+
+
+TX_BATCHES_SQL = ("select *, floor(unix_time / 86400) as batch_id, "
+                  "make_timestamp(cast((floor(unix_time / 86400) + 1) * 86400 as bigint) * 1000000) as batch_ts from tx")
