@@ -39,4 +39,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _load_all() -> None:
-    from . import q_risk, q_features, q_series, q_samples, q_text, q_sources, q_ml, q_pressure  # noqa: F401
+    from . import q_risk, q_features, q_series, q_samples, q_text, q_sources, q_ml, q_pressure, q_streams  # noqa: F401
