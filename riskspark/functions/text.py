@@ -36,6 +36,23 @@ def _last_value(entries: Column, key: str) -> Column:
     return F.when(F.size(hits) > 0, F.element_at(hits, -1)["value"])
 
 
+PART_RE = r"(?:^|\|) *([^=|]*?) *=([^|]*)"
+
+
+def key_value_arrays(clean: Column) -> tuple[Column, Column]:
+    """Names and values of the ``name=value`` parts of a tag-free line, newest
+    part first.  One forward regex scan per array; a part's name is the text
+    before its first '=', spaces trimmed."""
+    return (F.reverse(F.regexp_extract_all(clean, F.lit(PART_RE), 1)),
+            F.reverse(F.regexp_extract_all(clean, F.lit(PART_RE), 2)))
+
+
+def key_value(names: Column, values: Column, key: str) -> Column:
+    """Value of the last part named ``key`` (later parts overwrite earlier ones), or null."""
+    pos = F.array_position(names, F.lit(key))
+    return F.when(pos > 0, F.trim(F.element_at(values, pos.cast("int"))))
+
+
 def parse_telemetry(df: DataFrame, line: str = "line", keep: list[str] | None = None,
                     with_extra: bool = False) -> DataFrame:
     """Typed telemetry records from log lines.
@@ -47,13 +64,24 @@ def parse_telemetry(df: DataFrame, line: str = "line", keep: list[str] | None =
     ``extra`` (map) when ``with_extra``.
     """
     parsed = _parse(df, line, keep, with_extra)
-    return parsed.where(~F.col("_bad")).drop("_bad")
+    return keep_rows(parsed, ~F.col("_bad"), [c for c in parsed.columns if c != "_bad"])
 
 
 def bad_telemetry(df: DataFrame, line: str = "line", keep: list[str] | None = None) -> DataFrame:
     """Tagged lines that did not parse, with their text."""
     parsed = _parse(df, line, (keep or []) + [line], False)
-    return parsed.where(F.col("_bad")).select(*(keep or []), line)
+    return keep_rows(parsed, F.col("_bad"), [*(keep or []), line])
+
+
+def keep_rows(df: DataFrame, cond: Column, cols: list[str]) -> DataFrame:
+    """Rows where ``cond`` holds, as a generator instead of a filter.
+
+    A filter on a parsed column is pushed below the projection and would
+    re-evaluate the parsing expressions once per reference; a generator is
+    a barrier for that rewrite, so each line is parsed once.
+    """
+    one = F.when(cond, F.array(F.struct(*[F.col(c) for c in cols])))
+    return df.select(F.explode(one).alias("_r")).select("_r.*")
 
 
 def _parse(df: DataFrame, line: str, keep: list[str] | None, with_extra: bool) -> DataFrame:
@@ -65,23 +93,32 @@ def with_telemetry(df: DataFrame, line: str = "line", keep: list[str] | None = N
     """Parsed record columns for every line (null for untagged lines) plus
     ``_bad`` (tagged line with a value that does not parse)."""
     keep = [k for k in (keep or []) if k in df.columns]
-    d = df.select(*keep, *([] if line in keep else [line]),
-                  F.when(F.instr(F.col(line), TAG) > 0, telemetry_entries(F.col(line))).alias("_e"))
+    tagged = F.instr(F.col(line), TAG) > 0
+    clean = F.regexp_replace(F.col(line), r"\[TELEMETRY\]", "")
+    names, values = key_value_arrays(clean)
+    d = df.select(*keep, *([] if line in keep else [line]), tagged.alias("_tagged"),
+                  F.when(tagged, names).alias("_k"), F.when(tagged, values).alias("_v"))
+    typed_keys = [*[(k, "bigint") for k in INT_KEYS], *[(k, "double") for k in FLOAT_KEYS]]
+    # one projection per step: each raw string and each cast is computed once
+    # and read by reference afterwards (CollapseProject keeps non-cheap
+    # expressions that are read more than once in their own projection)
+    d = d.select(*keep, *([] if line in keep else [line]), "_tagged", *(["_k", "_v"] if with_extra else []),
+                 *[key_value(F.col("_k"), F.col("_v"), k).alias(f"_raw_{k}") for k in TEXT_KEYS + [k for k, _ in typed_keys]])
+    d = d.select("*", *[F.col(f"_raw_{k}").try_cast(t).alias(f"_typed_{k}") for k, t in typed_keys])
     out = [F.col(k) for k in keep]
     bad = F.lit(False)
     for k in TEXT_KEYS:
-        out.append(_last_value(F.col("_e"), k).alias(k))
-    for k, typ in [*[(k, "bigint") for k in INT_KEYS], *[(k, "double") for k in FLOAT_KEYS]]:
-        raw = _last_value(F.col("_e"), k)
-        val = raw.try_cast(typ)
-        bad = bad | (raw.isNotNull() & val.isNull())
-        out.append(val.alias(k))
+        out.append(F.col(f"_raw_{k}").alias(k))
+    for k, _ in typed_keys:
+        bad = bad | (F.col(f"_raw_{k}").isNotNull() & F.col(f"_typed_{k}").isNull())
+        out.append(F.col(f"_typed_{k}").alias(k))
     if with_extra:
+        d = d.withColumn("_e", F.when(tagged, telemetry_entries(F.col(line))))
         known = F.array(*[F.lit(k) for k in TEXT_KEYS + INT_KEYS + FLOAT_KEYS])
         others = F.filter(F.col("_e"), lambda e: ~F.array_contains(known, e["key"]))
         out.append(F.map_from_arrays(F.transform(others, lambda e: e["key"]),
                                      F.transform(others, lambda e: e["value"])).alias("extra"))
-    return d.select(*out, (F.col("_e").isNotNull() & bad).alias("_bad"))
+    return d.select(*out, (F.col("_tagged") & bad).alias("_bad"))
 
 
 def emit_telemetry(stage: Column, status: Column, rows: Column, throughput: Column, elapsed: Column,
