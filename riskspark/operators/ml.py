@@ -55,7 +55,7 @@ def ordered_split(df: DataFrame, fraction: float = 0.2, keys: Sequence[str] = ("
     if n_test <= 0:
         return d.drop("_split_h"), d.limit(0).drop("_split_h")
     cut = kth_cut(d, order, n_train)
-    below, at = below_cut(order, cut), at_cut(order, cut)
+    below, at = below_cut(d, order, cut), at_cut(d, order, cut)
     n_at = d.where(at).count()
     if cut.take >= n_at:
         train, test = d.where(below | at), d.where(~(below | at))

@@ -13,6 +13,8 @@ order + limit for a small, fixed n.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -162,25 +164,20 @@ def state_rank(df: DataFrame, k: int = 8) -> DataFrame:
 CONCENTRATION_ORDER = [SCORE, "unix_time", "trans_key", "amt"]
 
 
-def _top_k_flagged_amount(df: DataFrame, k: int, threshold: float) -> tuple[Column, float]:
-    """Condition for rows strictly inside the top ``k`` by score (desc, tie keys desc),
-    plus the flagged amount of the boundary rows that also belong to it."""
-    keys = df.select(*[(-F.col(c).cast("double") if c == "amt" else -F.col(c)).alias(f"_k{i}")
-                       for i, c in enumerate(CONCENTRATION_ORDER)])
+def _top_k_flagged_amount(df: DataFrame, k: int, threshold: float) -> tuple[DataFrame, Decimal]:
+    """Rows strictly inside the top ``k`` by score (desc, tie keys desc) get
+    ``_top`` = true; also returns the flagged amount of the boundary rows that
+    belong to the top k (rows equal in every order key are interchangeable)."""
     names = [f"_k{i}" for i in range(len(CONCENTRATION_ORDER))]
-    cut = kth_cut(keys, names, k)
+    keyed = df.select("*", *[(-F.col(c).cast("double") if c == "amt" else -F.col(c)).alias(n)
+                             for c, n in zip(CONCENTRATION_ORDER, names)])
+    cut = kth_cut(keyed, names, k)
     if cut is None:
-        return F.lit(False), 0.0
-    neg = [(-F.col(c).cast("double") if c == "amt" else -F.col(c)) for c in CONCENTRATION_ORDER]
-    cond = None
-    for i in range(len(neg) - 1, -1, -1):
-        here = neg[i] < F.lit(cut.key[i])
-        if cond is not None:
-            here = here | ((neg[i] == F.lit(cut.key[i])) & cond)
-        cond = here
-    boundary_score, boundary_amt = -cut.key[0], -cut.key[3]
-    extra = cut.take * boundary_amt if boundary_score >= threshold else 0.0
-    return cond, extra
+        return keyed.withColumn("_top", F.lit(False)), Decimal(0)
+    boundary_score = -cut.key[0]
+    boundary_amt = Decimal(repr(-cut.key[3])).quantize(Decimal("0.01"))  # amt is money with 2 decimals
+    extra = cut.take * boundary_amt if boundary_score >= threshold else Decimal(0)
+    return keyed.withColumn("_top", below_cut(keyed, names, cut)), extra
 
 
 def risk_concentration(df: DataFrame, p: float = 0.01, threshold: float = FRAUD_THRESHOLD) -> DataFrame:
@@ -192,14 +189,14 @@ def risk_concentration(df: DataFrame, p: float = 0.01, threshold: float = FRAUD_
     """
     n = df.count()
     k = max(1, int(n * p)) if n else 0
-    inside, extra = _top_k_flagged_amount(df, k, threshold) if k else (F.lit(False), 0.0)
-    agg = df.agg(money_sum("amt", flagged(threshold)).alias("fraud_amount"),
-                 money_sum("amt", flagged(threshold) & inside).alias("_top"))
+    marked, extra = _top_k_flagged_amount(df, k, threshold) if k else (df.withColumn("_top", F.lit(False)), Decimal(0))
+    top_dec = F.coalesce(F.sum(F.when(flagged(threshold) & F.col("_top"), F.col("amt").cast(MONEY))), F.lit(0).cast(MONEY))
+    agg = marked.agg(money_sum("amt", flagged(threshold)).alias("fraud_amount"),
+                     (top_dec + F.lit(extra).cast("decimal(38,2)")).cast("double").alias("top_fraud_amount"))
     return agg.select(
-        F.lit(k).cast("bigint").alias("top_count"),
-        (F.col("_top") + F.lit(extra)).alias("top_fraud_amount"), "fraud_amount",
+        F.lit(k).cast("bigint").alias("top_count"), "top_fraud_amount", "fraud_amount",
         F.when(F.col("fraud_amount") > 0,
-               (F.col("_top") + F.lit(extra)) / F.greatest(F.lit(1.0), F.col("fraud_amount")) * 100)
+               F.col("top_fraud_amount") / F.greatest(F.lit(1.0), F.col("fraud_amount")) * 100)
          .otherwise(F.lit(0.0)).alias("concentration_pct"))
 
 

@@ -134,10 +134,20 @@ def _search(keys: DataFrame, cols: list[str], k: int, accuracy: int, prefix: lis
     return Cut(key=tuple(prefix), take=remaining)
 
 
-def below_cut(cols: Sequence[str], cut: Cut) -> Column:
-    """Rows strictly below the cut's key."""
-    return _lex_less(cols, cut.key)
+def key_struct(df: DataFrame, cols: Sequence[str]) -> Column:
+    return F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(cols)])
 
 
-def at_cut(cols: Sequence[str], cut: Cut) -> Column:
-    return _lex_equal(cols, cut.key)
+def _key_literal(df: DataFrame, cols: Sequence[str], key: Sequence) -> Column:
+    types = dict((f.name, f.dataType) for f in df.schema.fields)
+    return F.struct(*[F.lit(v).cast(types[c]).alias(f"k{i}") for i, (c, v) in enumerate(zip(cols, key))])
+
+
+def below_cut(df: DataFrame, cols: Sequence[str], cut: Cut) -> Column:
+    """Rows strictly below the cut's key: one struct comparison (lexicographic),
+    which the optimizer keeps as a single predicate."""
+    return key_struct(df, cols) < _key_literal(df, cols, cut.key)
+
+
+def at_cut(df: DataFrame, cols: Sequence[str], cut: Cut) -> Column:
+    return key_struct(df, cols) == _key_literal(df, cols, cut.key)
