@@ -229,3 +229,48 @@ def fraud_split(df: DataFrame, threshold: float = FRAUD_THRESHOLD) -> DataFrame:
     """Flagged rows vs the rest (never negative)."""
     one = df.agg(count_if(flagged(threshold)).alias("fraud"), F.count(F.lit(1)).cast("bigint").alias("n"))
     return one.select("fraud", F.greatest(F.lit(0), F.col("n") - F.col("fraud")).cast("bigint").alias("legit"))
+
+
+def business_kpis(df: DataFrame, threshold: float = FRAUD_THRESHOLD, eval_threshold: float = 0.5,
+                  label: str = "is_fraud", batch_seconds: int = 86400) -> DataFrame:
+    """The dashboard's KPI row from scored rows: exposure, volume, flagged
+    count, precision/recall/FPR at the evaluation threshold, fraud rate,
+    alerts per million, high-risk rate, projected savings, band counts,
+    concentration, and fraud velocity per minute over the newest batch window
+    (flagged rows of the last ``batch_seconds`` of event time / minutes)."""
+    s = business_summary(df, threshold)
+    pred = F.col(SCORE) > eval_threshold
+    y = F.col(label) == 1
+    band = risk_band(SCORE)
+    newest = df.agg(F.max("unix_time")).first()[0]
+    start = (newest // batch_seconds) * batch_seconds if newest is not None else 0
+    one = df.agg(
+        count_if(pred & y).alias("_tp"), count_if(pred & ~y).alias("_fp"),
+        count_if(~pred & y).alias("_fn"), count_if(~pred & ~y).alias("_tn"),
+        count_if(band == "low").alias("risk_low"), count_if(band == "medium").alias("risk_medium"),
+        count_if(band == "high").alias("risk_high"),
+        count_if(flagged(threshold) & (F.col("unix_time") >= F.lit(start))).alias("_last_flagged"))
+    tp, fp, fn, tn = (F.col(c).cast("double") for c in ("_tp", "_fp", "_fn", "_tn"))
+    one = one.select(
+        F.when(tp + fp > 0, tp / (tp + fp)).otherwise(F.lit(0.0)).alias("precision_at_threshold"),
+        F.when(tp + fn > 0, tp / (tp + fn)).otherwise(F.lit(0.0)).alias("recall"),
+        F.when(fp + tn > 0, fp / (fp + tn)).otherwise(F.lit(0.0)).alias("false_positive_rate"),
+        "risk_low", "risk_medium", "risk_high",
+        (F.col("_last_flagged") / (batch_seconds / 60.0)).alias("fraud_velocity_per_min"),
+        F.lit(1).alias("_one"))
+    kpi = s.select(
+        F.col("fraud_exposure_identified").alias("fraud_exposure_identified_usd"), "transactions_analyzed",
+        F.col("high_risk_count").alias("high_risk_flagged"), "fraud_rate_pct",
+        F.col("alerts_per_million").alias("alerts_per_1m"), "high_risk_txn_rate",
+        F.col("projected_annual_savings").alias("annual_savings_usd"),
+        F.col("concentration_pct").alias("risk_concentration_pct"), F.lit(1).alias("_one"))
+    return kpi.join(one, "_one").drop("_one")
+
+
+def totals(df: DataFrame, threshold: float = FRAUD_THRESHOLD) -> DataFrame:
+    """A2/A3: rows scored and amount; flagged rows and flagged amount."""
+    f = flagged(threshold)
+    return df.agg(F.count(F.lit(1)).cast("bigint").alias("total_txns_scored"),
+                  money_sum("amt").alias("total_amount_processed"),
+                  count_if(f).alias("fraud_blocked_count"),
+                  money_sum("amt", f).alias("total_fraud_amount_identified"))

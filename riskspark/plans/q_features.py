@@ -137,3 +137,27 @@ def clamp_pct(spark, sf):
     m = ev.groupBy("event_type").agg((F.max("value") / 2).alias("m"))
     j = ev.join(bounded_broadcast(m, 100_000), "event_type")  # one row per event type
     return j.select("event_id", "value", ft.clamp_pct(F.col("value"), F.col("m")).alias("pct"))
+
+
+@register("model_input", with_tx(f"""
+select trans_key, cast(amt as double) as amt, lat, lon as long, cast(city_pop as double) as city_pop,
+  cast(unix_time as double) as unix_time, merch_lat, merch_lon as merch_long, cast(merch_zipcode as double) as merch_zipcode,
+  cast(zip as double) as zip, round(ln(1 + cast(amt as double)), {R9}) as amt_log,
+  cast(floor((unix_time % 86400) / 3600) as double) as hour_of_day,
+  cast(floor(unix_time / 86400) % 7 as double) as day_of_week,
+  cast(floor(unix_time / 86400) % 7 >= 5 as double) as is_weekend,
+  cast(floor((unix_time % 86400) / 3600) >= 22 or floor((unix_time % 86400) / 3600) <= 6 as double) as is_night,
+  round(sqrt(((merch_lat - lat) * 111.0) * ((merch_lat - lat) * 111.0)
+           + ((merch_lon - lon) * 85.0) * ((merch_lon - lon) * 85.0)), {R9}) as distance_km,
+  cast({ENC.format(c='category', m=1000)} as double) as category_encoded,
+  cast({ENC.format(c='state', m=100)} as double) as state_encoded,
+  cast(coalesce(cast(gender = 'M' as int), 0) as double) as gender_encoded,
+  round(ln(1 + cast(city_pop as double)), {R9}) as city_pop_log,
+  cast(floor(zip / 10000) as double) as zip_region
+from tx"""))
+def model_input(spark, sf):
+    """F16 (+F13): the 20 ordered model inputs as doubles, missing columns as 0."""
+    f = ft.build_features(fx.tx(spark, sf))
+    cols = ft.model_columns(f)
+    return f.select("trans_key", *[F.round(c, R9).alias(n) if n in ("amt_log", "distance_km", "city_pop_log") else c
+                                   for c, n in zip(cols, ft.MODEL_FEATURES)])

@@ -170,3 +170,42 @@ select trans_key, cc_num, '**** **** **** ' || right(cast(cc_num as varchar), 4)
 def mask_card(spark, sf):
     from ..functions.features import mask_card as mc
     return fx.tx(spark, sf).select("trans_key", "cc_num", mc("cc_num").alias("cc_num_masked"))
+
+
+@register("totals", with_tx(f"""
+select cast(count(*) as bigint) as total_txns_scored, {MONEY} as total_amount_processed,
+  cast(count(case when {FLAG} then 1 end) as bigint) as fraud_blocked_count,
+  cast(coalesce(sum(case when {FLAG} then cast(amt as decimal(18,2)) end), 0) as double) as total_fraud_amount_identified
+from tx"""))
+def totals(spark, sf):
+    return risk.totals(fx.tx(spark, sf))
+
+
+@register("business_kpis", with_tx(f""", {CONC_SQL.strip()},
+b as (select cast(count(*) as bigint) as n, {MONEY} as total_amount,
+             cast(count(case when {FLAG} then 1 end) as bigint) as flagged_n,
+             cast(coalesce(sum(case when {FLAG} then cast(amt as decimal(18,2)) end), 0) as double) as fraud_amt,
+             (max(unix_time) - min(unix_time)) / 3600.0 as hours,
+             count(case when fraud_score > 0.5 and is_fraud = 1 then 1 end) as tp,
+             count(case when fraud_score > 0.5 and is_fraud != 1 then 1 end) as fp,
+             count(case when not (fraud_score > 0.5) and is_fraud = 1 then 1 end) as fn,
+             count(case when not (fraud_score > 0.5) and is_fraud != 1 then 1 end) as tn,
+             cast(count(case when fraud_score < 0.6 then 1 end) as bigint) as risk_low,
+             cast(count(case when fraud_score >= 0.6 and fraud_score < 0.9 then 1 end) as bigint) as risk_medium,
+             cast(count(case when fraud_score >= 0.9 then 1 end) as bigint) as risk_high,
+             count(case when {FLAG} and unix_time >= (select (max(unix_time) // 86400) * 86400 from tx) then 1 end) as last_flagged
+      from tx)
+select fraud_amt as fraud_exposure_identified_usd, n as transactions_analyzed, flagged_n as high_risk_flagged,
+  fraud_amt / greatest(1.0, total_amount) * 100 as fraud_rate_pct,
+  cast(floor(flagged_n / cast(greatest(1, n) as double) * 1e6) as bigint) as alerts_per_1m,
+  flagged_n / cast(greatest(1, n) as double) as high_risk_txn_rate,
+  case when coalesce(hours, 0) != 0 then fraud_amt / greatest(0.001, hours) * 8760 else 0.0 end as annual_savings_usd,
+  (select case when fraud_amount > 0 then top_fraud_amount / greatest(1.0, fraud_amount) * 100 else 0.0 end from c)
+    as risk_concentration_pct,
+  case when tp + fp > 0 then cast(tp as double) / (tp + fp) else 0.0 end as precision_at_threshold,
+  case when tp + fn > 0 then cast(tp as double) / (tp + fn) else 0.0 end as recall,
+  case when fp + tn > 0 then cast(fp as double) / (fp + tn) else 0.0 end as false_positive_rate,
+  risk_low, risk_medium, risk_high, last_flagged / (86400 / 60.0) as fraud_velocity_per_min
+from b"""))
+def business_kpis(spark, sf):
+    return risk.business_kpis(fx.tx(spark, sf))

@@ -116,3 +116,12 @@ select inst.metric, instance, cpu, mode, dimension, ts, value,
 from inst join m on inst.metric = m.metric""")
 def pct_of_max(spark, sf):
     return _flat(sm.pct_of_max(_gauge_instant(spark, sf), "value", by=["metric"]))
+
+
+@register("pod_mem_mib", f"""with {INSTANT}
+select metric, sum(value) / 1048576 as mem_mib, cast(count(*) as bigint) as n_series from inst group by metric""")
+def pod_mem_mib(spark, sf):
+    """Q8m: ``sum(working set bytes) / 1048576`` over the instant vector, per metric."""
+    inst = _gauge_instant(spark, sf)
+    return inst.groupBy("metric").agg((F.sum("value") / 1048576).alias("mem_mib"),
+                                      F.count(F.lit(1)).cast("bigint").alias("n_series"))

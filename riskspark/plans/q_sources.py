@@ -184,3 +184,43 @@ def exposition_lines(spark, sf):
 def storage_bytes(spark, sf):
     """S17 (rows-only): bytes and files per directory of the input folder, from file metadata."""
     return rd.storage_bytes(spark, sf)
+
+
+RAW_FROM_TX = [
+    ("unix_time", "unix_time"), ("cc_num", "cc_num"), ("merchant", "merchant"), ("category", "category"),
+    ("amt", "cast(cast(amt as double) as float)"), ("first", "first"), ("last", "last"), ("gender", "gender"),
+    ("state", "state"), ("zip", "zip"), ("lat", "cast(lat as float)"), ("long", "cast(lon as float)"),
+    ("city_pop", "city_pop"), ("merch_lat", "cast(merch_lat as float)"), ("merch_long", "cast(merch_lon as float)"),
+    ("is_fraud", "cast(is_fraud as tinyint)"), ("merch_zipcode", "merch_zipcode"),
+]
+
+
+@register("read_transactions", with_tx("select " + ", ".join(f"{e} as {a}" for a, e in RAW_FROM_TX)
+                                       + ", null as street, null as city, null as job, null as dob, null as trans_num from tx"))
+def read_transactions(spark, sf):
+    """S1 + S11: a run written as snappy parquet in the raw layout (some raw
+    columns absent), read back with the fixed raw schema."""
+    import uuid
+    from ..session import checkpoint_path
+    from ..sources.sinks import write_parquet_snappy
+    path = checkpoint_path(spark, "runs", f"run_{uuid.uuid4().hex}")
+    write_parquet_snappy(fx.tx(spark, sf).selectExpr(*[f"{e} as {a}" for a, e in RAW_FROM_TX]), path, "overwrite")
+    return rd.read_transactions(spark, f"{path}/*.parquet")
+
+
+@register("read_features", "select l_orderkey, l_quantity, l_discount, l_shipdate from lineitem")
+def read_features(spark, sf):
+    """The wanted columns that exist (``l_missing`` is skipped), pruned at the scan."""
+    return rd.read_features(spark, f"{sf}/lineitem.parquet", ["l_orderkey", "l_quantity", "l_missing", "l_discount", "l_shipdate"])
+
+
+@register("snapshot_json", None)
+def snapshot_json(spark, sf):
+    """S19 (rows-only): the business summary written as a JSON document and read back."""
+    import uuid
+    from ..operators.risk import business_summary
+    from ..session import checkpoint_path
+    from ..sources.sinks import snapshot_json as write_snapshot
+    path = checkpoint_path(spark, "snapshots", uuid.uuid4().hex)
+    write_snapshot(business_summary(fx.tx(spark, sf)), path)
+    return spark.read.json(path)
