@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.features import FRAUD_THRESHOLD, MODEL_FEATURES, model_columns
-from .selection import at_cut, below_cut, kth_cut
+from .selection import at_cut, below_cut, kth_cut, upto_cut
 
 EVAL_THRESHOLD = 0.5          # evaluation counts score > 0.5 (serving uses >= 0.52)
 MIN_TRAIN_ROWS = 1000
@@ -54,20 +54,20 @@ def ordered_split(df: DataFrame, fraction: float = 0.2, keys: Sequence[str] = ("
         return d.limit(0).drop("_split_h"), d.drop("_split_h")
     if n_test <= 0:
         return d.drop("_split_h"), d.limit(0).drop("_split_h")
-    cut = kth_cut(d, order, n_train)
-    below, at = below_cut(d, order, cut), at_cut(d, order, cut)
-    n_at = d.where(at).count()
+    cut = kth_cut(d, order, n_train, n=n)
+    below, at, upto = below_cut(d, order, cut), at_cut(d, order, cut), upto_cut(d, order, cut)
+    n_at = cut.n_at if cut.n_at is not None else d.where(at).count()
     if cut.take >= n_at:
-        train, test = d.where(below | at), d.where(~(below | at))
+        train, test = d.where(upto), d.where(~upto)
     else:
         # identical rows straddle the cut: number them once (checkpointed, so the
         # numbering is stable) and send the first ``take`` of them to train
         tie = d.where(at).withColumn("_tie_id", F.monotonically_increasing_id()).checkpoint()
-        tcut = kth_cut(tie, ["_tie_id"], cut.take)
+        tcut = kth_cut(tie, ["_tie_id"], cut.take, n=n_at)
         tie_train = tie.where(F.col("_tie_id") <= F.lit(tcut.key[0])).drop("_tie_id")
         tie_test = tie.where(F.col("_tie_id") > F.lit(tcut.key[0])).drop("_tie_id")
         train = d.where(below).unionByName(tie_train)
-        test = d.where(~(below | at)).unionByName(tie_test)
+        test = d.where(~upto).unionByName(tie_test)
     return train.drop("_split_h"), test.drop("_split_h")
 
 

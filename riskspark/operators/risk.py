@@ -164,14 +164,14 @@ def state_rank(df: DataFrame, k: int = 8) -> DataFrame:
 CONCENTRATION_ORDER = [SCORE, "unix_time", "trans_key", "amt"]
 
 
-def _top_k_flagged_amount(df: DataFrame, k: int, threshold: float) -> tuple[DataFrame, Decimal]:
+def _top_k_flagged_amount(df: DataFrame, k: int, threshold: float, n: int | None = None) -> tuple[DataFrame, Decimal]:
     """Rows strictly inside the top ``k`` by score (desc, tie keys desc) get
     ``_top`` = true; also returns the flagged amount of the boundary rows that
     belong to the top k (rows equal in every order key are interchangeable)."""
     names = [f"_k{i}" for i in range(len(CONCENTRATION_ORDER))]
     keyed = df.select("*", *[(-F.col(c).cast("double") if c == "amt" else -F.col(c)).alias(n)
                              for c, n in zip(CONCENTRATION_ORDER, names)])
-    cut = kth_cut(keyed, names, k)
+    cut = kth_cut(keyed, names, k, n=n)
     if cut is None:
         return keyed.withColumn("_top", F.lit(False)), Decimal(0)
     boundary_score = -cut.key[0]
@@ -189,7 +189,7 @@ def risk_concentration(df: DataFrame, p: float = 0.01, threshold: float = FRAUD_
     """
     n = df.count()
     k = max(1, int(n * p)) if n else 0
-    marked, extra = _top_k_flagged_amount(df, k, threshold) if k else (df.withColumn("_top", F.lit(False)), Decimal(0))
+    marked, extra = _top_k_flagged_amount(df, k, threshold, n) if k else (df.withColumn("_top", F.lit(False)), Decimal(0))
     top_dec = F.coalesce(F.sum(F.when(flagged(threshold) & F.col("_top"), F.col("amt").cast(MONEY))), F.lit(0).cast(MONEY))
     agg = marked.agg(money_sum("amt", flagged(threshold)).alias("fraud_amount"),
                      (top_dec + F.lit(extra).cast("decimal(38,2)")).cast("double").alias("top_fraud_amount"))

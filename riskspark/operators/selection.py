@@ -5,15 +5,18 @@ Used by ``risk_concentration`` (top 1 % of rows by score) and
 ``orderBy`` funnels k rows into one task, and a global window puts every row
 in one partition; neither survives k = 1 % of a 100 TB table.
 
-Instead the boundary row is found by narrowing a band of candidate values:
-``percentile_approx`` gives bounds whose rank error is at most n/accuracy,
-one aggregate counts the rows below the band, and the band (≈ 4n/accuracy
-rows) is searched again.  Each round is one distributed aggregate; only a
-few scalars reach the driver.  When one value of the leading key is shared
-by many rows the band cannot shrink, and the search moves on to the next
-sort column among the rows holding that value.  Rows equal in every sort
-column are interchangeable for the order: the result then says how many of
-them belong below the cut.
+Instead the boundary row is found by narrowing a band of candidate values of
+the leading sort column: ``percentile_approx`` gives bounds whose rank error is
+at most n/accuracy, and one aggregate counts the rows below and inside the
+band (≈ 4n/accuracy rows).  Each round is two distributed aggregates and
+shrinks the band by about accuracy/4; only a few scalars reach the driver.
+Once the band holds at most ``SMALL_BAND`` rows, its rows (the sort columns
+only) are collected -- a bounded collect -- and the key is finished exactly on
+the driver.  When one value of the leading column is shared by more rows than
+that, the band cannot shrink; the search then fixes that value and goes on
+with the next sort column among the rows holding it.  Rows equal in every sort
+column are interchangeable for the order: the result says how many of them
+belong below the cut.
 """
 
 from __future__ import annotations
@@ -21,12 +24,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 from typing import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark import StorageLevel
 
 ACCURACY = 10_000
-SMALL_BAND = 50_000  # rows; below this the band is finished with exact counts per distinct value
+SMALL_BAND = 50_000  # rows; a band this small is collected and finished on the driver
 
 
 @dataclass
@@ -38,100 +41,88 @@ class Cut:
     """
     key: tuple
     take: int
+    n_at: int | None = None   # rows equal to ``key`` (when the search saw them all)
 
 
-def _lex_less(cols: Sequence[str], key: Sequence) -> Column:
-    """Row key < ``key`` in lexicographic order (nulls are not expected)."""
-    cond = None
-    for i in range(len(cols) - 1, -1, -1):
-        c = F.col(cols[i])
-        here = c < F.lit(key[i])
-        if cond is not None:
-            here = here | ((c == F.lit(key[i])) & cond)
-        cond = here
-    return cond
-
-
-def _lex_equal(cols: Sequence[str], key: Sequence) -> Column:
-    cond = F.lit(True)
-    for c, v in zip(cols, key):
-        cond = cond & (F.col(c) == F.lit(v))
-    return cond
-
-
-def kth_cut(df: DataFrame, cols: Sequence[str], k: int, accuracy: int = ACCURACY) -> Cut | None:
+def kth_cut(df: DataFrame, cols: Sequence[str], k: int, accuracy: int = ACCURACY,
+            n: int | None = None) -> Cut | None:
     """Exact cut after the first ``k`` rows of ``df`` ordered ascending by ``cols``.
 
-    ``cols`` must be non-null, orderable numeric columns (negate a column for
-    descending order).  Returns None when ``k <= 0``.
+    ``cols`` must be non-null numeric columns (negate a column for descending
+    order).  ``n`` is the row count when the caller knows it.  Returns None
+    when ``k <= 0``.
     """
     if k <= 0:
         return None
     cols = list(cols)
-    prefix: list = []          # fixed values of the leading columns
-    keys = df.select(*cols).persist(StorageLevel.MEMORY_AND_DISK)  # narrow key columns, re-read by each round
+    keys = df.select(*cols).persist(StorageLevel.MEMORY_AND_DISK)  # narrow key columns, read by each round
     try:
-        return _search(keys, cols, k, accuracy, prefix)
+        return _search(keys, cols, k, accuracy, n)
     finally:
         keys.unpersist()
 
 
-def _search(keys: DataFrame, cols: list[str], k: int, accuracy: int, prefix: list) -> Cut:
-    rest = keys                # rows that share ``prefix``
-    remaining = k              # rank wanted inside ``rest``
-    for i, c in enumerate(cols):
-        band = rest
-        while True:
-            stats = band.agg(F.count(F.lit(1)).alias("n"), F.min(c).alias("lo"), F.max(c).alias("hi")).first()
-            n, lo, hi = stats["n"], stats["lo"], stats["hi"]
-            if n == 0:
-                raise ValueError("rank beyond the rows of the band")
-            if lo == hi:
-                value = lo
-                break
-            if n <= SMALL_BAND:
-                # exact: counts per distinct value of the band, small by construction
-                counts = (band.groupBy(c).agg(F.count(F.lit(1)).alias("n"))
-                          .orderBy(c).collect())
-                acc = 0
-                for r in counts:
-                    if acc + r["n"] >= remaining:
-                        value = r[c]
-                        remaining -= acc
-                        break
-                    acc += r["n"]
-                break
-            err = 2.0 * n / accuracy
-            q_lo = max(0.0, (remaining - err) / n)
-            q_hi = min(1.0, (remaining + err) / n)
-            lo_v, hi_v = band.agg(F.percentile_approx(c, [q_lo, q_hi], accuracy).alias("q")).first()["q"]
-            below = band.where(F.col(c) < F.lit(lo_v)).count() if q_lo > 0 else 0
-            if q_lo == 0:
-                lo_v = lo
-            if q_hi == 1.0:
-                hi_v = hi
-            inside = band.where((F.col(c) >= F.lit(lo_v)) & (F.col(c) <= F.lit(hi_v)))
-            m = inside.count()
-            if below >= remaining or below + m < remaining:
-                # the sketch bound did not hold for this band; fall back to the full band range
-                lo_v, hi_v, below = lo, hi, 0
-                inside = band
-                m = n
-            if m >= n and lo_v == lo and hi_v == hi:
-                # no progress: split the value range in halves instead
-                mid = lo + (hi - lo) / 2 if isinstance(lo, float) else lo + (hi - lo) // 2
-                left = band.where(F.col(c) <= F.lit(mid)).count()
-                if left >= remaining:
-                    band = band.where(F.col(c) <= F.lit(mid))
-                else:
-                    remaining -= left
-                    band = band.where(F.col(c) > F.lit(mid))
-                continue
+def _finish_on_driver(band: DataFrame, cols: list[str], i: int, prefix: list, remaining: int) -> Cut:
+    rows = sorted(tuple(r) for r in band.select(*cols[i:]).collect())
+    if remaining > len(rows):
+        raise ValueError("rank beyond the rows of the band")
+    key = rows[remaining - 1]
+    below = sum(1 for r in rows if r < key)
+    return Cut(key=tuple(prefix) + key, take=remaining - below, n_at=sum(1 for r in rows if r == key))
+
+
+def _search(keys: DataFrame, cols: list[str], k: int, accuracy: int, n: int | None) -> Cut:
+    prefix: list = []        # fixed values of the leading columns
+    band = keys              # candidate rows: prefix fixed, column i inside the band
+    n_band = n               # rows in ``band`` when known
+    remaining = k            # rank wanted inside ``band``
+    i = 0
+    while True:
+        c = cols[i]
+        if n_band is not None and n_band <= SMALL_BAND:
+            return _finish_on_driver(band, cols, i, prefix, remaining)
+        aggs = [F.count(F.lit(1)).alias("n"), F.min(c).alias("lo"), F.max(c).alias("hi")]
+        q = None
+        if n_band is not None:
+            err = 2.0 * n_band / accuracy
+            q = [max(0.0, (remaining - err) / n_band), min(1.0, (remaining + err) / n_band)]
+            aggs.append(F.percentile_approx(c, q, accuracy).alias("q"))
+        st = band.agg(*aggs).first()
+        n_band, lo, hi = st["n"], st["lo"], st["hi"]
+        if n_band == 0 or remaining > n_band:
+            raise ValueError("rank beyond the rows of the band")
+        if n_band <= SMALL_BAND:
+            continue
+        if lo == hi:
+            # one value holds the whole band: fix it and order by the next column
+            prefix.append(lo)
+            if i == len(cols) - 1:
+                return Cut(key=tuple(prefix), take=remaining, n_at=n_band)
+            band = band.where(F.col(c) == F.lit(lo))
+            i += 1
+            continue
+        if q is None:
+            continue  # n was unknown: now it is, compute the percentiles
+        lo_v, hi_v = st["q"]
+        lo_v = lo if q[0] == 0.0 else lo_v
+        hi_v = hi if q[1] == 1.0 else hi_v
+        cnt = band.agg(F.count(F.when(F.col(c) < F.lit(lo_v), 1)).alias("below"),
+                       F.count(F.when((F.col(c) >= F.lit(lo_v)) & (F.col(c) <= F.lit(hi_v)), 1)).alias("inside")).first()
+        below, inside = cnt["below"], cnt["inside"]
+        if below < remaining <= below + inside and inside < n_band:
             remaining -= below
-            band = inside
-        prefix.append(value)
-        rest = rest.where(F.col(c) == F.lit(value))
-    return Cut(key=tuple(prefix), take=remaining)
+            band = band.where((F.col(c) >= F.lit(lo_v)) & (F.col(c) <= F.lit(hi_v)))
+            n_band = inside
+            continue
+        # the sketch did not narrow the band (bound missed, or a heavy value spans it):
+        # split the value range in halves instead
+        mid = lo + (hi - lo) / 2 if isinstance(lo, float) else lo + (hi - lo) // 2
+        left = band.where(F.col(c) <= F.lit(mid)).count()
+        if left >= remaining:
+            band, n_band = band.where(F.col(c) <= F.lit(mid)), left
+        else:
+            remaining -= left
+            band, n_band = band.where(F.col(c) > F.lit(mid)), n_band - left
 
 
 def key_struct(df: DataFrame, cols: Sequence[str]) -> Column:
@@ -149,5 +140,10 @@ def below_cut(df: DataFrame, cols: Sequence[str], cut: Cut) -> Column:
     return key_struct(df, cols) < _key_literal(df, cols, cut.key)
 
 
+def upto_cut(df: DataFrame, cols: Sequence[str], cut: Cut) -> Column:
+    """Rows at or below the cut's key (one struct comparison)."""
+    return key_struct(df, cols) <= _key_literal(df, cols, cut.key)
+
+
 def at_cut(df: DataFrame, cols: Sequence[str], cut: Cut) -> Column:
     return key_struct(df, cols) == _key_literal(df, cols, cut.key)
