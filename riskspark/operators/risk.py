@@ -112,6 +112,12 @@ def score_histogram(df: DataFrame, bins: int = 20, with_height: bool = False) ->
 ALERT_ORDER = ["unix_time", "trans_key", "cc_num", "amt", SCORE, "merchant"]
 
 
+def iso_utc(epoch_seconds: Column) -> Column:
+    """Epoch seconds as ``yyyy-MM-ddTHH:mm:ssZ`` in UTC, whatever the session time zone."""
+    shifted = F.to_utc_timestamp(F.timestamp_seconds(epoch_seconds), F.current_timezone())
+    return F.date_format(shifted, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
 def alert_projection(df: DataFrame, as_of: Column | None = None) -> DataFrame:
     """F24 (+F22, F23): the alert record of every flagged row."""
     cols = [F.round(F.col(SCORE).cast("decimal(12,4)"), 3).cast("double").alias("risk_score"),
@@ -120,7 +126,7 @@ def alert_projection(df: DataFrame, as_of: Column | None = None) -> DataFrame:
             "cc_num", mask_card("cc_num").alias("cc_num_masked"), "state",
             F.coalesce(F.col("first"), F.lit("Unknown")).alias("first"),
             F.coalesce(F.col("last"), F.lit("Unknown")).alias("last"),
-            F.date_format(F.timestamp_seconds("unix_time"), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp")]
+            iso_utc(F.col("unix_time")).alias("timestamp")]
     if as_of is not None:
         cols.append((as_of - F.col("unix_time")).cast("bigint").alias("seconds_ago"))
     return high_risk(df).select(*cols)

@@ -72,7 +72,8 @@ select s.tick, mbps, cores, pods,
 from s join u on s.tick = u.tick""")
 def io_efficiency(spark, sf):
     """Daily volume MB/s (bytes written per day) against cores and pods active that day."""
-    ev = spark.read.parquet(f"{sf}/events.parquet").withColumn("tick", F.date_trunc("day", F.col("ts")))
+    ev = spark.read.parquet(f"{sf}/events.parquet").withColumn(
+        "tick", F.timestamp_seconds(F.floor(F.unix_timestamp("ts") / 86400) * 86400))
     storage = ev.groupBy("tick").agg((F.sum(F.floor(F.col("value") * 100)) / 86400.0 / 1048576).alias("mbps"))
     usage = ev.groupBy("tick").agg((F.count_distinct("user_id") / 10.0).alias("cores"),
                                    F.count_distinct("event_type").cast("bigint").alias("pods"))

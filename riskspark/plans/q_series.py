@@ -116,7 +116,7 @@ select time_bucket(interval 1 minute, ts) as window_start, time_bucket(interval
 from events group by 1, 2, 3""")
 def tumbling_counts(spark, sf):
     """X7 (batch form): events per type and one-minute event-time window."""
-    ev = spark.read.parquet(f"{sf}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    ev = spark.read.parquet(f"{sf}/events.parquet").withColumn("ts", fx.ntz_as_utc("ts"))
     w = ev.groupBy(F.window("ts", "1 minute"), "event_type").agg(
         F.count(F.lit(1)).cast("bigint").alias("n"), F.sum(F.col("value").cast("decimal(18,2)")).cast("double").alias("total_value"))
     return w.select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"),

@@ -162,7 +162,7 @@ def stream_tumbling(spark, sf):
     """Per-minute event counts with a watermark in update mode; the last
     update of every window equals the batch count."""
     base = _scratch(spark, "tumbling")
-    ev = spark.read.parquet(f"{sf}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    ev = spark.read.parquet(f"{sf}/events.parquet").withColumn("ts", fx.ntz_as_utc("ts"))
     _stage(ev.select("event_id", "ts", "event_type", "value"), f"{base}/src", ["ts", "event_id"])
     schema = spark.read.parquet(f"{base}/src").schema
 

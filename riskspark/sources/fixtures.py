@@ -60,6 +60,11 @@ SPARK_EPOCH = "unix_timestamp(l_shipdate)"
 DUCK_EPOCH = "cast(epoch(l_shipdate) as bigint)"
 
 
+def ntz_as_utc(c: str):
+    """A TIMESTAMP_NTZ wall clock read as UTC, whatever the session time zone."""
+    return F.from_utc_timestamp(F.col(c).cast("timestamp"), F.current_timezone())
+
+
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -107,7 +112,7 @@ GAUGE_COLUMNS: list[tuple[str, str]] = [
     ("cpu", "cast(user_id % 8 as string)"),
     ("mode", "case user_id % 4 when 0 then 'idle' when 1 then 'user' when 2 then 'iowait' else 'system' end"),
     ("dimension", "case when event_id % 2 = 0 then 'read_bytes_per_sec' else 'write_bytes_per_sec' end"),
-    ("ts", "cast(ts as timestamp)"),
+    ("ts", "from_utc_timestamp(cast(ts as timestamp), current_timezone())"),
     ("value", "cast(floor(value * 100) as double)"),
     ("event_id", "event_id"),
 ]
@@ -128,7 +133,7 @@ def gauge_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gauge_samples_sql() -> str:
-    cols = ", ".join(f"{e.replace(' as string', ' as varchar').replace('cast(ts as timestamp)', 'ts')} as {a}"
+    cols = ", ".join(f"{e.replace(' as string', ' as varchar').replace('from_utc_timestamp(cast(ts as timestamp), current_timezone())', 'ts')} as {a}"
                      for a, e in GAUGE_COLUMNS)
     return f"select {cols} from events"
 
@@ -140,7 +145,7 @@ def counter_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counter samples: running sum of floor(value*100) per (event_type, user_id),
     restarted every 50th sample so that the series contains resets."""
     ev = _read(spark, sf_dir, "events").select(
-        "event_id", "event_type", "user_id", F.col("ts").cast("timestamp").alias("ts"),
+        "event_id", "event_type", "user_id", ntz_as_utc("ts").alias("ts"),
         F.floor(F.col("value") * 100).cast("bigint").alias("inc"))
     w = Window.partitionBy("event_type", "user_id").orderBy("ts", "event_id")
     ev = ev.withColumn("seg", F.floor((F.row_number().over(w) - 1) / COUNTER_RESTART))
@@ -171,7 +176,7 @@ def poll_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Poll ticks (series, tick, value): per (event_type, hour) the cumulative
     number of events up to the end of that hour -- a monotone counter store."""
     ev = _read(spark, sf_dir, "events").select(
-        "event_type", F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("tick"))
+        "event_type", F.timestamp_seconds(F.floor(F.unix_timestamp("ts") / 3600) * 3600).alias("tick"))
     per_hour = ev.groupBy("event_type", "tick").agg(F.count("*").alias("n"))
     w = Window.partitionBy("event_type").orderBy("tick").rowsBetween(Window.unboundedPreceding, 0)
     return per_hour.select(F.col("event_type").alias("series"), "tick",
@@ -268,7 +273,7 @@ def run_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("run_"), "month").alias("run"),
         F.format_string("worker_%d.parquet", "f").alias("file"),
         F.col("rows").cast("bigint").alias("rows"), F.col("bytes").cast("bigint").alias("bytes"),
-        (F.to_timestamp(F.concat("month", F.lit("-01"))) + F.make_dt_interval(F.lit(0), F.col("f").cast("int"))).alias("mtime"))
+        (F.to_timestamp_ntz(F.concat("month", F.lit("-01"))) + F.make_dt_interval(F.lit(0), F.col("f").cast("int"))).alias("mtime"))
 
 
 def run_files_sql() -> str:
