@@ -14,7 +14,7 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-HEADLINE = [
+HEADLINE = [  # scoring throughput is measured separately (score_all_rows_sec)
     "category_risk", "business_summary", "risk_rollup", "score_histogram", "recent_alerts",
     "risk_concentration", "features_all", "card_velocity", "confusion_matrix", "ordered_split_counts",
     "telemetry_parse", "previous_stage_rows", "rate_delta", "last_n_points", "counter_rate",
@@ -29,8 +29,15 @@ def main() -> None:
     from riskspark.plans import catalog
     spark = get_session(master=f"local[{cpus}]", shuffle_partitions=int(cpus) * 2, driver_memory="16g")
     qs = catalog.queries()
-    # warm-up: JVM, parquet footers, code paths (not timed)
+    # warm-up (not timed): JVM and parquet footers; the stand-in inputs
+    # (scored transactions, log lines, metric samples, file listings) are
+    # built once and stored, as the upstream stages would leave them
+    from riskspark.sources import fixtures as fx
     spark.read.parquet(f"{sf_dir}/lineitem.parquet").write.format("noop").mode("overwrite").save()
+    t0 = time.perf_counter()
+    for build in (fx.tx, fx.telemetry_lines, fx.gauge_samples, fx.counter_samples, fx.poll_ticks, fx.run_files):
+        build(spark, sf_dir)
+    prepare_s = round(time.perf_counter() - t0, 3)
     times: dict[str, float] = {}
     for name in HEADLINE:
         t0 = time.perf_counter()
@@ -38,12 +45,23 @@ def main() -> None:
         times[name] = round(time.perf_counter() - t0, 3)
     n_tx = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
     total = round(sum(times.values()), 3)
+    # scoring throughput: a small model is trained untimed, then all rows are scored
+    from riskspark.functions.features import build_features
+    from riskspark.operators import ml
+    feats = build_features(fx.tx(spark, sf_dir).drop("fraud_score"))
+    train, _ = ml.ordered_split(feats, 0.2, ["unix_time", "trans_key"])
+    model = ml.fit_risk_model(train, None, depth=5, rounds=10)
+    t0 = time.perf_counter()
+    ml.score(feats, model).write.format("noop").mode("overwrite").save()
+    score_s = round(time.perf_counter() - t0, 3)
     sf = sf_dir.rsplit("sf", 1)[-1]
     print(json.dumps({
         "metric": "headline_queries_total", "value": total, "unit": "sec", "queries": times,
         "sf": float(sf) if sf.replace(".", "", 1).isdigit() else sf,
         "cpus": int(cpus), "transactions": n_tx,
         "feature_rows_per_sec": round(n_tx / times["features_all"], 1) if times.get("features_all") else None,
+        "score_all_rows_sec": score_s, "scored_rows_per_sec": round(n_tx / score_s, 1),
+        "inputs_prepare_sec": prepare_s,
     }))
     spark.stop()
 

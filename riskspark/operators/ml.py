@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.features import FRAUD_THRESHOLD, MODEL_FEATURES, model_columns
+from ..session import ensure_checkpoint_dir
 from .selection import at_cut, below_cut, kth_cut, upto_cut
 
 EVAL_THRESHOLD = 0.5          # evaluation counts score > 0.5 (serving uses >= 0.52)
@@ -62,6 +63,7 @@ def ordered_split(df: DataFrame, fraction: float = 0.2, keys: Sequence[str] = ("
     else:
         # identical rows straddle the cut: number them once (checkpointed, so the
         # numbering is stable) and send the first ``take`` of them to train
+        ensure_checkpoint_dir(df.sparkSession)  # the shared folder named by spark.checkpoint.dir
         tie = d.where(at).withColumn("_tie_id", F.monotonically_increasing_id()).checkpoint()
         tcut = kth_cut(tie, ["_tie_id"], cut.take, n=n_at)
         tie_train = tie.where(F.col("_tie_id") <= F.lit(tcut.key[0])).drop("_tie_id")
@@ -168,8 +170,11 @@ def logloss(df: DataFrame, score_col: str = "fraud_score", label: str = "is_frau
 
 
 def auc(scored: DataFrame, score_col: str = "fraud_score", label: str = "is_fraud") -> float:
-    """M6: area under the ROC curve (Spark's evaluator, distributed)."""
-    ev = BinaryClassificationEvaluator(rawPredictionCol=score_col, labelCol="label", metricName="areaUnderROC")
+    """M6: area under the ROC curve with Spark's evaluator (a distributed sort
+    and per-partition cumulative counts); ``numBins=0`` keeps every distinct
+    score, so ties count one half as in the rank formula."""
+    ev = BinaryClassificationEvaluator(rawPredictionCol=score_col, labelCol="label", metricName="areaUnderROC",
+                                       numBins=0)
     return ev.evaluate(scored.select(F.col(score_col).cast("double"), F.col(label).cast("double").alias("label")))
 
 

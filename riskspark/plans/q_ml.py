@@ -126,3 +126,28 @@ def evaluate_latest(spark, sf):
     model = ml.fit_risk_model(train, None, depth=4, rounds=10)
     ml.register_model(model, root, metrics={"rounds": 10})
     return ml.evaluate_latest(test, root)
+
+
+@register("model_auc", with_tx("""
+, r as (select is_fraud, rank() over (order by fraud_score) as lo_rank,
+               count(*) over (partition by fraud_score) as ties from tx),
+s as (select sum(case when is_fraud = 1 then lo_rank + (ties - 1) / 2.0 end) as rank_sum,
+             count(case when is_fraud = 1 then 1 end) as p, count(case when is_fraud != 1 then 1 end) as q from r)
+select round((rank_sum - p * (p + 1) / 2.0) / (cast(p as double) * q), 9) as auc, cast(p + q as bigint) as n from s"""))
+def model_auc(spark, sf):
+    """M6: ROC AUC of the score against the label (Spark's evaluator)."""
+    tx = fx.tx(spark, sf)
+    value = ml.auc(tx)
+    n = tx.count()
+    return spark.createDataFrame([(round(value, 9), n)], "auc double, n long")
+
+
+@register("prediction_flags", with_tx("""
+select trans_key, fraud_score, cast(fraud_score >= 0.52 as int) as fraud_prediction,
+  case when fraud_score < 0.6 then 'low' when fraud_score < 0.9 then 'medium' else 'high' end as risk_band
+from tx"""))
+def prediction_flags(spark, sf):
+    """serving flag (score >= 0.52) and risk band per row."""
+    from ..functions.features import fraud_prediction, risk_band
+    return fx.tx(spark, sf).select("trans_key", "fraud_score", fraud_prediction().alias("fraud_prediction"),
+                                   risk_band().alias("risk_band"))
