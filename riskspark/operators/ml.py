@@ -130,7 +130,11 @@ def score(df: DataFrame, model: PipelineModel, cols: Sequence[str] = MODEL_FEATU
     """Positive-class probability as ``fraud_score`` and ``fraud_prediction``
     (score >= threshold).  The feature columns are rebuilt in order with
     missing ones as 0, then the original columns are kept."""
-    out = model.transform(df.select("*", *_inputs(df, cols)))
+    clf = model.stages[-1]
+    # only the probability is needed: skip the raw-score and label columns, so
+    # the trees are evaluated once per row
+    clf = clf.copy({clf.rawPredictionCol: "", clf.predictionCol: "", clf.probabilityCol: "probability"})
+    out = PipelineModel(model.stages[:-1] + [clf]).transform(df.select("*", *_inputs(df, cols)))
     p = vector_to_array(F.col("probability"))[1]
     res = out.select(*df.columns, p.alias("fraud_score"))
     return res.withColumn("fraud_prediction", (F.col("fraud_score") >= threshold).cast("int"))
