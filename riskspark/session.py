@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -70,3 +71,25 @@ def checkpoint_path(spark: SparkSession, *parts: str) -> str:
     and written intermediate tables)."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return "/".join([base, *parts])
+
+
+@contextmanager
+def conf_override(spark: SparkSession, key: str, value: str):
+    """Set a SQL conf for the duration of a block, then restore it."""
+    old = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if old is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, old)
+
+
+def state_partitions(spark: SparkSession) -> str:
+    """State-store partitions for a new stateful stream: one per task slot.
+
+    The count is fixed in the checkpoint at the first start, so it is chosen
+    from the cluster's parallelism rather than the batch shuffle setting."""
+    return str(max(1, spark.sparkContext.defaultParallelism))
