@@ -94,7 +94,7 @@ def monotone_max(df: DataFrame, keys: Sequence[str], order: Sequence[str], value
 
 
 def last_n_points(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int = 60,
-                  salts: int = 16) -> DataFrame:
+                  salts: int = 256) -> DataFrame:
     """Newest ``n`` points per series, with ``pos`` 1 = newest.
 
     Two rounds of ``row_number``: first per (series, salt) -- any split of a
