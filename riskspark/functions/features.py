@@ -97,7 +97,8 @@ def zip_region(c="zip") -> Column:
     return F.floor(F.col(c) / 10000).cast("int")
 
 
-def build_features(df: DataFrame, weekday_mode: str = "epoch", keep: list[str] | None = None) -> DataFrame:
+def build_features(df: DataFrame, weekday_mode: str = "epoch", buckets: tuple[int, int] = (1000, 100),
+                   keep: list[str] | None = None) -> DataFrame:
     """all features in one projection, for batch and streaming frames alike.
 
     Time features need ``unix_time``; distance needs the four coordinates;
@@ -118,9 +119,9 @@ def build_features(df: DataFrame, weekday_mode: str = "epoch", keep: list[str] |
     if {"lat", "merch_lat"} <= cols and lon and mlon:
         out.append(distance_km("lat", lon, "merch_lat", mlon).alias("distance_km"))
     if "category" in cols:
-        out.append(category_encoded().alias("category_encoded"))
+        out.append(stable_hash_mod("category", buckets[0]).alias("category_encoded"))
     if "state" in cols:
-        out.append(state_encoded().alias("state_encoded"))
+        out.append(stable_hash_mod("state", buckets[1]).alias("state_encoded"))
     if "gender" in cols:
         out.append(gender_encoded().alias("gender_encoded"))
     if "city_pop" in cols:
@@ -131,6 +132,18 @@ def build_features(df: DataFrame, weekday_mode: str = "epoch", keep: list[str] |
     return df.select(*out).drop(*drop)
 
 
+def velocity(df: DataFrame, key: str = "cc_num", time: str = "unix_time", seconds: int = 3600,
+             amount: str = "amt") -> DataFrame:
+    """transactions and amount per card over the trailing ``seconds``
+    (rows of the same card with time in [t - seconds, t], peers included).
+    Uses the time-bucketed trailing window, so one busy card is not one task."""
+    from ..operators.windows import trailing_aggregate
+    return trailing_aggregate(
+        df, [key], time, seconds,
+        {f"txn_count_{seconds}s": lambda w: F.count(F.lit(1)).over(w).cast("bigint"),
+         f"amount_{seconds}s": lambda w: F.sum(F.col(amount).cast("decimal(18,2)")).over(w).cast("double")})
+
+
 def drop_text_columns(df: DataFrame) -> DataFrame:
     """drop the fixed text columns that are present."""
     return df.drop(*[c for c in TEXT_COLUMNS_TO_DROP if c in df.columns])

@@ -67,6 +67,24 @@ def batch_counters(scored: DataFrame, batch: str = "batch_id", ts: str = "batch_
     return totals.unionByName(cats).unionByName(states)
 
 
+def metric_increment(df: DataFrame, batch_id: int, name: str, value: Column | None = None,
+                     ts: Column | None = None) -> DataFrame:
+    """One counter row for a batch: ``value`` aggregated over ``df``
+    (default: its row count).  Written with ``sinks.write_metrics``, a replay
+    of the same batch id replaces the row instead of adding it again."""
+    v = value if value is not None else F.count(F.lit(1))
+    return df.agg(v.cast(VALUE).alias("value")).select(
+        F.lit(batch_id).cast("bigint").alias("batch_id"), F.lit(name).alias("name"), F.lit("counter").alias("kind"),
+        "value", (ts if ts is not None else F.current_timestamp()).alias("ts"))
+
+
+def metric_set(df: DataFrame, batch_id: int, name: str, value: Column, ts: Column | None = None) -> DataFrame:
+    """One gauge row for a batch (the newest gauge row wins in the fold)."""
+    return df.agg(value.cast(VALUE).alias("value")).select(
+        F.lit(batch_id).cast("bigint").alias("batch_id"), F.lit(name).alias("name"), F.lit("gauge").alias("kind"),
+        "value", (ts if ts is not None else F.current_timestamp()).alias("ts"))
+
+
 def metric_fold(metrics: DataFrame, prefix: str = "") -> DataFrame:
     """Current value per name: counters summed, gauges the newest value
     (by ts, then batch_id).  ``prefix`` keeps names that start with it."""

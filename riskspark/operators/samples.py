@@ -27,12 +27,15 @@ def label(name: str, labels: str = "labels") -> Column:
     return F.col(labels).getItem(name)
 
 
-def instant(samples: DataFrame, at=None, lookback_seconds: int = 300, tie: Sequence[str] = ()) -> DataFrame:
+def instant(samples: DataFrame, at=None, lookback_seconds: int = 300, tie: Sequence[str] = (),
+            metric: str | None = None, match: dict[str, str] | None = None) -> DataFrame:
     """Q1m: latest sample of every series in (at - lookback, at].
 
     ``at`` defaults to the newest sample time (one scalar aggregate).  The
     time filter is a literal range, so it reaches the parquet scan.
+    ``metric`` / ``match`` select a metric name and label values first.
     """
+    samples = _select(samples, metric, match)
     if at is None:
         at = samples.agg(F.max("ts")).first()[0]
         if at is None:
@@ -80,10 +83,22 @@ def counter_increase(samples: DataFrame, window_seconds: int, tie: Sequence[str]
                     "increase", "n_samples"))
 
 
-def counter_rate(samples: DataFrame, window_seconds: int, tie: Sequence[str] = ()) -> DataFrame:
-    """Q4m: ``rate(c[window])`` per series and window = increase / window seconds."""
-    inc = counter_increase(samples, window_seconds, tie)
-    return inc.withColumn("rate", F.col("increase") / float(window_seconds))
+def counter_rate(samples: DataFrame, window_seconds: int, tie: Sequence[str] = (), metric: str | None = None,
+                 match: dict[str, str] | None = None, by: Sequence[str] | None = None) -> DataFrame:
+    """Q4m: ``rate(c[window])`` per series and window = increase / window
+    seconds; with ``by``, ``sum by (labels) (rate(...))``."""
+    inc = counter_increase(_select(samples, metric, match), window_seconds, tie)
+    rate = inc.withColumn("rate", F.col("increase") / float(window_seconds))
+    if by is None:
+        return rate
+    return rate.groupBy("metric", "window_start", *[label(b).alias(b) for b in by]).agg(F.sum("rate").alias("rate"))
+
+
+def _select(samples: DataFrame, metric: str | None, match: dict[str, str] | None) -> DataFrame:
+    d = samples if metric is None else samples.where(F.col("metric") == metric)
+    for k, v in (match or {}).items():
+        d = d.where(label(k) == F.lit(v))
+    return d
 
 
 def cpu_busy(increases: DataFrame, window_seconds: int, mode_label: str = "mode") -> DataFrame:
