@@ -116,7 +116,7 @@ def fit_risk_model(train: DataFrame, test: DataFrame | None = None, cols: Sequen
     try:
         return Pipeline(stages=[assembler, gbt]).fit(t)
     finally:
-        t.unpersist()
+        t.unpersist(blocking=True)
 
 
 def _inputs(df: DataFrame, cols: Sequence[str]) -> list[Column]:

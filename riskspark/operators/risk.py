@@ -186,6 +186,19 @@ def _top_k_flagged_amount(df: DataFrame, k: int, threshold: float, n: int | None
     return keyed.withColumn("_top", below_cut(keyed, names, cut)), extra
 
 
+def _concentration(df: DataFrame, n: int, p: float, threshold: float) -> tuple[DataFrame, Column, int]:
+    """Rows marked ``_top`` (inside the top k by score) and the exact flagged
+    amount of the top k as a DECIMAL aggregate column."""
+    k = max(1, int(n * p)) if n else 0
+    marked, extra = _top_k_flagged_amount(df, k, threshold, n) if k else (df.withColumn("_top", F.lit(False)), Decimal(0))
+    top_dec = F.coalesce(F.sum(F.when(flagged(threshold) & F.col("_top"), F.col("amt").cast(MONEY))), F.lit(0).cast(MONEY))
+    return marked, (top_dec + F.lit(extra).cast("decimal(38,2)")).cast("double"), k
+
+
+def _share(top: Column, total: Column) -> Column:
+    return F.when(total > 0, top / F.greatest(F.lit(1.0), total) * 100).otherwise(F.lit(0.0))
+
+
 def risk_concentration(df: DataFrame, p: float = 0.01, threshold: float = FRAUD_THRESHOLD) -> DataFrame:
     """Share of the flagged amount held by the top ``p`` of rows by score.
 
@@ -193,28 +206,25 @@ def risk_concentration(df: DataFrame, p: float = 0.01, threshold: float = FRAUD_
     search (see ``selection``) instead of sorting the table; the result is
     then one conditional sum over the rows.
     """
-    n = df.count()
-    k = max(1, int(n * p)) if n else 0
-    marked, extra = _top_k_flagged_amount(df, k, threshold, n) if k else (df.withColumn("_top", F.lit(False)), Decimal(0))
-    top_dec = F.coalesce(F.sum(F.when(flagged(threshold) & F.col("_top"), F.col("amt").cast(MONEY))), F.lit(0).cast(MONEY))
-    agg = marked.agg(money_sum("amt", flagged(threshold)).alias("fraud_amount"),
-                     (top_dec + F.lit(extra).cast("decimal(38,2)")).cast("double").alias("top_fraud_amount"))
-    return agg.select(
-        F.lit(k).cast("bigint").alias("top_count"), "top_fraud_amount", "fraud_amount",
-        F.when(F.col("fraud_amount") > 0,
-               F.col("top_fraud_amount") / F.greatest(F.lit(1.0), F.col("fraud_amount")) * 100)
-         .otherwise(F.lit(0.0)).alias("concentration_pct"))
+    marked, top, k = _concentration(df, df.count(), p, threshold)
+    agg = marked.agg(money_sum("amt", flagged(threshold)).alias("fraud_amount"), top.alias("top_fraud_amount"))
+    return agg.select(F.lit(k).cast("bigint").alias("top_count"), "top_fraud_amount", "fraud_amount",
+                      _share(F.col("top_fraud_amount"), F.col("fraud_amount")).alias("concentration_pct"))
 
 
 def business_summary(df: DataFrame, threshold: float = FRAUD_THRESHOLD, p: float = 0.01) -> DataFrame:
-    """A18 (with A14-A17, A10, A13): the KPI row in one scan plus two tiny joins."""
+    """A18 (with A14-A17, A10, A13): the KPI row.  After the top-k search, one
+    aggregate computes every measure including the concentration, and the
+    top category comes from the per-category aggregate."""
     f = flagged(threshold)
-    base = df.agg(
+    marked, top, _ = _concentration(df, df.count(), p, threshold)
+    base = marked.agg(
         F.count(F.lit(1)).cast("bigint").alias("transactions_analyzed"),
         money_sum("amt").alias("total_amount"),
         count_if(f).alias("high_risk_count"),
         money_sum("amt", f).alias("fraud_exposure_identified"),
-        ((F.max("unix_time") - F.min("unix_time")) / 3600.0).alias("elapsed_hours"))
+        ((F.max("unix_time") - F.min("unix_time")) / 3600.0).alias("elapsed_hours"),
+        top.alias("_top_amount"))
     n = F.col("transactions_analyzed")
     fr = F.col("fraud_exposure_identified") / F.greatest(F.lit(1.0), F.col("total_amount"))
     out = base.select(
@@ -225,10 +235,10 @@ def business_summary(df: DataFrame, threshold: float = FRAUD_THRESHOLD, p: float
         F.when(F.coalesce(F.col("elapsed_hours"), F.lit(0.0)) != 0,
                F.col("fraud_exposure_identified") / F.greatest(F.lit(0.001), F.col("elapsed_hours")) * 8760)
          .otherwise(F.lit(0.0)).alias("projected_annual_savings"),
+        _share(F.col("_top_amount"), F.col("fraud_exposure_identified")).alias("concentration_pct"),
         F.lit(1).alias("_one"))
-    top = top_category(df).withColumn("_one", F.lit(1))
-    conc = risk_concentration(df, p, threshold).select("concentration_pct", F.lit(1).alias("_one"))
-    return out.join(top, "_one", "left").join(conc, "_one").drop("_one")
+    top_cat = top_category(df).withColumn("_one", F.lit(1))
+    return out.join(top_cat, "_one", "left").drop("_one")
 
 
 def fraud_split(df: DataFrame, threshold: float = FRAUD_THRESHOLD) -> DataFrame:

@@ -70,9 +70,11 @@ def counter_increase(samples: DataFrame, window_seconds: int, tie: Sequence[str]
     """
     w = F.floor(F.unix_seconds("ts") / window_seconds)
     d = samples.select("metric", series_key().alias("_sk"), "ts", "value", *tie, w.alias("_w"))
-    # lag inside (series, window); an hour bucket nested in the window spreads
-    # one busy series-window over several tasks
-    step = 3600 if window_seconds % 3600 == 0 else window_seconds
+    # lag inside (series, window); windows longer than a day are cut into day
+    # buckets so one busy series-window spreads over several tasks (shorter
+    # windows are their own bucket: a finer one would only add a summary as
+    # large as the data)
+    step = 86400 if window_seconds > 86400 and window_seconds % 86400 == 0 else window_seconds
     p = previous_row(d, ["metric", "_sk", "_w"], ["ts", *tie], ["value"], F.floor(F.unix_seconds("ts") / step))
     inc = F.when(F.col("prev_value").isNull(), F.lit(0.0)).when(
         F.col("value") >= F.col("prev_value"), F.col("value") - F.col("prev_value")).otherwise(F.col("value"))

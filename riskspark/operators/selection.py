@@ -59,7 +59,7 @@ def kth_cut(df: DataFrame, cols: Sequence[str], k: int, accuracy: int = ACCURACY
     try:
         return _search(keys, cols, k, accuracy, n)
     finally:
-        keys.unpersist()
+        keys.unpersist(blocking=True)
 
 
 def _finish_on_driver(band: DataFrame, cols: list[str], i: int, prefix: list, remaining: int) -> Cut:

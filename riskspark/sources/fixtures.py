@@ -87,7 +87,10 @@ def stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
         import hashlib
         tag = hashlib.sha1(key[1].encode()).hexdigest()[:12]
         path = checkpoint_path(spark, "inputs", f"{name}-{tag}-{key[0]}")
-        build(spark, sf_dir).write.mode("overwrite").option("compression", "snappy").parquet(path)
+        # one file per task slot, so that reading the stored table is parallel
+        # (the small test files hold a single row group each)
+        parts = max(1, spark.sparkContext.defaultParallelism)
+        build(spark, sf_dir).repartition(parts).write.mode("overwrite").option("compression", "snappy").parquet(path)
         _STORED[key] = path
     return spark.read.parquet(path)
 

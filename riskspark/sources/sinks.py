@@ -39,7 +39,7 @@ def dual_sink(df: DataFrame, path_a: str, path_b: str, batch_id: int | None = No
                  .option("partitionOverwriteMode", "dynamic").option("compression", "snappy")
                  .partitionBy("batch_id").parquet(p))
     finally:
-        df.unpersist()
+        df.unpersist(blocking=True)
 
 
 def snapshot_json(df: DataFrame, path: str) -> None:
