@@ -28,43 +28,47 @@ def batch_counters(scored: DataFrame, batch: str = "batch_id", ts: str = "batch_
 
     totals, flagged totals, band counts, and per category / state counts and
     amounts of flagged rows; the category mean score is kept as a sum and a
-    count (a mean of means would be wrong across batches).
+    count (a mean of means would be wrong across batches).  One aggregate with
+    grouping sets -- (batch), (batch, category), (batch, state) -- computes
+    all of them in a single scan and shuffle.
     """
     f = F.col("fraud_score") >= threshold
     amt = F.col("amt").cast("decimal(18,2)")
     band = risk_band("fraud_score", BAND_CUTS)
-    tot = scored.groupBy(batch).agg(
+    d = (scored.withColumn("category", F.coalesce("category", F.lit("unknown")))
+               .withColumn("state", F.coalesce("state", F.lit("unknown"))))
+    g = d.groupingSets([[batch], [batch, "category"], [batch, "state"]], batch, "category", "state").agg(
+        F.grouping_id().alias("_gid"),
         F.max(ts).alias("_ts"),
         F.count(F.lit(1)).alias("n"), F.sum(amt).alias("amount"),
         F.count(F.when(f, 1)).alias("flagged"), F.coalesce(F.sum(F.when(f, amt)), F.lit(0)).alias("flagged_amount"),
+        F.sum(F.when(f, F.col("fraud_score").cast("decimal(12,4)"))).alias("score_sum"),
         *[F.count(F.when(band == b, 1)).alias(f"band_{b}") for b in ("low", "medium", "high")])
     t = F.col("_ts")
-    totals = tot.select(F.explode(F.array(
+    totals = [
         _rows(batch, t, F.lit("total_txns_scored"), "counter", F.col("n")),
         _rows(batch, t, F.lit("total_amount_processed"), "counter", F.col("amount")),
         _rows(batch, t, F.lit("fraud_blocked_count"), "counter", F.col("flagged")),
         _rows(batch, t, F.lit("total_fraud_amount_identified"), "counter", F.col("flagged_amount")),
         *[_rows(batch, t, F.lit(f"fraud_dist_{b}"), "counter", F.col(f"band_{b}")) for b in ("low", "medium", "high")],
         _rows(batch, t, F.lit("last_batch_size"), "gauge", F.col("n")),
-    )).alias("m")).select("m.*")
-    hr = scored.where(f).withColumn("category", F.coalesce("category", F.lit("unknown"))) \
-               .withColumn("state", F.coalesce("state", F.lit("unknown")))
-    cat = hr.groupBy(batch, "category").agg(
-        F.max(ts).alias("_ts"), F.count(F.lit(1)).alias("n"), F.sum(amt).alias("amount"),
-        F.sum(F.col("fraud_score").cast("decimal(12,4)")).alias("score_sum"))
+    ]
     pre = F.concat(F.lit("category_"), F.col("category"))
-    cats = cat.select(F.explode(F.array(
-        _rows(batch, t, F.concat(pre, F.lit("_count")), "counter", F.col("n")),
-        _rows(batch, t, F.concat(pre, F.lit("_amount")), "counter", F.col("amount")),
+    cats = [
+        _rows(batch, t, F.concat(pre, F.lit("_count")), "counter", F.col("flagged")),
+        _rows(batch, t, F.concat(pre, F.lit("_amount")), "counter", F.col("flagged_amount")),
         _rows(batch, t, F.concat(pre, F.lit("_score_sum")), "counter", F.col("score_sum")),
-    )).alias("m")).select("m.*")
-    st = hr.groupBy(batch, "state").agg(F.max(ts).alias("_ts"), F.count(F.lit(1)).alias("n"), F.sum(amt).alias("amount"))
+    ]
     spre = F.concat(F.lit("state_"), F.col("state"))
-    states = st.select(F.explode(F.array(
-        _rows(batch, t, F.concat(spre, F.lit("_count")), "counter", F.col("n")),
-        _rows(batch, t, F.concat(spre, F.lit("_amount")), "counter", F.col("amount")),
-    )).alias("m")).select("m.*")
-    return totals.unionByName(cats).unionByName(states)
+    states = [
+        _rows(batch, t, F.concat(spre, F.lit("_count")), "counter", F.col("flagged")),
+        _rows(batch, t, F.concat(spre, F.lit("_amount")), "counter", F.col("flagged_amount")),
+    ]
+    # grouping_id bits: (category, state) absent -> 3 = (batch); 1 = (batch, category); 2 = (batch, state)
+    rows = (F.when(F.col("_gid") == 3, F.array(*totals))
+             .when((F.col("_gid") == 1) & (F.col("flagged") > 0), F.array(*cats))
+             .when((F.col("_gid") == 2) & (F.col("flagged") > 0), F.array(*states)))
+    return g.select(F.explode(rows).alias("m")).select("m.*")
 
 
 def metric_increment(df: DataFrame, batch_id: int, name: str, value: Column | None = None,
