@@ -12,6 +12,8 @@ Column expressions are written once as SQL text and used by both engines
 
 from __future__ import annotations
 
+import threading
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -70,6 +72,7 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 _STORED: dict[tuple[str, str, str], str] = {}
+_STORED_LOCK = threading.RLock()
 
 
 def stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
@@ -80,8 +83,14 @@ def stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     files, metric stores, file listings), so queries read a columnar table
     with pushdown instead of re-running the reshaping on every pass.
     """
-    from ..session import checkpoint_path
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), name)
+    with _STORED_LOCK:  # one build per input, also when queries run from several threads
+        return spark.read.parquet(_stored_path(spark, key, build))
+
+
+def _stored_path(spark: SparkSession, key: tuple[str, str, str], build) -> str:
+    from ..session import checkpoint_path
+    sf_dir, name = key[1], key[2]  # key = (application id, input folder, input name)
     path = _STORED.get(key)
     if path is None:
         import hashlib
@@ -92,7 +101,7 @@ def stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
         parts = max(1, spark.sparkContext.defaultParallelism)
         build(spark, sf_dir).repartition(parts).write.mode("overwrite").option("compression", "snappy").parquet(path)
         _STORED[key] = path
-    return spark.read.parquet(path)
+    return path
 
 
 def tx(spark: SparkSession, sf_dir: str) -> DataFrame:
