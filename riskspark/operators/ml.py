@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..functions.features import FRAUD_THRESHOLD, MODEL_FEATURES, model_columns
 from ..session import ensure_checkpoint_dir
-from .selection import at_cut, below_cut, kth_cut, upto_cut
+from .selection import at_cut, kth_cut, upto_cut
 
 EVAL_THRESHOLD = 0.5          # evaluation counts score > 0.5 (serving uses >= 0.52)
 MIN_TRAIN_ROWS = 1000
@@ -34,43 +34,44 @@ MIN_EVAL_ROWS = 100
 
 
 # ------------------------------------------------------------------ M1 split
-def ordered_split(df: DataFrame, fraction: float = 0.2, keys: Sequence[str] = ("unix_time",)
-                  ) -> tuple[DataFrame, DataFrame]:
-    """M1: the last ``fraction`` of rows in ``keys`` order is the test set,
-    test size = int(n * fraction).
+def mark_split(df: DataFrame, fraction: float = 0.2, keys: Sequence[str] = ("unix_time",)) -> DataFrame:
+    """M1: ``df`` with ``is_test``: true for the last ``fraction`` of rows in
+    ``keys`` order, exactly int(n * fraction) rows.
 
     A hash of the whole row is the last sort key, so the order is total
     except for rows identical in every column, which are interchangeable.
     The boundary is found by an exact distributed search (``selection``); the
-    two sides are then plain filters -- no global sort, no window.
+    flag is then one struct comparison -- no global sort, no window.
     """
     cols = list(keys)
-    h = F.xxhash64(*[F.col(c) for c in df.columns])
-    d = df.withColumn("_split_h", h)
+    d = df.withColumn("_split_h", F.xxhash64(*[F.col(c) for c in df.columns]))
     order = [*cols, "_split_h"]
     n = d.count()
     n_test = int(n * fraction)
     n_train = n - n_test
-    if n_train <= 0:
-        return d.limit(0).drop("_split_h"), d.drop("_split_h")
-    if n_test <= 0:
-        return d.drop("_split_h"), d.limit(0).drop("_split_h")
+    if n_train <= 0 or n_test <= 0:
+        return d.withColumn("is_test", F.lit(n_train <= 0)).drop("_split_h")
     cut = kth_cut(d, order, n_train, n=n)
-    below, at, upto = below_cut(d, order, cut), at_cut(d, order, cut), upto_cut(d, order, cut)
+    at, upto = at_cut(d, order, cut), upto_cut(d, order, cut)
     n_at = cut.n_at if cut.n_at is not None else d.where(at).count()
     if cut.take >= n_at:
-        train, test = d.where(upto), d.where(~upto)
-    else:
-        # identical rows straddle the cut: number them once (checkpointed, so the
-        # numbering is stable) and send the first ``take`` of them to train
-        ensure_checkpoint_dir(df.sparkSession)  # the shared folder named by spark.checkpoint.dir
-        tie = d.where(at).withColumn("_tie_id", F.monotonically_increasing_id()).checkpoint()
-        tcut = kth_cut(tie, ["_tie_id"], cut.take, n=n_at)
-        tie_train = tie.where(F.col("_tie_id") <= F.lit(tcut.key[0])).drop("_tie_id")
-        tie_test = tie.where(F.col("_tie_id") > F.lit(tcut.key[0])).drop("_tie_id")
-        train = d.where(below).unionByName(tie_train)
-        test = d.where(~upto).unionByName(tie_test)
-    return train.drop("_split_h"), test.drop("_split_h")
+        return d.withColumn("is_test", ~upto).drop("_split_h")
+    # identical rows straddle the cut: number them once (checkpointed, so the
+    # numbering is stable) and send the first ``take`` of them to train
+    ensure_checkpoint_dir(df.sparkSession)  # the shared folder named by spark.checkpoint.dir
+    tie = d.where(at).withColumn("_tie_id", F.monotonically_increasing_id()).checkpoint()
+    tcut = kth_cut(tie, ["_tie_id"], cut.take, n=n_at)
+    tie = tie.withColumn("is_test", F.col("_tie_id") > F.lit(tcut.key[0])).drop("_tie_id")
+    rest = d.where(~at).withColumn("is_test", ~upto)
+    return rest.unionByName(tie).drop("_split_h")
+
+
+def ordered_split(df: DataFrame, fraction: float = 0.2, keys: Sequence[str] = ("unix_time",)
+                  ) -> tuple[DataFrame, DataFrame]:
+    """M1: (train, test) -- the last ``fraction`` of rows in ``keys`` order is
+    the test set, test size = int(n * fraction).  See ``mark_split``."""
+    m = mark_split(df, fraction, keys)
+    return m.where(~F.col("is_test")).drop("is_test"), m.where(F.col("is_test")).drop("is_test")
 
 
 # ------------------------------------------------------------------ M2, M3
