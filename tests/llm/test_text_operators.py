@@ -1,0 +1,187 @@
+"""Operators on single texts against brute force: BPE, secrets, language, toxicity."""
+
+import hashlib
+import random
+import re
+
+import numpy as np
+import pytest
+
+from riskspark.llm import bpe, langid, queries, secrets, toxicity
+
+from .conftest import AWKWARD, documents
+
+
+@pytest.fixture(scope="module")
+def reference():
+    import tiktoken
+    path, pattern = bpe.default_tokenizer()
+    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=bpe.load_ranks(path), special_tokens={})
+
+
+def test_transducer_equals_tiktoken(reference):
+    codec, rnd = bpe.codec(*bpe.default_tokenizer()), random.Random(3)
+    parts = ["a", "aa", "the", "ing", " ", "  ", "\n", "\t", "é", "ß", "中", "1", "!!", "'s", "'ll", "\xa0", "\x1c", "🙂"]
+    for _ in range(1500):
+        text = "".join(rnd.choice([*parts, chr(rnd.randint(1, 0x2FFF)), chr(rnd.randint(97, 122))]) for _ in range(rnd.randint(0, 50)))
+        assert codec.encode(text) == reference.encode_ordinary(text)
+    long = "ab" * 30_000 + " " * 20_000 + "?!" * 9_000
+    assert codec.encode(long) == reference.encode_ordinary(long)
+
+
+def test_transducer_forgets_states_without_changing_results(reference):
+    machine = bpe.Transducer(bpe.load_ranks(bpe.default_tokenizer()[0]), max_states=20)
+    for word in [" internationalisation", "xqzvwk" * 40, "überraschend"]:
+        assert list(machine.encode(word.encode())) == reference.encode_ordinary(word)
+
+
+def test_pair_rule_equals_merging():
+    """A pair may follow exactly if merging its bytes gives the pair, also where ranks are not in order."""
+    ranks = {bytes([i]): i for i in range(256)} | {b"ab": 300, b"bc": 290, b"abc": 260, b"ca": 310, b"cab": 280, b"aa": 305, b"aaa": 299}
+    machine, rnd = bpe.Transducer(ranks), random.Random(5)
+    for _ in range(4000):
+        data = bytes(rnd.choice(b"abc") for _ in range(rnd.randint(1, 12)))
+        if data not in ranks:
+            assert machine.encode(data) == machine.merge(data)
+
+
+def test_utf8_machine_cuts_anywhere():
+    text = "aé中🙂ࠀ\U0010FFFF" * 3
+    for data in (text.encode(), b"\xff\xe4\xb8" + text.encode() + b"\xf0\x9f", b"\xed\xa0\x80\xc0\xaf\xf4\x90\x80\x80"):
+        for step in (1, 2, 3, 5):
+            machine = bpe.Utf8Machine()
+            got = "".join(machine.feed(data[i:i + step]) for i in range(0, len(data), step)) + machine.finish()
+            assert got == data.decode("utf-8", "replace")
+
+
+def test_bpe_rows(awkward, reference):
+    got = sorted(bpe.encode_decode(awkward, with_ids=True).collect(), key=lambda r: (r.doc_id or 0, r.ids_sha256))
+    want = []
+    for i, text in AWKWARD:
+        ids = reference.encode_ordinary(text or "")
+        want.append((i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest()))
+    assert [tuple(r)[:4] for r in got] == sorted(want, key=lambda r: (r[0] or 0, r[2]))
+    assert all(r.round_trip for r in got)
+    back = bpe.decode(awkward.sparkSession.createDataFrame([(r.doc_id, r.token_ids) for r in got], "doc_id long, ids array<int>"), "doc_id", "ids")
+    assert sorted((r.text for r in back.collect())) == sorted(t or "" for _, t in AWKWARD)
+
+
+# ---------------------------------------------------------------- secrets
+
+def base_spans(text):
+    out = []
+    for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A):
+        if len(m[2]) >= 6:
+            out.append((m.start(), 0, m.end()))
+    out += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if m.end() - m.start() >= 20]
+    out += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", text) if m.end() - m.start() >= 24]
+    return sorted(out)
+
+
+def all_spans(text, scope=400):
+    base = base_spans(text)
+    secret = [(m.start(), 3, m.end()) for m in re.finditer(secrets.SECRET, text)]
+    point = [(m.start(), 4, m.end()) for m in re.finditer(secrets.ENDPOINT, text) if m.end() - m.start() >= 8]
+    access, value = [s for s, k, _ in base if k == 1], [s for s, k, _ in base if k < 2]
+    more = [x for x in secret if any(abs(x[0] - s) <= scope for s in access)] + [x for x in point if any(abs(x[0] - s) <= scope for s in value)]
+    return base, sorted(base + more)
+
+
+def listed(spans):
+    return ",".join(f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e in spans)
+
+
+def check_scan(rows, texts):
+    want = {}
+    for i, text in texts:
+        base, every = all_spans(text or "")
+        kinds = [k for _, k, _ in base]
+        want[i] = (kinds.count(0), kinds.count(1), kinds.count(2), hashlib.sha256(listed(base).encode()).hexdigest(), listed(every))
+    got = {r.doc_id: (r.n_assign, r.n_access, r.n_hex, r.base_sha256, r.spans) for r in rows}
+    assert len(rows) == len(texts) and got == want
+
+
+def test_secrets_on_table(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    check_scan(queries.op8_secret_scan(spark, sf).collect(), [(r.doc_id, r.text) for r in docs.collect()])
+
+
+def test_secrets_edges(spark):
+    key, weak = "AKIA" + "Z9" * 10, "Ab1/" * 10
+    texts = [None, "", "token=token=abcdefgh", "secret: token = abcdefg", 'API_KEY": "xyz789"', "passwd=abc", key, "AKIA" + "A" * 15, "f" * 24, "f" * 23,
+             f"é🙂 {key} secret {weak} https://s3.example.com:80/x", f"{weak} alone https://a.bc", f"{key}{' ' * 500}{weak}", f"{weak}{' ' * 300}{key}",
+             "password=" + "a" * 30, f"https://api.example.org token: abc123def {key}" * 200, "0123456789abcdef" * 4]
+    texts = list(enumerate(texts))
+    check_scan(secrets.scan(documents(spark, texts)).collect(), texts)
+    assert secrets.scan(documents(spark, texts).limit(0)).count() == 0
+    assert secrets.scan(documents(spark, AWKWARD)).count() == len(AWKWARD)
+
+
+# ---------------------------------------------------------------- language
+
+def brute_grams(text):
+    s = re.sub(r" +", " ", "".join(c if c.isalpha() else " " for c in (text or "").lower())).strip()
+    s = "   " + s + " " if s else ""
+    fold = lambda c: ord(c) if ord(c) < 0x10000 else 0xE000 + ord(c) % 0x1900
+    return [sum(fold(c) << 16 * (3 - j) for j, c in enumerate(s[i:i + 4])) for i in range(len(s) - 3)]
+
+
+def test_grams_equal_brute_force():
+    texts = ["", "  ", "Hi", "a-b", None, "...x", "\0nul\0", "émile Zola 🙂", "𝔘nicode", "q", " ends ", "ends!?"]
+    got, counts = langid.grams(texts)
+    assert counts.tolist() == [len(brute_grams((t or "").replace("\0", " "))) for t in texts]
+    assert got.tolist() == [g for t in texts for g in brute_grams((t or "").replace("\0", " "))]
+
+
+def test_kneser_ney_sums_to_one():
+    g, _ = langid.grams(["the cat sat on the mat and the dog sat too", "a cat and a dog"])
+    model = langid.KneserNey(*(lambda k, n: (k, n))(*np.unique(g, return_counts=True)))
+    context = g[5] >> np.uint64(16)
+    asked = (np.uint64(int(context) << 16) | np.arange(65536, dtype=np.uint64))
+    assert abs(float((2.0 ** -model.bits(asked)).sum()) - 1) < 1e-3
+
+
+def test_language_held_out_accuracy(spark):
+    sf = "/root/testdata/sf0.01"
+    truth = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang").collect()}
+    rows = queries.op6_language_id(spark, sf).collect()
+    held = [r for r in rows if r.held_out and truth[r.doc_id]]
+    assert len(rows) == len(truth) and held
+    assert sum(r.lang_pred == truth[r.doc_id] for r in held) / len(held) > 0.97
+    assert all(0 <= r.score <= 1 for r in rows)
+
+
+def test_language_edges(spark, awkward):
+    none = langid.identify(awkward).collect()
+    assert len(none) == len(AWKWARD) and {r.lang_pred for r in none} == {"und"}
+    docs = documents(spark, [*[(i, t, "en") for i, t in AWKWARD], *[(100 + i, "der hund und die katze", "de") for i in range(9)]])
+    got = langid.identify(docs).collect()
+    und = {r.doc_id for r in got if r.lang_pred == "und"}
+    assert und == {1, 2, 3, 10} and len(got) == len(AWKWARD) + 9
+    assert langid.identify(docs.limit(0)).count() == 0
+
+
+# ---------------------------------------------------------------- toxicity
+
+def test_toxicity_held_out(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    truth = {r.doc_id: r.toxic for r in labels.collect() if r.toxic is not None}
+    rows = toxicity.report(docs, labels, trees=8).collect()
+    held = [r for r in rows if r.held_out and r.doc_id in truth]
+    hit = sum(1 for r in held if r.predicted and truth[r.doc_id])
+    assert hit / max(1, sum(truth[r.doc_id] for r in held)) > 0.9
+    assert hit / max(1, sum(r.predicted for r in held)) > 0.9
+    assert len(rows) == docs.count() and all(0 <= r.score <= 1 for r in rows)
+
+
+def test_toxicity_edges(spark, awkward):
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    got = toxicity.report(awkward, none).collect()
+    assert len(got) == len(AWKWARD) and {r.score for r in got} == {0.0}
+    assert toxicity.keep_clean(awkward, none).columns == awkward.columns
+    labels = spark.createDataFrame([(i, 1, t) for i in range(80) for t in ([0] if i % 4 else [1, None])] + [(None, 1, 1)], none.schema)
+    docs = documents(spark, [*AWKWARD, *[(20 + i, "you are a moron" if (20 + i) % 4 == 0 else "a fine day", "en") for i in range(60)]])
+    rows = toxicity.report(docs, labels, trees=2, depth=2).collect()
+    assert len(rows) == len(AWKWARD) + 60 and all(0 <= r.score <= 1 for r in rows)
+    assert toxicity.report(docs.limit(0), labels).count() == 0
