@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from riskspark.llm import chat, dedup, queries, shards, simhash, warc, winnow
 
-from .conftest import AWKWARD, documents
+from llm_data import AWKWARD, documents
 
 
 # ---------------------------------------------------------------- exact dedup

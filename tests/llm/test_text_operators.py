@@ -9,7 +9,7 @@ import pytest
 
 from riskspark.llm import bpe, langid, queries, secrets, toxicity
 
-from .conftest import AWKWARD, documents
+from llm_data import AWKWARD, documents
 
 
 @pytest.fixture(scope="module")
