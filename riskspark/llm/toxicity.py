@@ -123,7 +123,7 @@ def learn_lexicon(sample: DataFrame, size: int, least_odds: float = 3.0) -> dict
               .agg(F.sum("t").alias("t"), F.sum("c").alias("c")).filter("t >= 3"))
     t, c = F.col("t") + 0.5, F.col("c") + 0.5
     odds = F.log(t / (toxic + 1)) - F.log(c / (clean + 1))
-    low = odds - 1.64 * F.sqrt(1 / t + 1 / c)
+    low = odds - 2.58 * F.sqrt(1 / t + 1 / c)
     rows = (counts.select("term", low.alias("w"), (odds - F.log(F.lit(least_odds))).alias("o")).filter("w > 0 and o > 0")
             .orderBy(F.desc("w"), "term").limit(size).collect())
     return {r["term"]: float(r["w"]) for r in rows}
