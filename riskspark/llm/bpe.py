@@ -26,7 +26,7 @@ import gc
 import hashlib
 import re
 from collections.abc import Callable, Iterator
-from itertools import chain
+from itertools import accumulate, chain
 
 import pyarrow as pa
 import regex
@@ -49,7 +49,7 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class Transducer:
     """Lazily determinised BPE transducer over bytes."""
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 200_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 120_000):
         self.ranks, self.max_states = ranks, max_states
         self.bytes_of = {v: k for k, v in ranks.items()}
         leaf: dict[int, int] = {}
@@ -73,7 +73,9 @@ class Transducer:
 
     def _reset(self) -> None:
         """Forget all states but the start.  A state is (paths, row); the row maps a byte
-        to (next state, tokens emitted)."""
+        to (next state, tokens emitted).  States point at each other, so rows are emptied."""
+        for _, row in getattr(self, "known", {}).values():
+            row.clear()
         self.known: dict[tuple, tuple] = {}
         self.start = self._state(((NONE, (), ROOT),))
 
@@ -265,7 +267,7 @@ def splitter(pattern: str) -> Callable[[str], list[str]]:
 class _Memo(dict):
     """Piece -> token ids, computed on first use; emptied when full."""
 
-    def __init__(self, machine: Transducer, most: int = 300_000):
+    def __init__(self, machine: Transducer, most: int = 200_000):
         self.machine, self.most = machine, most
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
@@ -288,6 +290,12 @@ class Codec:
         self.vocab = [self.machine.bytes_of.get(i, b"") for i in range(size)]
         self.names = [str(i) for i in range(size)]
 
+    def forget(self) -> None:
+        """Drop all that was learned from texts."""
+        self.memo.clear()
+        self.machine.valid.clear()
+        self.machine._reset()
+
     def encode(self, text: str) -> list[int]:
         return list(chain.from_iterable(map(self.memo.__getitem__, self.split(text))))
 
@@ -316,32 +324,41 @@ def default_tokenizer() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def _rows(c: Codec, part: pa.RecordBatch, with_ids: bool) -> pa.RecordBatch:
+    cols: list[list] = [[], [], [], [], []]
+    for text in part.column(1).to_pylist():
+        text = text or ""
+        ids = c.encode(text)
+        plain, chars = hashlib.sha256(), []
+        for data, done in c.decode(ids):
+            plain.update(data)
+            chars.append(done)
+        cols[0].append(len(ids))
+        cols[1].append(hashlib.sha256(",".join(map(c.names.__getitem__, ids)).encode()).hexdigest())
+        cols[2].append(plain.hexdigest())
+        cols[3].append("".join(chars) == text)
+        if with_ids:
+            cols[4].append(pa.array(ids, pa.int32()))
+    out = [part.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()),
+           pa.array(cols[2], pa.string()), pa.array(cols[3], pa.bool_())]
+    names = ["id", "n_tokens", "ids_sha256", "decoded_sha256", "round_trip"]
+    if with_ids:
+        offsets = pa.array([0, *accumulate(cols[0])], pa.int32())
+        out.append(pa.ListArray.from_arrays(offsets, pa.concat_arrays(cols[4])))
+        names.append("token_ids")
+    return pa.RecordBatch.from_arrays(out, names=names)
+
+
 def _report(path: str, pattern: str, with_ids: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
-        gc.disable()  # the transducer's tuples hold no cycles, and scanning them costs more than the work
-        for part in slices(batches, 1):
-            cols: list[list] = [[], [], [], [], []]
-            for text in part.column(1).to_pylist():
-                text = text or ""
-                ids = c.encode(text)
-                plain, chars = hashlib.sha256(), []
-                for data, done in c.decode(ids):
-                    plain.update(data)
-                    chars.append(done)
-                cols[0].append(len(ids))
-                cols[1].append(hashlib.sha256(",".join(map(c.names.__getitem__, ids)).encode()).hexdigest())
-                cols[2].append(plain.hexdigest())
-                cols[3].append("".join(chars) == text)
-                if with_ids:
-                    cols[4].append(ids)
-            out = [part.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()),
-                   pa.array(cols[2], pa.string()), pa.array(cols[3], pa.bool_())]
-            names = ["id", "n_tokens", "ids_sha256", "decoded_sha256", "round_trip"]
-            if with_ids:
-                out.append(pa.array(cols[4], pa.list_(pa.int32())))
-                names.append("token_ids")
-            yield pa.RecordBatch.from_arrays(out, names=names)
+        gc.disable()  # scanning the transducer's many tuples costs more than the work; it frees them itself
+        try:
+            for part in slices(batches, 1):
+                yield _rows(c, part, with_ids)
+        finally:
+            gc.enable()
+            c.forget()  # the worker process may live on with other work
     return run
 
 
