@@ -23,11 +23,11 @@ EXTRA_KEYS = ["cpu_tps", "gpu_tps", "fb_read", "fb_write", "cpu_util", "gpu_util
 def telemetry_entries(line: Column) -> Column:
     """array<struct<key, value>> of the ``key=value`` parts of a telemetry line:
     parts split on '|', trimmed, tag removed, split at the first '='."""
-    parts = F.transform(F.split(line, r"\|"), lambda p: F.trim(F.replace(F.trim(p), F.lit(TAG), F.lit(""))))
+    parts = F.transform(F.split(line, r"\|"), lambda p: strip(F.replace(strip(p), F.lit(TAG), F.lit(""))))
     kv = F.filter(parts, lambda p: F.instr(p, "=") > 0)
     return F.transform(kv, lambda p: F.struct(
-        F.trim(F.substring_index(p, "=", 1)).alias("key"),
-        F.trim(F.substr(p, F.instr(p, "=") + 1)).alias("value")))
+        strip(F.substring_index(p, "=", 1)).alias("key"),
+        strip(F.substr(p, F.instr(p, "=") + 1)).alias("value")))
 
 
 def _last_value(entries: Column, key: str) -> Column:
@@ -36,7 +36,8 @@ def _last_value(entries: Column, key: str) -> Column:
     return F.when(F.size(hits) > 0, F.element_at(hits, -1)["value"])
 
 
-PART_RE = r"(?:^|\|) *([^=|]*?) *=([^|]*)"
+PART_RE = r"(?:^|\|)\s*([^=|]*?)\s*=([^|]*)"
+NUMBER_RE = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$|^[+-]?(?i:nan|inf|infinity)$"
 
 
 def key_value_arrays(clean: Column) -> tuple[Column, Column]:
@@ -50,7 +51,12 @@ def key_value_arrays(clean: Column) -> tuple[Column, Column]:
 def key_value(names: Column, values: Column, key: str) -> Column:
     """Value of the last part named ``key`` (later parts overwrite earlier ones), or null."""
     pos = F.array_position(names, F.lit(key))
-    return F.when(pos > 0, F.trim(F.element_at(values, pos.cast("int"))))
+    return F.when(pos > 0, strip(F.element_at(values, pos.cast("int"))))
+
+
+def strip(c: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
 def parse_telemetry(df: DataFrame, line: str = "line", keep: list[str] | None = None,
@@ -110,14 +116,16 @@ def with_telemetry(df: DataFrame, line: str = "line", keep: list[str] | None = N
     for k in TEXT_KEYS:
         out.append(F.col(f"_raw_{k}").alias(k))
     for k, _ in typed_keys:
-        bad = bad | (F.col(f"_raw_{k}").isNotNull() & F.col(f"_typed_{k}").isNull())
+        bad = bad | (F.col(f"_raw_{k}").isNotNull() & (F.col(f"_typed_{k}").isNull() | ~F.col(f"_raw_{k}").rlike(NUMBER_RE)))
         out.append(F.col(f"_typed_{k}").alias(k))
     if with_extra:
         d = d.withColumn("_e", F.when(tagged, telemetry_entries(F.col(line))))
         known = F.array(*[F.lit(k) for k in TEXT_KEYS + INT_KEYS + FLOAT_KEYS])
         others = F.filter(F.col("_e"), lambda e: ~F.array_contains(known, e["key"]))
-        out.append(F.map_from_arrays(F.transform(others, lambda e: e["key"]),
-                                     F.transform(others, lambda e: e["value"])).alias("extra"))
+        # a repeated key keeps its last value
+        last = F.filter(others, lambda e, i: ~F.exists(F.slice(others, i + 2, F.size(others)), lambda x: x["key"] == e["key"]))
+        out.append(F.map_from_arrays(F.transform(last, lambda e: e["key"]),
+                                     F.transform(last, lambda e: e["value"])).alias("extra"))
     return d.select(*out, (F.col("_tagged") & bad).alias("_bad"))
 
 

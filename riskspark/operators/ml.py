@@ -15,6 +15,7 @@ import time
 from dataclasses import dataclass
 from typing import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
@@ -204,8 +205,10 @@ def registry_table(spark: SparkSession, root: str) -> DataFrame | None:
     through Spark's readers/writers, so ``root`` can be any shared file system."""
     try:
         return spark.read.parquet(f"{root.rstrip('/')}/{REGISTRY}")
-    except Exception:  # noqa: BLE001 -- no registry written yet
-        return None
+    except AnalysisException as e:  # only a missing folder means that nothing was registered yet
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
 
 
 def latest_version(spark: SparkSession, root: str) -> ModelVersion | None:
@@ -230,7 +233,7 @@ def register_model(model: PipelineModel, root: str, features: Sequence[str] = MO
     spark = SparkSession.getActiveSession()
     version = version or next_version(spark, root)
     path = f"{root.rstrip('/')}/{version}"
-    model.write().overwrite().save(f"{path}/model")
+    model.write().save(f"{path}/model")  # fails where this version exists, also for the slower of two writers
     row = [(version, path, time.time(), json.dumps(list(features)), json.dumps(metrics or {}))]
     (spark.createDataFrame(row, "version int, path string, created double, features string, metrics string")
      .coalesce(1).write.mode("append").parquet(f"{root.rstrip('/')}/{REGISTRY}"))

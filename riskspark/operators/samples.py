@@ -64,33 +64,33 @@ def sum_by_label(inst: DataFrame, match: dict[str, str] | None = None, scale: fl
 
 def counter_increase(samples: DataFrame, window_seconds: int, tie: Sequence[str] = ()) -> DataFrame:
     """Q4m: per series and tumbling window [start, start + window), the counter
-    increase between consecutive samples of that window.  A decrease is a
-    reset: the new value counts as the increase.  No extrapolation to the
-    window edges (Prometheus does extrapolate; we do not claim its numbers).
+    increase and the time it covers.  Each step from one sample of the series
+    to the next counts in the window of the later one, with its increase and
+    its length, so nothing is lost between windows.  A decrease is a reset:
+    the new value counts as the increase.  The first sample of a series has no
+    step.  No extrapolation to the window edges (Prometheus does extrapolate;
+    we do not claim its numbers).
     """
     w = F.floor(F.unix_seconds("ts") / window_seconds)
-    d = samples.select("metric", series_key().alias("_sk"), "ts", "value", *tie, w.alias("_w"))
-    # lag inside (series, window); windows longer than a day are cut into day
-    # buckets so one busy series-window spreads over several tasks (shorter
-    # windows are their own bucket: a finer one would only add a summary as
-    # large as the data)
-    step = 86400 if window_seconds > 86400 and window_seconds % 86400 == 0 else window_seconds
-    p = previous_row(d, ["metric", "_sk", "_w"], ["ts", *tie], ["value"], F.floor(F.unix_seconds("ts") / step))
+    d = samples.select("metric", series_key().alias("_sk"), "ts", "value", *tie, F.unix_micros("ts").alias("_us"))
+    # hour buckets spread one busy series over several tasks
+    p = previous_row(d, ["metric", "_sk"], ["ts", *tie], ["value", "_us"], F.floor(F.unix_seconds("ts") / 3600))
     inc = F.when(F.col("prev_value").isNull(), F.lit(0.0)).when(
         F.col("value") >= F.col("prev_value"), F.col("value") - F.col("prev_value")).otherwise(F.col("value"))
-    return (p.groupBy("metric", "_sk", "_w")
-            .agg(F.sum(inc).alias("increase"), F.count(F.lit(1)).cast("bigint").alias("n_samples"))
+    return (p.withColumn("_w", w).groupBy("metric", "_sk", "_w")
+            .agg(F.sum(inc).alias("increase"), F.count(F.lit(1)).cast("bigint").alias("n_samples"),
+                 F.coalesce(F.sum(F.col("_us") - F.col("prev__us")), F.lit(0).cast("bigint")).alias("covered_us"))
             .select("metric", F.map_from_entries("_sk").alias("labels"),
                     F.timestamp_seconds(F.col("_w") * window_seconds).alias("window_start"),
-                    "increase", "n_samples"))
+                    "increase", "n_samples", "covered_us"))
 
 
 def counter_rate(samples: DataFrame, window_seconds: int, tie: Sequence[str] = (), metric: str | None = None,
                  match: dict[str, str] | None = None, by: Sequence[str] | None = None) -> DataFrame:
-    """Q4m: ``rate(c[window])`` per series and window = increase / window
-    seconds; with ``by``, ``sum by (labels) (rate(...))``."""
+    """Q4m: ``rate(c[window])`` per series and window = increase / covered
+    seconds (null where no time is covered); with ``by``, ``sum by (labels) (rate(...))``."""
     inc = counter_increase(_select(samples, metric, match), window_seconds, tie)
-    rate = inc.withColumn("rate", F.col("increase") / float(window_seconds))
+    rate = inc.withColumn("rate", F.try_divide(F.col("increase") * 1e6, F.col("covered_us").cast("double")))
     if by is None:
         return rate
     return rate.groupBy("metric", "window_start", *[label(b).alias(b) for b in by]).agg(F.sum("rate").alias("rate"))
@@ -103,19 +103,18 @@ def _select(samples: DataFrame, metric: str | None, match: dict[str, str] | None
     return d
 
 
-def cpu_busy(increases: DataFrame, window_seconds: int, mode_label: str = "mode") -> DataFrame:
+def cpu_busy(increases: DataFrame, mode_label: str = "mode") -> DataFrame:
     """Q5m: per window, 100 - avg(rate(idle))*100, avg(rate(user))*100, avg(rate(iowait))*100.
 
-    avg(rate) is taken as sum(increase) / window / n_series, which is the same
-    number but sums the counter increases (exact for integral counters)
-    instead of already divided rates.
+    avg(rate) is taken over the covered time of all series, sum(increase) /
+    sum(covered time): exact sums instead of a mean of already divided rates.
     """
     m = label(mode_label)
 
     def avg_rate(mode: str) -> Column:
         inc = F.sum(F.when(m == mode, F.col("increase")))
-        n = F.count(F.when(m == mode, F.lit(1)))
-        return inc / float(window_seconds) / n
+        covered = F.sum(F.when(m == mode, F.col("covered_us"))).cast("double")
+        return F.try_divide(inc * 1e6, covered)
 
     return increases.groupBy("window_start").agg(
         (100 - avg_rate("idle") * 100).alias("busy_pct"),

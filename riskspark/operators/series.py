@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .windows import previous_row
+from .windows import null_safe_join, previous_row
 
 MIB = 1024 * 1024
 
@@ -78,9 +78,9 @@ def cumulative(df: DataFrame, keys: Sequence[str], order: Sequence[str], value:
     per_bucket = d.groupBy(*keys, "_b").agg(agg(value).alias("_tot"))
     w_b = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     before = per_bucket.select(*keys, "_b", agg("_tot").over(w_b).alias("_before"))
-    j = inside.join(before, [*keys, "_b"], "left")
+    j = null_safe_join(inside, before, [*keys, "_b"])
     if how == "sum":
-        combined = F.coalesce(F.col("_before"), F.lit(0)) + F.col("_in")
+        combined = F.coalesce(F.col("_before") + F.col("_in"), F.col("_in"), F.col("_before"))
     elif how == "max":
         combined = F.greatest(F.col("_before"), F.col("_in"))
     else:

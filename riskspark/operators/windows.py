@@ -47,6 +47,15 @@ def trailing_aggregate(df: DataFrame, keys: Sequence[str], order: str, span: int
     return out.where(F.col("_own")).drop("_b", "_own")
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "left") -> DataFrame:
+    """Equi-join in which null keys equal each other; the right side's keys are dropped."""
+    names = {c: f"_r_{c}" for c in on}
+    cond = F.lit(True)
+    for c, r in names.items():
+        cond = cond & F.col(c).eqNullSafe(F.col(r))
+    return left.join(right.withColumnsRenamed(names), cond, how).drop(*names.values())
+
+
 def previous_row(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: Sequence[str],
                  bucket_col: Column, prefix: str = "prev_") -> DataFrame:
     """Add ``prev_<c>`` for each ``c`` in ``cols``: the value of the previous row
@@ -66,9 +75,10 @@ def previous_row(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols:
     tails = d.groupBy(*keys, "_b").agg(F.max_by(F.struct(*[F.col(c) for c in cols]), ordering).alias("_tail"))
     wb = Window.partitionBy(*keys).orderBy("_b")
     prev_tail = tails.select(*keys, "_b", F.lag("_tail").over(wb).alias("_ptail"))
-    joined = within.join(prev_tail, [*keys, "_b"], "left")
+    joined = null_safe_join(within, prev_tail, [*keys, "_b"])
+    made = {f"{prefix}{c}" for c in cols}
     out = joined.select(
-        *[c for c in within.columns if c not in ("_first", "_b") and not c.startswith(prefix)],
+        *[F.col(c) for c in within.columns if c not in ("_first", "_b") and c not in made],
         *[F.when(F.col("_first"), F.col(f"_ptail.{c}")).otherwise(F.col(f"{prefix}{c}")).alias(f"{prefix}{c}")
           for c in cols])
     return out

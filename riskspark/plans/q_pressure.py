@@ -45,9 +45,9 @@ def threshold_action(spark, sf):
 
 @register("node_status", f"""with {INCREASE},
 b as (select window_start,
-  100 - sum(case when mode = 'idle' then increase end) / {DAY}.0 / count(case when mode = 'idle' then 1 end) * 100 as busy_pct,
-  sum(case when mode = 'user' then increase end) / {DAY}.0 / count(case when mode = 'user' then 1 end) * 100 as user_pct,
-  sum(case when mode = 'iowait' then increase end) / {DAY}.0 / count(case when mode = 'iowait' then 1 end) * 100 as iowait_pct
+  100 - sum(case when mode = 'idle' then increase end) * 1e6 / nullif(cast(sum(case when mode = 'idle' then covered_us end) as double), 0) * 100 as busy_pct,
+  sum(case when mode = 'user' then increase end) * 1e6 / nullif(cast(sum(case when mode = 'user' then covered_us end) as double), 0) * 100 as user_pct,
+  sum(case when mode = 'iowait' then increase end) * 1e6 / nullif(cast(sum(case when mode = 'iowait' then covered_us end) as double), 0) * 100 as iowait_pct
   from inc group by window_start)
 select window_start, busy_pct,
   case when busy_pct < 90 then 'Healthy' else 'Stressed' end as node_status,
@@ -57,7 +57,7 @@ select window_start, busy_pct,
 from b""")
 def node_status(spark, sf):
     """A25 over the daily CPU-busy figures (user % stands in for GPU utilisation, iowait % for volume MB/s)."""
-    b = sm.cpu_busy(sm.counter_increase(fx.counter_samples(spark, sf), DAY, tie=["event_id"]), DAY)
+    b = sm.cpu_busy(sm.counter_increase(fx.counter_samples(spark, sf), DAY, tie=["event_id"]))
     return b.select("window_start", "busy_pct", *pr.node_status(F.col("busy_pct"), F.col("user_pct"),
                                                                 F.col("iowait_pct"), F.col("iowait_pct")))
 

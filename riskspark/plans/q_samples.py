@@ -53,11 +53,12 @@ def sample_avg_by_instance(spark, sf):
 INCREASE = f"""{COUNTER},
 p as (select metric, instance, cpu, mode, ts, value,
              floor(epoch(ts) / {DAY}) as w,
-             lag(value) over (partition by metric, instance, cpu, mode, floor(epoch(ts) / {DAY}) order by ts, event_id) as prev
+             lag(value) over (partition by metric, instance, cpu, mode order by ts, event_id) as prev,
+             epoch_us(ts) - lag(epoch_us(ts)) over (partition by metric, instance, cpu, mode order by ts, event_id) as step
       from c),
 inc as (select metric, instance, cpu, mode, make_timestamp(cast(w * {DAY} as bigint) * 1000000) as window_start,
                sum(case when prev is null then 0.0 when value >= prev then value - prev else value end) as increase,
-               cast(count(*) as bigint) as n_samples
+               cast(count(*) as bigint) as n_samples, cast(coalesce(sum(step), 0) as bigint) as covered_us
         from p group by metric, instance, cpu, mode, w)"""
 
 
@@ -71,19 +72,20 @@ def _flat3(df):
 
 
 @register("counter_rate", f"""with {INCREASE}
-select metric, instance, cpu, mode, window_start, increase, n_samples, increase / {DAY}.0 as rate from inc""")
+select metric, instance, cpu, mode, window_start, increase, n_samples, covered_us,
+  case when covered_us > 0 then increase * 1e6 / cast(covered_us as double) end as rate from inc""")
 def counter_rate(spark, sf):
     return _flat3(sm.counter_rate(fx.counter_samples(spark, sf), DAY, tie=["event_id"]))
 
 
 @register("cpu_busy", f"""with {INCREASE}
 select window_start,
-  100 - sum(case when mode = 'idle' then increase end) / {DAY}.0 / count(case when mode = 'idle' then 1 end) * 100 as busy_pct,
-  sum(case when mode = 'user' then increase end) / {DAY}.0 / count(case when mode = 'user' then 1 end) * 100 as user_pct,
-  sum(case when mode = 'iowait' then increase end) / {DAY}.0 / count(case when mode = 'iowait' then 1 end) * 100 as iowait_pct
+  100 - sum(case when mode = 'idle' then increase end) * 1e6 / nullif(cast(sum(case when mode = 'idle' then covered_us end) as double), 0) * 100 as busy_pct,
+  sum(case when mode = 'user' then increase end) * 1e6 / nullif(cast(sum(case when mode = 'user' then covered_us end) as double), 0) * 100 as user_pct,
+  sum(case when mode = 'iowait' then increase end) * 1e6 / nullif(cast(sum(case when mode = 'iowait' then covered_us end) as double), 0) * 100 as iowait_pct
 from inc group by window_start""")
 def cpu_busy(spark, sf):
-    return sm.cpu_busy(_increase(spark, sf), DAY)
+    return sm.cpu_busy(_increase(spark, sf))
 
 
 @register("pod_cpu_millicores", f"""with {INCREASE}

@@ -39,8 +39,9 @@ def _stage(df: DataFrame, path: str, order: list[str], files: int = FILES) -> No
         part = d
         if lo is not None:
             part = part.where(F.col("_stage_k") >= lo)
-        if hi is not None:
-            part = part.where(F.col("_stage_k") < hi)
+        if hi is not None:  # rows without a time come with the first file
+            early = F.col("_stage_k") < hi
+            part = part.where(early | F.col("_stage_k").isNull() if lo is None else early)
         part.drop("_stage_k").coalesce(1).sortWithinPartitions(*order).write.mode("append").parquet(path)
 
 
@@ -150,7 +151,7 @@ def stream_dedupe(spark, sf):
     def start():
         s = st.stream_parquet(spark, f"{base}/src", schema, 1)
         cols = s.columns
-        d = st.dedupe_stream(s.withColumn("_ts", F.timestamp_seconds("unix_time")), "_ts", "1 day", cols).drop("_ts")
+        d = st.dedupe_stream(s, "1 day", cols)
         return st.sink_stage(d, f"{base}/out", f"{base}/ckpt", available_now=True)
 
     st.run_to_end(start)

@@ -55,11 +55,13 @@ def get_session(master: str | None = None, app: str = "riskspark",
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this setting names a shared folder and is only read.  Only
-    when it is unset (local tests) a fresh scratch folder is created.
+    On a cluster this setting names a shared folder and is only read.  When it is
+    unset, a local master gets a fresh scratch folder and any other master an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="riskspark-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
