@@ -4,9 +4,9 @@ Input: messages (conv_id, turn, role, text, tool_calls, tool_call_id).  ``tool_c
 {"id", "name", "arguments", "after"}, arguments being a JSON object or its text and ``after`` the ids of
 calls that must come first; rows of role ``tool`` answer the call named by ``tool_call_id``.
 
-Calls and results meet by a hash join on (conversation, identifier).  Calls are ordered topologically in
-rounds: a round places the calls all of whose predecessors are placed and drops the edges that leave
-them, so no conversation is gathered in one task.  Arguments are checked against the tool's JSON schema, and
+Calls and results meet by a hash join on (conversation, identifier).  Calls are ordered topologically by
+joins on the identifiers alone, chains by pointer jumping (see ``levels``), so no conversation is gathered
+in one task and rounds follow the logarithm of a chain's length.  Arguments are checked against the tool's JSON schema, and
 every message and call becomes one line of canonical JSON (sorted keys, no spaces).
 
 Results, one row per message and per call: conv_id, kind, turn, idx, level, call_id, status, errors, json.
@@ -104,29 +104,72 @@ def _same(a: str, b: str, *names: str) -> Column:
 
 
 def levels(calls: DataFrame) -> DataFrame:
-    """(conv_id, call_id, level) of ``calls(conv_id, call_id, after)`` with unique ids per conversation;
-    calls on or behind a cycle are left out.  One stored round per level."""
-    nodes = calls.select("conv_id", "call_id")
-    edges = (calls.select("conv_id", "call_id", F.explode("after").alias("dep")).distinct().alias("e")
-             .join(nodes.alias("n"), F.col("e.conv_id").eqNullSafe(F.col("n.conv_id")) & (F.col("e.dep") == F.col("n.call_id")), "left_semi"))
-    edges = stored(edges, "chat-edges")
-    waiting = stored(edges.select("conv_id", "call_id").distinct(), "chat-waiting")
-    placed = [stored(nodes.alias("n").join(waiting.alias("w"), _same("n", "w", "conv_id", "call_id"), "left_anti")
-                     .withColumn("level", F.lit(0)), "chat-level")]
-    while not placed[-1].isEmpty() and not waiting.isEmpty():
-        done = placed[-1].alias("d")
-        edges = stored(edges.alias("e").join(done, F.col("e.conv_id").eqNullSafe(F.col("d.conv_id")) & (F.col("e.dep") == F.col("d.call_id")),
-                                             "left_anti"), "chat-edges")
-        still = stored(edges.select("conv_id", "call_id").distinct(), "chat-waiting")
-        placed.append(stored(waiting.alias("n").join(still.alias("w"), _same("n", "w", "conv_id", "call_id"), "left_anti")
-                             .withColumn("level", F.lit(len(placed))), "chat-level"))
-        waiting = still
-    out = placed[0]
-    for p in placed[1:]:
+    """(conv_id, call_id, level) of ``calls(conv_id, call_id, after)`` with unique ids per conversation, the
+    level being the longest way from a call that waits for none; calls on or behind a cycle are left out.
+
+    A call that waits for one call has a level of max(base, level of that call + step).  Such rules compose,
+    so pointer jumping follows a chain of n calls in log2(n) stored rounds.  What then waits for several
+    unplaced calls takes another phase: placed calls turn into the base, followed chains into longer steps.
+    Phases follow how deep such joins nest.  A phase without a call that waits for none ends the work; a
+    pointer that still jumps after log2(all pointers) rounds is on or behind a cycle."""
+    nodes = calls.select("conv_id", F.col("call_id").alias("known"))
+    waits = calls.select("conv_id", "call_id", F.explode_outer("after").alias("named")).alias("e")
+    graph = stored(waits.join(nodes.alias("n"), F.col("e.conv_id").eqNullSafe(F.col("n.conv_id")) & (F.col("e.named") == F.col("n.known")), "left")
+                   .select("e.conv_id", "e.call_id", F.col("n.known").alias("dep"), F.lit(1).cast("long").alias("step"),
+                           F.lit(0).cast("long").alias("base")).distinct(), "chat-graph")
+    placed = []
+    while not graph.isEmpty():
+        node = graph.groupBy("conv_id", "call_id").agg(
+            F.count("dep").alias("n"), F.max("dep").alias("to"), F.coalesce(F.max(F.when(F.col("dep").isNotNull(), F.col("step"))), F.lit(0)).alias("step"),
+            F.max("base").alias("base"))
+        rules = stored(node.filter("n < 2").select("conv_id", "call_id", "to", "step", "base", F.col("to").isNull().alias("final")), "chat-rules")
+        total, moving, roots = _progress(rules)
+        if not roots:
+            break
+        for _ in range(total.bit_length() + 1):
+            if not moving:
+                break
+            rules = stored(_jump(rules), "chat-rules")
+            _, moving, _ = _progress(rules)
+        placed.append(rules.filter("final and to is null").select("conv_id", "call_id", F.col("base").cast("int").alias("level")))
+        several = graph.join(node.filter("n > 1").select(F.col("conv_id").alias("c"), F.col("call_id").alias("i")),
+                             F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("call_id") == F.col("i")), "left_semi").alias("g")
+        followed = several.join(rules.filter("final").alias("r"), _points("g.dep"), "left").select(
+            "g.conv_id", "g.call_id", F.when(F.col("r.call_id").isNull(), F.col("g.dep")).otherwise(F.col("r.to")).alias("dep"),
+            (F.col("g.step") + F.coalesce("r.step", F.lit(0))).alias("step"),
+            F.greatest("g.base", F.col("r.base") + F.col("g.step")).alias("base"))
+        blocked = rules.filter("final and to is not null").select("conv_id", "call_id", F.col("to").alias("dep"), "step", "base")
+        graph = stored(followed.unionByName(blocked).groupBy("conv_id", "call_id", "dep").agg(F.max("step").alias("step"), F.max("base").alias("base")),
+                       "chat-graph")
+    out = calls.select("conv_id", "call_id", F.lit(0).alias("level")).limit(0)
+    for p in placed:
         out = out.unionByName(p)
     return out
 
 
+def _points(to: str) -> Column:
+    """``to`` names the rule ``r`` of the same conversation."""
+    return F.col(to.split(".")[0] + ".conv_id").eqNullSafe(F.col("r.conv_id")) & (F.col(to) == F.col("r.call_id"))
+
+
+def _progress(rules: DataFrame) -> tuple[int, int, int]:
+    """(rules, those that still move, those that wait for nothing)."""
+    row = rules.agg(F.count(F.lit(1)), F.count_if(~F.col("final")), F.count_if(F.col("to").isNull())).first()
+    return row[0], row[1], row[2]
+
+
+def _jump(rules: DataFrame) -> DataFrame:
+    """Every moving rule composed with the rule it points to; without one there (a call that waits for
+    several, or a cycle found before) it is final as it is."""
+    moving = rules.filter("not final").alias("m").join(rules.alias("r"), _points("m.to"), "left")
+    there = F.col("r.call_id").isNotNull()
+    return rules.filter("final").unionByName(moving.select(
+        "m.conv_id", "m.call_id", F.when(there, F.col("r.to")).otherwise(F.col("m.to")).alias("to"),
+        (F.col("m.step") + F.coalesce("r.step", F.lit(0))).alias("step"),
+        F.greatest("m.base", F.col("r.base") + F.col("m.step")).alias("base"),
+        F.when(there, F.col("r.final")).otherwise(F.lit(True)).alias("final")))
+
+
 def format_chats(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     """See the module's text."""
     m = messages.select("conv_id", "turn", "role", "text", "tool_calls", "tool_call_id")

@@ -359,3 +359,33 @@ def test_chats_edges(spark):
     for r in got:
         assert r.json == chat.canonical(json.loads(r.json))
     assert chat.format_chats(messages.limit(0), queries.TOOLS).count() == 0
+
+
+def brute_levels(after):
+    """Rounds that place every call whose predecessors are placed."""
+    level, left = {}, dict(after)
+    while ready := [k for k, deps in left.items() if all(d in level or d not in after for d in deps or [])]:
+        n = max(level.values(), default=-1) + 1
+        level |= {k: n for k in ready}
+        left = {k: d for k, d in left.items() if k not in level}
+    return level
+
+
+def test_call_levels(spark):
+    """Chains, trees, joins in layers, cycles with tails and random graphs, one conversation each."""
+    rng = random.Random(5)
+    graphs = {
+        0: {f"c{i}": [f"c{i - 1}"] if i else None for i in range(150)},
+        1: {f"t{i}": [f"t{(i - 1) // 2}"] if i else [] for i in range(60)},
+        2: {f"l{i}": [f"l{j}" for j in range(max(0, i - i % 4 - 4), i - i % 4)] for i in range(24)},
+        3: {f"r{i}": [f"r{(i + 1) % 9}"] for i in range(9)} | {f"s{i}": [f"s{i - 1}" if i else "r0"] for i in range(9)} | {"own": ["own"], "free": ["gone", None]},
+        None: {f"f{i}": [f"f{i - 1}", f"f{i - 2}"] for i in range(8)},
+        4: {"big": [f"c{i}" for i in range(20)]} | {f"c{i}": [f"c{i - 1}"] if i else ["p", "q"] for i in range(20)} | {"p": ["q"], "q": []}}
+    for g in range(5, 12):
+        n = rng.randrange(2, 25)
+        graphs[g] = {f"n{i}": [f"n{rng.randrange(n if g > 8 and rng.random() < 0.1 else max(i, 1))}" for _ in range(rng.randrange(3))] if i else []
+                     for i in range(n)}
+    rows = [(conv, k, deps) for conv, after in graphs.items() for k, deps in after.items()]
+    got = chat.levels(spark.createDataFrame(rows, "conv_id long, call_id string, after array<string>")).collect()
+    want = sorted(((conv, k, n) for conv, after in graphs.items() for k, n in brute_levels(after).items()), key=repr)
+    assert sorted((tuple(r) for r in got), key=repr) == want
