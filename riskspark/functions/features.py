@@ -136,12 +136,12 @@ def velocity(df: DataFrame, key: str = "cc_num", time: str = "unix_time", second
              amount: str = "amt") -> DataFrame:
     """transactions and amount per card over the trailing ``seconds``
     (rows of the same card with time in [t - seconds, t], peers included).
-    Uses the time-bucketed trailing window, so one busy card is not one task."""
-    from ..operators.windows import trailing_aggregate
-    return trailing_aggregate(
-        df, [key], time, seconds,
-        {f"txn_count_{seconds}s": lambda w: F.count(F.lit(1)).over(w).cast("bigint"),
-         f"amount_{seconds}s": lambda w: F.sum(F.col(amount).cast("decimal(18,2)")).over(w).cast("double")})
+    Running sums per card and time bucket: one busy card is not one task, and
+    the work per row does not grow with the span."""
+    from ..operators.windows import trailing_sums
+    n, total = f"txn_count_{seconds}s", f"amount_{seconds}s"
+    out = trailing_sums(df, [key], time, seconds, {n: F.lit(1).cast("bigint"), total: F.col(amount).cast("decimal(18,2)")})
+    return out.withColumn(total, F.col(total).cast("double"))
 
 
 def drop_text_columns(df: DataFrame) -> DataFrame:

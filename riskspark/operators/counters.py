@@ -130,7 +130,7 @@ def exposition_lines(folded: DataFrame) -> DataFrame:
     spec = spark.createDataFrame([(i, *e) for i, e in enumerate(EXPOSITION)],
                                  "idx int, name string, help string, type string, source string")
     wanted = folded.where(F.col("name").isin([e[3] for e in EXPOSITION]))  # at most 7 names per kind
-    j = spec.join(F.broadcast(wanted.select(F.col("name").alias("source"), "value")), "source", "left")
+    j = spec.join(wanted.select(F.col("name").alias("source"), "value"), "source", "left")
     val = F.coalesce(F.col("value"), F.lit(0).cast(VALUE))
     text = F.when(val == F.floor(val), F.floor(val).cast("bigint").cast("string")).otherwise(
         F.regexp_replace(val.cast("decimal(38,6)").cast("string"), "0+$", ""))

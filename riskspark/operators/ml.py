@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 
 from ..functions.features import FRAUD_THRESHOLD, MODEL_FEATURES, model_columns
 from ..session import ensure_checkpoint_dir
+from ..sources.sinks import write_metrics
+from .counters import VALUE
 from .selection import at_cut, kth_cut, upto_cut
 
 EVAL_THRESHOLD = 0.5          # evaluation counts score > 0.5 (serving uses >= 0.52)
@@ -220,6 +222,13 @@ def latest_version(spark: SparkSession, root: str) -> ModelVersion | None:
     return ModelVersion(int(row["version"]), row["path"]) if row else None
 
 
+def find_version(spark: SparkSession, root: str, version: int) -> ModelVersion | None:
+    """The registered version of this number."""
+    reg = registry_table(spark, root)
+    row = reg.where(F.col("version") == version).select("version", "path").first() if reg is not None else None
+    return ModelVersion(int(row["version"]), row["path"]) if row else None
+
+
 def next_version(spark: SparkSession, root: str) -> int:
     mv = latest_version(spark, root)
     return mv.version + 1 if mv else 1
@@ -244,15 +253,30 @@ def load_model(mv: ModelVersion) -> PipelineModel:
     return PipelineModel.load(f"{mv.path}/model")
 
 
-def evaluate_latest(features: DataFrame, root: str, threshold: float = EVAL_THRESHOLD) -> DataFrame | None:
+#: Names of the evaluation gauges in the metric store and the report columns they hold.
+EVAL_METRICS = {"model_accuracy": "accuracy", "model_precision": "precision", "model_recall": "recall",
+                "model_fpr": "fpr", "model_samples_evaluated": "samples_evaluated"}
+
+
+def evaluate_latest(features: DataFrame, root: str, threshold: float = EVAL_THRESHOLD,
+                    metrics: str | None = None, batch_id: int = 0) -> DataFrame | None:
     """Score the given features with the newest model and report the
-    confusion matrix and rates (None without a model or with < 100 rows)."""
+    confusion matrix and rates (None without a model or with < 100 rows).
+    With ``metrics``, the rates are also written to that metric store as the
+    gauges of ``batch_id`` (written again, they replace each other)."""
     mv = latest_version(features.sparkSession, root)
     if mv is None or not min_sample_gate(features, MIN_EVAL_ROWS):
         return None
     scored = score(features, load_model(mv))
-    rep = classification_report(confusion_matrix(scored, threshold))
-    return rep.withColumn("model_version", F.lit(mv.version))
+    rep = classification_report(confusion_matrix(scored, threshold)).withColumn("model_version", F.lit(mv.version))
+    if metrics is None:
+        return rep
+    rep = features.sparkSession.createDataFrame(rep.collect(), rep.schema)  # one row, computed once
+    gauges = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(c).cast(VALUE).alias("value")) for n, c in EVAL_METRICS.items()]))
+    write_metrics(rep.select(gauges.alias("g")).select(
+        F.lit(batch_id).cast("bigint").alias("batch_id"), "g.name", F.lit("gauge").alias("kind"), "g.value",
+        F.current_timestamp().alias("ts")), metrics)
+    return rep
 
 
 def report_with_defaults(values: DataFrame, defaults: dict[str, float], name: str = "name",
@@ -261,6 +285,6 @@ def report_with_defaults(values: DataFrame, defaults: dict[str, float], name: st
     = true when the store has no value (instead of a silent default)."""
     spark = values.sparkSession
     exp = spark.createDataFrame(list(defaults.items()), f"{name} string, default double")
-    j = exp.join(F.broadcast(values.where(F.col(name).isin(list(defaults))).select(name, value)), name, "left")
+    j = exp.join(values.where(F.col(name).isin(list(defaults))).select(name, value), name, "left")
     return j.select(name, F.coalesce(F.col(value).cast("double"), F.col("default")).alias("value"),
                     F.col(value).isNull().alias("is_default"))

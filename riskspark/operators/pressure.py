@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .joins import bounded_broadcast
 
 # Fixed value: the limit used for a topic without a critical limit.
 DEFAULT_LIMIT = 5000
@@ -25,9 +24,8 @@ def backlog(files: DataFrame, ledger: DataFrame, on=("file", "run"), unit: str =
 def queue_pressure(backlogs: DataFrame, limits: DataFrame) -> DataFrame:
     """pressure = min(100, int(count / limit * 100)) with limit = the
     topic's critical limit (5000 when it has none); >= 90 Critical, >= 70
-    Warning, else Normal.  The limits table has one row per topic and is
-    broadcast behind a row-count check."""
-    lim = bounded_broadcast(limits.select("topic", F.coalesce("critical", F.lit(DEFAULT_LIMIT)).alias("limit")), 10_000)
+    Warning, else Normal.  The limits table has one row per topic."""
+    lim = limits.select("topic", F.coalesce("critical", F.lit(DEFAULT_LIMIT)).alias("limit"))
     j = backlogs.join(lim, "topic", "left").withColumn("limit", F.coalesce("limit", F.lit(DEFAULT_LIMIT)).cast("bigint"))
     pct = F.when(F.col("limit") > 0, F.least(F.lit(100), F.floor(F.col("count") / F.col("limit") * 100))).otherwise(F.lit(0))
     j = j.withColumn("pressure_pct", pct.cast("int"))
@@ -39,8 +37,7 @@ def queue_pressure(backlogs: DataFrame, limits: DataFrame) -> DataFrame:
 def threshold_action(backlogs: DataFrame, limits: DataFrame) -> DataFrame:
     """Level (critical / warning / ok) of each backlog against the topic's
     limits, with the action configured for the topic when a limit is hit."""
-    lim = bounded_broadcast(limits, 10_000)
-    j = backlogs.join(lim, "topic", "left")
+    j = backlogs.join(limits, "topic", "left")
     c = F.col("count")
     level = (F.when(F.col("critical").isNotNull() & (c >= F.col("critical")), "critical")
               .when(F.col("warning").isNotNull() & (c >= F.col("warning")), "warning").otherwise("ok"))

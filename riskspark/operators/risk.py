@@ -173,17 +173,20 @@ CONCENTRATION_ORDER = [SCORE, "unix_time", "trans_key", "amt"]
 def _top_k_flagged_amount(df: DataFrame, k: int, threshold: float, n: int | None = None) -> tuple[DataFrame, Decimal]:
     """Rows strictly inside the top ``k`` by score (desc, tie keys desc) get
     ``_top`` = true; also returns the flagged amount of the boundary rows that
-    belong to the top k (rows equal in every order key are interchangeable)."""
+    belong to the top k (rows equal in every order key are interchangeable).
+    Rows without a score (null or NaN) come last and are in no top k."""
     names = [f"_k{i}" for i in range(len(CONCENTRATION_ORDER))]
     keyed = df.select("*", *[(-F.col(c).cast("double") if c == "amt" else -F.col(c)).alias(n)
                              for c, n in zip(CONCENTRATION_ORDER, names)])
-    cut = kth_cut(keyed, names, k, n=n)
+    has_score = F.col(SCORE).isNotNull() & ~F.isnan(F.col(SCORE).cast("double"))
+    scored = df.agg(F.count_if(has_score)).first()[0]
+    cut = kth_cut(keyed.where(has_score), names, min(k, scored), n=scored)
     if cut is None:
         return keyed.withColumn("_top", F.lit(False)), Decimal(0)
     boundary_score = -cut.key[0]
-    boundary_amt = Decimal(repr(-cut.key[3])).quantize(Decimal("0.01"))  # amt is money with 2 decimals
+    boundary_amt = Decimal(0) if cut.key[3] is None else Decimal(repr(-cut.key[3])).quantize(Decimal("0.01"))  # money with 2 decimals
     extra = cut.take * boundary_amt if boundary_score >= threshold else Decimal(0)
-    return keyed.withColumn("_top", below_cut(keyed, names, cut)), extra
+    return keyed.withColumn("_top", has_score & below_cut(keyed, names, cut)), extra
 
 
 def _concentration(df: DataFrame, n: int, p: float, threshold: float) -> tuple[DataFrame, Column, int]:
@@ -253,7 +256,7 @@ def business_kpis(df: DataFrame, threshold: float = FRAUD_THRESHOLD, eval_thresh
     count, precision/recall/FPR at the evaluation threshold, fraud rate,
     alerts per million, high-risk rate, projected savings, band counts,
     concentration, and fraud velocity per minute over the newest batch window
-    (flagged rows of the last ``batch_seconds`` of event time / minutes)."""
+    (its flagged rows by the minutes of it that have passed, one at least)."""
     s = business_summary(df, threshold)
     pred = F.col(SCORE) > eval_threshold
     y = F.col(label) == 1
@@ -272,7 +275,7 @@ def business_kpis(df: DataFrame, threshold: float = FRAUD_THRESHOLD, eval_thresh
         F.when(tp + fn > 0, tp / (tp + fn)).otherwise(F.lit(0.0)).alias("recall"),
         F.when(fp + tn > 0, fp / (fp + tn)).otherwise(F.lit(0.0)).alias("false_positive_rate"),
         "risk_low", "risk_medium", "risk_high",
-        (F.col("_last_flagged") / (batch_seconds / 60.0)).alias("fraud_velocity_per_min"),
+        (F.col("_last_flagged") / max(1.0, ((newest or 0) - start) / 60.0)).alias("fraud_velocity_per_min"),
         F.lit(1).alias("_one"))
     kpi = s.select(
         F.col("fraud_exposure_identified").alias("fraud_exposure_identified_usd"), "transactions_analyzed",

@@ -141,10 +141,9 @@ def ratio_used_pct(inst: DataFrame, total_metric: str, avail_metric: str, on: Se
 def pct_of_max(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """Q9m (F26): value as percent of the largest value of its group, capped at 100."""
     from ..functions.features import clamp_pct
-    from .joins import bounded_broadcast
     if not by:
         mx = df.agg(F.max(value)).first()[0]  # one scalar
         return df.withColumn("pct_of_max", clamp_pct(F.col(value), F.lit(mx).cast("double")))
     mx = df.groupBy(*by).agg(F.max(value).alias("_max"))
-    j = df.join(bounded_broadcast(mx, 100_000), list(by))
+    j = df.join(mx, list(by))  # AQE broadcasts the measured aggregate where it is small
     return j.withColumn("pct_of_max", clamp_pct(F.col(value), F.col("_max"))).drop("_max")

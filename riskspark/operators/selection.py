@@ -16,11 +16,13 @@ the driver.  When one value of the leading column is shared by more rows than
 that, the band cannot shrink; the search then fixes that value and goes on
 with the next sort column among the rows holding it.  Rows equal in every sort
 column are interchangeable for the order: the result says how many of them
-belong below the cut.
+belong below the cut.  Nulls sort first and NaN last in every column, as in
+Spark's own comparison of structs.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from typing import Sequence
 
@@ -48,9 +50,9 @@ def kth_cut(df: DataFrame, cols: Sequence[str], k: int, accuracy: int = ACCURACY
             n: int | None = None) -> Cut | None:
     """Exact cut after the first ``k`` rows of ``df`` ordered ascending by ``cols``.
 
-    ``cols`` must be non-null numeric columns (negate a column for descending
-    order).  ``n`` is the row count when the caller knows it.  Returns None
-    when ``k <= 0``.
+    ``cols`` must be numeric columns (negate a column for descending order;
+    its nulls still sort first).  ``n`` is the row count when the caller knows
+    it.  Returns None when ``k <= 0``.
     """
     if k <= 0:
         return None
@@ -63,12 +65,18 @@ def kth_cut(df: DataFrame, cols: Sequence[str], k: int, accuracy: int = ACCURACY
 
 
 def _finish_on_driver(band: DataFrame, cols: list[str], i: int, prefix: list, remaining: int) -> Cut:
-    rows = sorted(tuple(r) for r in band.select(*cols[i:]).collect())
+    rows = sorted((tuple(r) for r in band.select(*cols[i:]).collect()), key=_order)
     if remaining > len(rows):
         raise ValueError("rank beyond the rows of the band")
     key = rows[remaining - 1]
-    below = sum(1 for r in rows if r < key)
-    return Cut(key=tuple(prefix) + key, take=remaining - below, n_at=sum(1 for r in rows if r == key))
+    at = _order(key)
+    below = sum(1 for r in rows if _order(r) < at)
+    return Cut(key=tuple(prefix) + key, take=remaining - below, n_at=sum(1 for r in rows if _order(r) == at))
+
+
+def _order(row: tuple) -> tuple:
+    """Nulls first, NaN last."""
+    return tuple((0, 0) if v is None else (2, 0) if isinstance(v, float) and math.isnan(v) else (1, v) for v in row)
 
 
 def _search(keys: DataFrame, cols: list[str], k: int, accuracy: int, n: int | None) -> Cut:
@@ -77,22 +85,41 @@ def _search(keys: DataFrame, cols: list[str], k: int, accuracy: int, n: int | No
     n_band = n               # rows in ``band`` when known
     remaining = k            # rank wanted inside ``band``
     i = 0
+    floats = {f for f, t in keys.dtypes if t in ("double", "float")}
     while True:
         c = cols[i]
         if n_band is not None and n_band <= SMALL_BAND:
             return _finish_on_driver(band, cols, i, prefix, remaining)
-        aggs = [F.count(F.lit(1)).alias("n"), F.min(c).alias("lo"), F.max(c).alias("hi")]
+        real = F.col(c).isNotNull() & ~F.isnan(c) if c in floats else F.col(c).isNotNull()
+        v = F.when(real, F.col(c))
+        aggs = [F.count(F.lit(1)).alias("n"), F.count_if(F.col(c).isNull()).alias("null"), F.count(v).alias("real"),
+                F.min(v).alias("lo"), F.max(v).alias("hi")]
         q = None
         if n_band is not None:
             err = 2.0 * n_band / accuracy
             q = [max(0.0, (remaining - err) / n_band), min(1.0, (remaining + err) / n_band)]
-            aggs.append(F.percentile_approx(c, q, accuracy).alias("q"))
+            aggs.append(F.percentile_approx(v, q, accuracy).alias("q"))
         st = band.agg(*aggs).first()
-        n_band, lo, hi = st["n"], st["lo"], st["hi"]
+        n_band, lo, hi, n_null, n_real = st["n"], st["lo"], st["hi"], st["null"], st["real"]
         if n_band == 0 or remaining > n_band:
             raise ValueError("rank beyond the rows of the band")
         if n_band <= SMALL_BAND:
             continue
+        if remaining <= n_null or remaining > n_null + n_real:
+            # the row holds null or NaN here: fix that and order by the next column
+            null = remaining <= n_null
+            prefix.append(None if null else math.nan)
+            remaining -= 0 if null else n_null + n_real
+            n_band = n_null if null else n_band - n_null - n_real
+            if i == len(cols) - 1:
+                return Cut(key=tuple(prefix), take=remaining, n_at=n_band)
+            band = band.where(F.col(c).isNull() if null else F.isnan(c))
+            i += 1
+            continue
+        if n_real < n_band:
+            remaining -= n_null
+            band, n_band = band.where(real), n_real
+            continue
         if lo == hi:
             # one value holds the whole band: fix it and order by the next column
             prefix.append(lo)
@@ -117,6 +144,8 @@ def _search(keys: DataFrame, cols: list[str], k: int, accuracy: int, n: int | No
         # the sketch did not narrow the band (bound missed, or a heavy value spans it):
         # split the value range in halves instead
         mid = lo + (hi - lo) / 2 if isinstance(lo, float) else lo + (hi - lo) // 2
+        if not lo <= mid < hi:  # an infinite end
+            mid = lo
         left = band.where(F.col(c) <= F.lit(mid)).count()
         if left >= remaining:
             band, n_band = band.where(F.col(c) <= F.lit(mid)), left

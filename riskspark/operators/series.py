@@ -93,22 +93,15 @@ def monotone_max(df: DataFrame, keys: Sequence[str], order: Sequence[str], value
     return cumulative(df, keys, order, value, "max", name="monotone")
 
 
-def last_n_points(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int = 60,
-                  salts: int = 256) -> DataFrame:
+def last_n_points(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int = 60) -> DataFrame:
     """Newest ``n`` points per series, with ``pos`` 1 = newest.
 
-    Two rounds of ``row_number``: first per (series, salt) -- any split of a
-    series works for a top-n -- then per series over at most n*salts
-    candidates.  ``order`` must be a total order (add a tie column).
+    The filter on ``row_number`` becomes a group limit that every task applies
+    before the shuffle, so a series sends at most ``n`` points per task.
+    ``order`` must be a total order (add a tie column).
     """
-    keys = list(keys)
-    desc = [F.col(c).desc() for c in order]
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in order]), F.lit(salts))
-    d = df.withColumn("_s", salt)
-    w1 = Window.partitionBy(*keys, "_s").orderBy(*desc)
-    cand = d.withColumn("_r", F.row_number().over(w1)).where(F.col("_r") <= n).drop("_r", "_s")
-    w2 = Window.partitionBy(*keys).orderBy(*desc)
-    return cand.withColumn("pos", F.row_number().over(w2)).where(F.col("pos") <= n)
+    w = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order])
+    return df.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= n)
 
 
 def combine_sources(a: DataFrame, b: DataFrame, on: Sequence[str], value: str = "value") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import TAG
@@ -40,15 +40,18 @@ def previous_stage_rows(lines: DataFrame, stage_of: str = "stage", lookback: int
     is_rec = tagged & (F.instr(F.col("line"), "stage=") > 0)
     rows_part = F.filter(F.split(F.col("line"), r"\|"), lambda p: F.instr(p, "rows=") > 0)
     first_rows = F.when(F.size(rows_part) > 0, F.trim(F.split(F.element_at(rows_part, 1), "=")[1]))
-    d = lines.withColumn("_rec_order", F.when(is_rec, F.col("line_no"))) \
-             .withColumn("_rec", F.struct(F.col("line").alias("line"), first_rows.try_cast("bigint").alias("rows")))
-    # newest record among the ``lookback`` lines before the current one
+    # what follows each "stage=" up to the end of its field stands for the text in the shuffle
+    stages = F.regexp_extract_all(F.col("line"), F.lit(r"(?=stage=([^|]*))"), F.lit(1))
+    rec = F.struct(F.col("line_no").alias("line_no"), stages.alias("stages"), first_rows.try_cast("bigint").alias("rows"))
+    d = lines.select("log", "line_no", stage_of, "rows", F.when(is_rec, rec).alias("_rec"))
+    # newest record before the current line: a running value, whose distance is tested after
     j = trailing_aggregate(
         d, ["log"], "line_no", lookback,
-        {"_prev_excl": lambda w: F.max_by(F.col("_rec"), F.col("_rec_order")).over(w.rangeBetween(-lookback, -1))})
+        {"_prev_excl": lambda w: F.last("_rec", ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, -1))})
     p = F.col("_prev_excl")
-    own = F.concat(F.lit("stage="), F.col(stage_of))
-    previous = F.when(p.isNotNull() & (F.instr(p["line"], own) == 0) & p["rows"].isNotNull(), p["rows"]).otherwise(F.lit(0))
+    near = p["line_no"] >= F.col("line_no") - lookback
+    same = F.exists(p["stages"], lambda s: F.startswith(s, F.col(stage_of)))
+    previous = F.when(p.isNotNull() & near & ~same & p["rows"].isNotNull(), p["rows"]).otherwise(F.lit(0))
     out = j.where(F.col(stage_of).isNotNull()).select(
         "log", "line_no", stage_of, "rows", previous.cast("bigint").alias("previous_total"),
         (previous + F.col("rows")).cast("bigint").alias("total_rows"))

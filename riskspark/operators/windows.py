@@ -9,6 +9,9 @@ and make each bucket self-sufficient:
   Rows closer than ``span`` to the next bucket are copied into it as context
   rows, which the frame sees but which are not emitted.  Exact for any span
   up to the bucket width.
+* ``trailing_sums`` -- the same frame for sums and counts, which can be taken
+  back: a row adds its value at its time and subtracts it after the span, so
+  one running sum per bucket gives the result whatever the span.
 * ``previous_row`` -- ``lag`` by one row.  Inside a bucket a windowed ``lag``;
   for the first row of a bucket the last row of the nearest earlier non-empty
   bucket, found on the per-bucket summary (one row per key and bucket).
@@ -47,6 +50,45 @@ def trailing_aggregate(df: DataFrame, keys: Sequence[str], order: str, span: int
     return out.where(F.col("_own")).drop("_b", "_own")
 
 
+def trailing_sums(df: DataFrame, keys: Sequence[str], order: str, span: int,
+                  sums: dict[str, Column], bucket: int | None = None) -> DataFrame:
+    """``trailing_aggregate`` for exact sums (integral or decimal columns): adds, per
+    name, the sum of the column over ``order`` in [order - span, order], null
+    where the frame holds no value.  The work per row does not depend on how
+    many rows the span holds.  Rows without an order see each other only."""
+    width = bucket or span * 24
+    if width < span:
+        raise ValueError("bucket must be at least the span")
+    names = list(sums)
+    d = df.select("*", *[c.alias(f"_v{i}") for i, c in enumerate(sums.values())])
+    t = F.col(order)
+    b = F.floor(t / width)
+    end = (b + 1) * width
+
+    def event(bucket_: Column, at: Column, sign: int, own: bool) -> Column:
+        return F.struct(bucket_.alias("b"), at.cast("long").alias("t"), F.lit(sign).alias("sign"), F.lit(own).alias("own"))
+
+    own = event(b, t, 1, True)
+    leave = t + span + 1
+    events = (F.when(leave < end, F.array(own, event(b, leave, -1, False)))
+              .when(t >= end - span, F.array(own, event(b + 1, end, 1, False), event(b + 1, leave, -1, False)))
+              .otherwise(F.array(own)))
+    e = d.select("*", F.explode(events).alias("_e"))
+    # entries and leavings carry only the key and the values through the shuffle
+    row = F.when(F.col("_e.own"), F.struct(*df.columns)).alias("_row")
+    e = e.select(*[F.col(k).alias(f"_g{i}") for i, k in enumerate(keys)], "_e", row, *[f"_v{i}" for i in range(len(names))])
+    w = (Window.partitionBy(*[f"_g{i}" for i in range(len(keys))], "_e.b").orderBy("_e.t")
+         .rangeBetween(Window.unboundedPreceding, 0))
+    sign = F.col("_e.sign")
+    out = []
+    for i, name in enumerate(names):
+        v = F.col(f"_v{i}")
+        held = F.sum(F.when(v.isNotNull(), sign).otherwise(F.lit(0))).over(w)
+        out.append(F.when(held > 0, F.sum(F.when(sign > 0, v).otherwise(-v)).over(w)).alias(name))
+    res = e.select("_row", *out).where(F.col("_row").isNotNull())
+    return res.select("_row.*", *names)
+
+
 def null_safe_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "left") -> DataFrame:
     """Equi-join in which null keys equal each other; the right side's keys are dropped."""
     names = {c: f"_r_{c}" for c in on}

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import features as ft
-from ..operators.joins import bounded_broadcast
-from ..operators.windows import trailing_aggregate
 from ..sources import fixtures as fx
 from .catalog import register, with_tx
 
@@ -99,10 +97,7 @@ window w as (partition by cc_num order by unix_time range between 3600 preceding
 def card_velocity(spark, sf):
     """Transactions and amount per card over the trailing hour."""
     tx = fx.tx(spark, sf).select("trans_key", "cc_num", "unix_time", "amt")
-    return trailing_aggregate(
-        tx, ["cc_num"], "unix_time", 3600,
-        {"txn_count_1h": lambda w: F.count(F.lit(1)).over(w).cast("bigint"),
-         "amount_1h": lambda w: F.sum(F.col("amt").cast("decimal(18,2)")).over(w).cast("double")}).drop("amt")
+    return ft.velocity(tx, seconds=3600).drop("amt").withColumnsRenamed({"txn_count_3600s": "txn_count_1h", "amount_3600s": "amount_1h"})
 
 
 @register("time_bins", with_tx("""
@@ -135,7 +130,7 @@ def clamp_pct(spark, sf):
     """value as percent of half the per-type maximum, capped at 100."""
     ev = spark.read.parquet(f"{sf}/events.parquet")
     m = ev.groupBy("event_type").agg((F.max("value") / 2).alias("m"))
-    j = ev.join(bounded_broadcast(m, 100_000), "event_type")  # one row per event type
+    j = ev.join(m, "event_type")  # AQE broadcasts the measured aggregate
     return j.select("event_id", "value", ft.clamp_pct(F.col("value"), F.col("m")).alias("pct"))
 
 

@@ -205,7 +205,8 @@ select fraud_amt as fraud_exposure_identified_usd, n as transactions_analyzed, f
   case when tp + fp > 0 then cast(tp as double) / (tp + fp) else 0.0 end as precision_at_threshold,
   case when tp + fn > 0 then cast(tp as double) / (tp + fn) else 0.0 end as recall,
   case when fp + tn > 0 then cast(fp as double) / (fp + tn) else 0.0 end as false_positive_rate,
-  risk_low, risk_medium, risk_high, last_flagged / (86400 / 60.0) as fraud_velocity_per_min
+  risk_low, risk_medium, risk_high, 
+  last_flagged / greatest(1.0, (select max(unix_time) % 86400 from tx) / 60.0) as fraud_velocity_per_min
 from b"""))
 def business_kpis(spark, sf):
     return risk.business_kpis(fx.tx(spark, sf))

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import counters as ct
 from ..operators.pressure import backlog
 from ..sources import fixtures as fx
+from ..session import checkpoint_path
 from ..sources import readers as rd
-from .catalog import register, with_tx
+from .catalog import REGISTRY, register, with_tx
+from . import q_risk  # noqa: F401  (its SQL checks the snapshot)
 
 FILES = f"files as ({fx.run_files_sql()})"
 
@@ -180,10 +184,50 @@ def exposition_lines(spark, sf):
     return ct.exposition_lines(_folded(spark, sf))
 
 
-@register("storage_bytes", None)
+def _run_folders(spark, sf):
+    """lineitem written as ``topic=<return flag>/run=<ship year>`` folders."""
+    path = checkpoint_path(spark, "run-folders", uuid.uuid4().hex)
+    li = spark.read.parquet(f"{sf}/lineitem.parquet")
+    rows = li.select("l_orderkey", "l_quantity", F.col("l_returnflag").alias("topic"), F.date_format("l_shipdate", "yyyy").alias("run"))
+    rows.write.partitionBy("topic", "run").parquet(path)
+    return path
+
+
+@register("file_listing", """
+select l_returnflag as topic, strftime(l_shipdate, '%Y') as run, cast(count(*) as bigint) as rows, true as filled
+from lineitem group by 1, 2""")
+def file_listing(spark, sf):
+    """File table of written run folders, summed per run (how many files a run has depends on the cluster)."""
+    files = rd.list_files(spark, _run_folders(spark, sf))
+    return files.groupBy("topic", "run").agg(F.sum("rows").cast("bigint").alias("rows"),
+                                             ((F.min("bytes") > 0) & (F.count("mtime") == F.count(F.lit(1)))).alias("filled"))
+
+
+@register("storage_bytes", """
+select 'topic=' || l_returnflag as directory, cast(count(*) as bigint) as rows, true as same_bytes from lineitem group by 1""")
 def storage_bytes(spark, sf):
-    """S17 (rows-only): bytes and files per directory of the input folder, from file metadata."""
-    return rd.storage_bytes(spark, sf)
+    """Folders with all that lies below them, held against the file table of the same folder."""
+    path = _run_folders(spark, sf)
+    listed = rd.list_files(spark, path).groupBy(F.concat(F.lit("topic="), "topic").alias("directory")).agg(
+        F.sum("rows").cast("bigint").alias("rows"), F.sum("bytes").alias("listed"))
+    sizes = rd.storage_bytes(spark, path).where(F.col("directory") != "")  # the commit marker lies in the root
+    return sizes.join(listed, "directory", "full").select("directory", "rows", (F.col("bytes") == F.col("listed")).alias("same_bytes"))
+
+
+# Hours each topic is kept.
+RETENTION_HOURS = [("raw-transactions", 24), ("features-ready", 12), ("inference-results", 6), ("training-queue", 48)]
+
+
+@register("retention_by_topic", f"""with {FILES},
+lim as (select * from (values {", ".join(f"('{t}', {h})" for t, h in RETENTION_HOURS)}) l(topic, hours))
+select topic, run, file, rows, bytes, mtime from files join lim using (topic)
+where mtime >= (select max(mtime) from files where topic = 'raw-transactions') - to_hours(hours)""")
+def retention_by_topic(spark, sf):
+    """Files younger than their topic's limit, at the time of the newest raw file."""
+    files = fx.run_files(spark, sf)
+    now = files.where(F.col("topic") == "raw-transactions").agg(F.max("mtime")).first()[0]
+    limits = spark.createDataFrame(RETENTION_HOURS, "topic string, hours int")
+    return rd.retention_by_topic(files, limits, F.lit(now).cast("timestamp_ntz"), "mtime")
 
 
 RAW_FROM_TX = [
@@ -200,8 +244,6 @@ RAW_FROM_TX = [
 def read_transactions(spark, sf):
     """S1 + S11: a run written as snappy parquet in the raw layout (some raw
     columns absent), read back with the fixed raw schema."""
-    import uuid
-    from ..session import checkpoint_path
     from ..sources.sinks import write_parquet_snappy
     path = checkpoint_path(spark, "runs", f"run_{uuid.uuid4().hex}")
     write_parquet_snappy(fx.tx(spark, sf).selectExpr(*[f"{e} as {a}" for a, e in RAW_FROM_TX]), path, "overwrite")
@@ -214,13 +256,12 @@ def read_features(spark, sf):
     return rd.read_features(spark, f"{sf}/lineitem.parquet", ["l_orderkey", "l_quantity", "l_missing", "l_discount", "l_shipdate"])
 
 
-@register("snapshot_json", None)
+@register("snapshot_json", REGISTRY["business_summary"][1])
 def snapshot_json(spark, sf):
-    """S19 (rows-only): the business summary written as a JSON document and read back."""
-    import uuid
+    """The business summary written as a JSON document and read back."""
     from ..operators.risk import business_summary
-    from ..session import checkpoint_path
     from ..sources.sinks import snapshot_json as write_snapshot
     path = checkpoint_path(spark, "snapshots", uuid.uuid4().hex)
-    write_snapshot(business_summary(fx.tx(spark, sf)), path)
-    return spark.read.json(path)
+    summary = business_summary(fx.tx(spark, sf))
+    write_snapshot(summary, path)
+    return spark.read.schema(summary.schema).json(path)

@@ -17,6 +17,7 @@ from ..session import checkpoint_path
 from ..sources import fixtures as fx
 from ..streaming import streams as st
 from .catalog import REGISTRY, register, with_tx
+from .q_features import R9
 from .q_sources import METRIC_ROWS
 
 FILES = 4
@@ -52,26 +53,35 @@ def _foreach_append(path: str):
     return write
 
 
-@register("stream_features", None)
+# the batch features are the streams' oracle
+FEATURES_SQL = f"select * exclude (fraud_score) from ({REGISTRY['features_all'][1]})"
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.drop("batch_id").select(*[F.round(c, R9).alias(c) if c in ("amt_log", "distance_km", "city_pop_log") else F.col(c)
+                                        for c in df.columns if c != "batch_id"])
+
+
+@register("stream_features", FEATURES_SQL)
 def stream_features(spark, sf):
-    """X1 (rows-only): raw transactions -> feature stream -> queue + archive."""
+    """Raw transactions -> feature stream -> queue + archive; the queue holds the batch job's features."""
     base = _scratch(spark, "features")
     _stage(fx.tx(spark, sf).drop("fraud_score"), f"{base}/raw", ["unix_time", "trans_key"])
     schema = spark.read.parquet(f"{base}/raw").schema
     st.run_to_end(lambda: st.feature_stream(spark, f"{base}/raw", schema, f"{base}/queue", f"{base}/archive",
                                             f"{base}/ckpt", max_files=1, available_now=True))
-    return spark.read.parquet(f"{base}/queue")
+    return _rounded(spark.read.parquet(f"{base}/queue"))
 
 
-@register("dual_sink", None)
+@register("dual_sink", FEATURES_SQL)
 def dual_sink_query(spark, sf):
-    """S10 (rows-only): the archive copy written next to the queue by the feature stream."""
+    """The archive copy written next to the queue by the feature stream."""
     base = _scratch(spark, "dual")
     _stage(fx.tx(spark, sf).drop("fraud_score"), f"{base}/raw", ["unix_time", "trans_key"])
     schema = spark.read.parquet(f"{base}/raw").schema
     st.run_to_end(lambda: st.feature_stream(spark, f"{base}/raw", schema, f"{base}/queue", f"{base}/archive",
                                             f"{base}/ckpt", max_files=1, available_now=True))
-    return spark.read.parquet(f"{base}/archive")
+    return _rounded(spark.read.parquet(f"{base}/archive"))
 
 
 def _scoring_run(spark, sf) -> str:
@@ -86,12 +96,13 @@ def _scoring_run(spark, sf) -> str:
     return base
 
 
-@register("stream_scores", None)
+@register("stream_scores", with_tx("select trans_key, unix_time, cast(1 as int) as model_version, true as score_fits from tx"))
 def stream_scores(spark, sf):
-    """X2/P2-P4 (rows-only): feature stream scored by the newest registered model."""
+    """Feature stream scored by the newest registered model.  SQL can tell which rows are
+    scored and by which version; the score itself is held to its range and to its serving flag."""
     base = _scoring_run(spark, sf)
-    return spark.read.parquet(f"{base}/results").select("trans_key", "unix_time", "fraud_score",
-                                                        "fraud_prediction", "model_version", "batch_id")
+    fits = F.col("fraud_score").between(0, 1) & (F.col("fraud_prediction") == (F.col("fraud_score") >= 0.52).cast("int"))
+    return spark.read.parquet(f"{base}/results").select("trans_key", "unix_time", "model_version", fits.alias("score_fits"))
 
 
 @register("stream_counters", with_tx(METRIC_ROWS + """

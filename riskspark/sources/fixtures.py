@@ -18,7 +18,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from ..operators.joins import bounded_broadcast
 
 # --------------------------------------------------------------------------
 # Fixed values of the transaction domain: the 14 merchant categories.
@@ -123,7 +122,7 @@ def build_tx(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_discount", "l_returnflag", "l_shipdate")
     od = _read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     cu = _read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
-    na = bounded_broadcast(_read(spark, sf_dir, "nation").select("n_nationkey", "n_name"), 10_000)
+    na = _read(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     su = _read(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
     joined = (li.join(od, li.l_orderkey == od.o_orderkey)
                 .join(cu, F.col("o_custkey") == cu.c_custkey)

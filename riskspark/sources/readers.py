@@ -79,12 +79,59 @@ def retention(df: DataFrame, hours: float, time_col: str = "unix_time") -> DataF
     return df.where(F.col(time_col) >= F.lit(newest - int(hours * 3600)))
 
 
-def storage_bytes(spark: SparkSession, path: str, depth_from_root: int = 1) -> DataFrame:
-    """Bytes per directory from the files' metadata (no data is read)."""
-    df = spark.read.format("binaryFile").load(path).select("path", "length")
-    dir_ = F.regexp_replace("path", r"/[^/]*$", "")
-    return df.groupBy(dir_.alias("directory")).agg(
-        F.sum("length").cast("bigint").alias("bytes"), F.count(F.lit(1)).cast("bigint").alias("files"))
+def retention_by_topic(df: DataFrame, limits: DataFrame, now: Column, time_col: str, topic: str = "topic") -> DataFrame:
+    """Rows younger than their topic's ``hours`` in ``limits(topic, hours)`` (one row per
+    topic) at the time ``now``; topics without a limit keep all rows, rows without a time go."""
+    lim = limits.select(F.col(topic).alias("_topic"), F.col("hours").alias("_hours"))
+    j = df.join(lim, F.col(topic) == F.col("_topic"), "left")
+    keep = F.col("_hours").isNull() | (F.col(time_col) >= now - F.make_dt_interval(hours=F.col("_hours").cast("int")))
+    return j.where(keep & F.col(time_col).isNotNull()).drop("_topic", "_hours")
+
+
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    """File metadata at any depth below ``path`` (no file is opened; those of no bytes are left out)."""
+    return (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+            .select("path", F.col("_metadata.file_path").alias("_uri"), F.col("length").alias("bytes"), F.col("modificationTime").alias("mtime")))
+
+
+def _below(root: str, path: Column | str = "path") -> Column:
+    """The part of a file's path below ``root`` (found by its last folder names, whatever the scheme)."""
+    tail = "/" + root.rstrip("/").split("://")[-1].lstrip("/").split(":")[-1].lstrip("/") + "/"
+    return F.substring_index(path, tail, -1)
+
+
+def list_files(spark: SparkSession, path: str) -> DataFrame:
+    """File table of the parquet files in ``path/<topic>/<run>/``: (topic, run, file, rows, bytes,
+    mtime), the input of S4, S5, S6, S12 and S18.  ``key=`` prefixes of folder names are cut off.
+    Rows are counted by Spark from the files without reading a column; a file without rows has 0."""
+    meta = _files(spark, path).where(F.col("path").endswith(".parquet"))
+    rows = (spark.read.option("recursiveFileLookup", "true").parquet(path)
+            .groupBy(F.col("_metadata.file_path").alias("_uri")).agg(F.count(F.lit(1)).alias("rows")))
+    part = F.split(_below(path), "/")
+    name = lambda i: F.regexp_replace(F.element_at(part, i), r"^[^=]*=", "")
+    return (meta.join(rows, "_uri", "left")
+            .select(name(-3).alias("topic"), name(-2).alias("run"), F.element_at(part, -1).alias("file"),
+                    F.coalesce("rows", F.lit(0)).cast("bigint").alias("rows"), "bytes", "mtime"))
+
+
+def storage_bytes(spark: SparkSession, path: str, depth: int = 1) -> DataFrame:
+    """Bytes and files per folder ``depth`` levels below ``path``, everything under it
+    included, from the files' metadata (no data is read).  Files above that level count for
+    the folder they lie in; those right in ``path`` for ``''``."""
+    folders = F.slice(F.split(_below(path), "/"), F.lit(1), F.least(F.lit(depth), F.size(F.split(_below(path), "/")) - 1))
+    return _files(spark, path).groupBy(F.array_join(folders, "/").alias("directory")).agg(
+        F.sum("bytes").cast("bigint").alias("bytes"), F.count(F.lit(1)).cast("bigint").alias("files"))
+
+
+def read_or_quarantine(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+    """S13 for files: (rows of the readable parquet files, (path, bytes, mtime) of the others).
+    A file that cannot be opened as parquet does not end the job; each file that gave no row is
+    reported, unreadable or not.  Files of no bytes hold nothing; Spark's scans pass over them."""
+    rows = (spark.read.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet")
+            .option("ignoreCorruptFiles", "true").parquet(path))
+    read = rows.select(F.col("_metadata.file_path").alias("_uri")).distinct()
+    files = _files(spark, path).where(F.col("path").endswith(".parquet"))
+    return rows, files.join(read, "_uri", "left_anti").drop("_uri")
 
 
 # ------------------------------------------------------------------ conform / quarantine
