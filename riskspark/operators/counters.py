@@ -28,22 +28,24 @@ def batch_counters(scored: DataFrame, batch: str = "batch_id", ts: str = "batch_
 
     totals, flagged totals, band counts, and per category / state counts and
     amounts of flagged rows; the category mean score is kept as a sum and a
-    count (a mean of means would be wrong across batches).  One aggregate with
-    grouping sets -- (batch), (batch, category), (batch, state) -- computes
-    all of them in a single scan and shuffle.
+    count (a mean of means would be wrong across batches).  One aggregate per
+    (batch, category, state) reads the rows; grouping sets -- (batch), (batch,
+    category), (batch, state) -- then add up its few rows.
     """
     f = F.col("fraud_score") >= threshold
     amt = F.col("amt").cast("decimal(18,2)")
     band = risk_band("fraud_score", BAND_CUTS)
     d = (scored.withColumn("category", F.coalesce("category", F.lit("unknown")))
                .withColumn("state", F.coalesce("state", F.lit("unknown"))))
-    g = d.groupingSets([[batch], [batch, "category"], [batch, "state"]], batch, "category", "state").agg(
-        F.grouping_id().alias("_gid"),
+    sums = ["n", "amount", "flagged", "flagged_amount", "score_sum", "band_low", "band_medium", "band_high"]
+    d = d.groupBy(batch, "category", "state").agg(
         F.max(ts).alias("_ts"),
         F.count(F.lit(1)).alias("n"), F.sum(amt).alias("amount"),
         F.count(F.when(f, 1)).alias("flagged"), F.coalesce(F.sum(F.when(f, amt)), F.lit(0)).alias("flagged_amount"),
         F.sum(F.when(f, F.col("fraud_score").cast("decimal(12,4)"))).alias("score_sum"),
         *[F.count(F.when(band == b, 1)).alias(f"band_{b}") for b in ("low", "medium", "high")])
+    g = d.groupingSets([[batch], [batch, "category"], [batch, "state"]], batch, "category", "state").agg(
+        F.grouping_id().alias("_gid"), F.max("_ts").alias("_ts"), *[F.sum(c).alias(c) for c in sums])
     t = F.col("_ts")
     totals = [
         _rows(batch, t, F.lit("total_txns_scored"), "counter", F.col("n")),

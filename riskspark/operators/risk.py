@@ -13,12 +13,14 @@ order + limit for a small, fixed n.
 
 from __future__ import annotations
 
+import uuid
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.features import BAND_CUTS, FRAUD_THRESHOLD, mask_card, risk_band
+from ..session import checkpoint_path
 from .selection import kth_cut, below_cut
 
 SCORE = "fraud_score"
@@ -168,34 +170,75 @@ def state_rank(df: DataFrame, k: int = 8) -> DataFrame:
 
 
 CONCENTRATION_ORDER = [SCORE, "unix_time", "trans_key", "amt"]
+SCORE_BINS = 10_000
 
 
-def _top_k_flagged_amount(df: DataFrame, k: int, threshold: float, n: int | None = None) -> tuple[DataFrame, Decimal]:
-    """Rows strictly inside the top ``k`` by score (desc, tie keys desc) get
-    ``_top`` = true; also returns the flagged amount of the boundary rows that
-    belong to the top k (rows equal in every order key are interchangeable).
-    Rows without a score (null or NaN) come last and are in no top k."""
-    names = [f"_k{i}" for i in range(len(CONCENTRATION_ORDER))]
-    keyed = df.select("*", *[(-F.col(c).cast("double") if c == "amt" else -F.col(c)).alias(n)
-                             for c, n in zip(CONCENTRATION_ORDER, names)])
-    has_score = F.col(SCORE).isNotNull() & ~F.isnan(F.col(SCORE).cast("double"))
-    scored = df.agg(F.count_if(has_score)).first()[0]
-    cut = kth_cut(keyed.where(has_score), names, min(k, scored), n=scored)
-    if cut is None:
-        return keyed.withColumn("_top", F.lit(False)), Decimal(0)
-    boundary_score = -cut.key[0]
-    boundary_amt = Decimal(0) if cut.key[3] is None else Decimal(repr(-cut.key[3])).quantize(Decimal("0.01"))  # money with 2 decimals
-    extra = cut.take * boundary_amt if boundary_score >= threshold else Decimal(0)
-    return keyed.withColumn("_top", has_score & below_cut(keyed, names, cut)), extra
-
-
-def _concentration(df: DataFrame, n: int, p: float, threshold: float) -> tuple[DataFrame, Column, int]:
-    """Rows marked ``_top`` (inside the top k by score) and the exact flagged
-    amount of the top k as a DECIMAL aggregate column."""
+def _fine_bin() -> Column:
+    """Bin of the score, rising with it; rows without a score (null or NaN) are in bin -1."""
+    s = F.col(SCORE).cast("double")
+    clipped = F.least(F.greatest(s, F.lit(0.0)), F.lit(1.0))
+    return F.when(s.isNull() | F.isnan(s), F.lit(-1)).otherwise(F.floor(clipped * SCORE_BINS)).cast("int")
+
+
+def _cells(df: DataFrame, threshold: float, by: tuple[str, ...] = (), more: tuple[Column, ...] = ()) -> DataFrame:
+    """One row per fine score bin (and ``by``): counts, exact amounts and times, from one scan of
+    ``df``.  Written to the shared folder, as several small results come from it."""
+    f, amt = flagged(threshold), F.col("amt").cast(MONEY)
+    cells = df.groupBy(_fine_bin().alias("bin"), *[F.coalesce(c, F.lit("unknown")).alias(c) for c in by]).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(amt).alias("amount"), F.count(F.when(f, 1)).alias("flagged"),
+        F.sum(F.when(f, amt)).alias("flagged_amount"), F.min("unix_time").alias("first_time"),
+        F.max("unix_time").alias("last_time"), *more)
+    path = checkpoint_path(df.sparkSession, "cells", uuid.uuid4().hex)
+    cells.write.parquet(path)
+    return df.sparkSession.read.schema(cells.schema).parquet(path)
+
+
+def _top_flagged_amount(df: DataFrame, cells: DataFrame, p: float, threshold: float) -> tuple[Decimal, int]:
+    """Flagged amount of the top k = max(1, floor(n*p)) rows by score (desc, tie keys desc), and k.
+
+    The bins (at most ``SCORE_BINS`` + 2 rows) tell which of them lies across the cut; only its rows are
+    read again, and the cut inside it is exact (``selection``).  Rows without a score are in no top k."""
+    bins = cells.groupBy("bin").agg(F.sum("n").alias("n"), F.sum("flagged_amount").alias("amount")).collect()
+    n = sum(r["n"] for r in bins)
     k = max(1, int(n * p)) if n else 0
-    marked, extra = _top_k_flagged_amount(df, k, threshold, n) if k else (df.withColumn("_top", F.lit(False)), Decimal(0))
-    top_dec = F.coalesce(F.sum(F.when(flagged(threshold) & F.col("_top"), F.col("amt").cast(MONEY))), F.lit(0).cast(MONEY))
-    return marked, (top_dec + F.lit(extra).cast("decimal(38,2)")).cast("double"), k
+    left, top = k, Decimal(0)
+    for r in sorted((r for r in bins if r["bin"] >= 0), key=lambda r: -r["bin"]):
+        if r["n"] > left:
+            top += _top_of_bin(df, r["bin"], left, r["n"], threshold) if left else 0
+            break
+        top += r["amount"] or 0
+        left -= r["n"]
+    return top, k
+
+
+def _top_of_bin(df: DataFrame, bin_: int, k: int, n: int, threshold: float) -> Decimal:
+    """Flagged amount of the first ``k`` of the ``n`` rows in one score bin."""
+    inside = _fine_bin() == bin_
+    if 0 < bin_ < SCORE_BINS:  # a plain range on the score, which reaches the scan
+        inside = F.col(SCORE).between((bin_ - 1) / SCORE_BINS, (bin_ + 2) / SCORE_BINS) & inside
+    names = [f"_k{i}" for i in range(len(CONCENTRATION_ORDER))]
+    band = df.where(inside).select(SCORE, "amt", *[(-F.col(c).cast("double") if c == "amt" else -F.col(c)).alias(k_)
+                                                   for c, k_ in zip(CONCENTRATION_ORDER, names)]).persist()
+    try:
+        cut = kth_cut(band, names, k, n=n)
+        above = band.where(below_cut(band, names, cut) & flagged(threshold)).agg(F.sum(F.col("amt").cast(MONEY))).first()[0]
+    finally:
+        band.unpersist(blocking=True)
+    # rows equal in every order key are interchangeable
+    at_amount = Decimal(0) if cut.key[3] is None else Decimal(repr(-cut.key[3])).quantize(Decimal("0.01"))
+    return (above or Decimal(0)) + (cut.take * at_amount if -cut.key[0] >= threshold else 0)
+
+
+def _money_of(c: str) -> Column:
+    return F.coalesce(F.sum(c), F.lit(0).cast(MONEY)).cast("double")
+
+
+def _count_of(c: str) -> Column:
+    return F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
+
+
+def _literal(amount: Decimal) -> Column:
+    return F.lit(str(amount)).cast("decimal(38,2)").cast("double")
 
 
 def _share(top: Column, total: Column) -> Column:
@@ -205,29 +248,29 @@ def _share(top: Column, total: Column) -> Column:
 def risk_concentration(df: DataFrame, p: float = 0.01, threshold: float = FRAUD_THRESHOLD) -> DataFrame:
     """Share of the flagged amount held by the top ``p`` of rows by score.
 
-    k = max(1, floor(n*p)).  The k-th row is located with an exact band
-    search (see ``selection``) instead of sorting the table; the result is
-    then one conditional sum over the rows.
+    k = max(1, floor(n*p)).  One aggregate by fine score bin finds the bin in
+    which the k-th row lies; only the rows of that bin are read a second time.
     """
-    marked, top, k = _concentration(df, df.count(), p, threshold)
-    agg = marked.agg(money_sum("amt", flagged(threshold)).alias("fraud_amount"), top.alias("top_fraud_amount"))
-    return agg.select(F.lit(k).cast("bigint").alias("top_count"), "top_fraud_amount", "fraud_amount",
-                      _share(F.col("top_fraud_amount"), F.col("fraud_amount")).alias("concentration_pct"))
+    cells = _cells(df, threshold)
+    top, k = _top_flagged_amount(df, cells, p, threshold)
+    return cells.agg(_money_of("flagged_amount").alias("fraud_amount")).select(
+        F.lit(k).cast("bigint").alias("top_count"), _literal(top).alias("top_fraud_amount"), "fraud_amount",
+        _share(_literal(top), F.col("fraud_amount")).alias("concentration_pct"))
 
 
 def business_summary(df: DataFrame, threshold: float = FRAUD_THRESHOLD, p: float = 0.01) -> DataFrame:
-    """A18 (with A14-A17, A10, A13): the KPI row.  After the top-k search, one
-    aggregate computes every measure including the concentration, and the
-    top category comes from the per-category aggregate."""
-    f = flagged(threshold)
-    marked, top, _ = _concentration(df, df.count(), p, threshold)
-    base = marked.agg(
-        F.count(F.lit(1)).cast("bigint").alias("transactions_analyzed"),
-        money_sum("amt").alias("total_amount"),
-        count_if(f).alias("high_risk_count"),
-        money_sum("amt", f).alias("fraud_exposure_identified"),
-        ((F.max("unix_time") - F.min("unix_time")) / 3600.0).alias("elapsed_hours"),
-        top.alias("_top_amount"))
+    """A18 (with A14-A17, A10, A13): the KPI row.  One aggregate by fine score
+    bin and category holds every measure; a second scan reads only the score
+    bin across the top-k cut."""
+    cells = _cells(df, threshold, ("category",))
+    return _summary(cells, _top_flagged_amount(df, cells, p, threshold)[0])
+
+
+def _summary(cells: DataFrame, top: Decimal) -> DataFrame:
+    base = cells.agg(
+        _count_of("n").alias("transactions_analyzed"), _money_of("amount").alias("total_amount"),
+        _count_of("flagged").alias("high_risk_count"), _money_of("flagged_amount").alias("fraud_exposure_identified"),
+        ((F.max("last_time") - F.min("first_time")) / 3600.0).alias("elapsed_hours"))
     n = F.col("transactions_analyzed")
     fr = F.col("fraud_exposure_identified") / F.greatest(F.lit(1.0), F.col("total_amount"))
     out = base.select(
@@ -238,9 +281,11 @@ def business_summary(df: DataFrame, threshold: float = FRAUD_THRESHOLD, p: float
         F.when(F.coalesce(F.col("elapsed_hours"), F.lit(0.0)) != 0,
                F.col("fraud_exposure_identified") / F.greatest(F.lit(0.001), F.col("elapsed_hours")) * 8760)
          .otherwise(F.lit(0.0)).alias("projected_annual_savings"),
-        _share(F.col("_top_amount"), F.col("fraud_exposure_identified")).alias("concentration_pct"),
+        _share(_literal(top), F.col("fraud_exposure_identified")).alias("concentration_pct"),
         F.lit(1).alias("_one"))
-    top_cat = top_category(df).withColumn("_one", F.lit(1))
+    per = cells.groupBy("category").agg(F.sum("flagged").alias("n"), _money_of("flagged_amount").alias("top_category_amount")).where("n > 0")
+    top_cat = (per.orderBy(F.col("top_category_amount").desc(), "category").limit(1)
+               .select(F.col("category").alias("top_category"), "top_category_amount", F.lit(1).alias("_one")))
     return out.join(top_cat, "_one", "left").drop("_one")
 
 
@@ -257,18 +302,17 @@ def business_kpis(df: DataFrame, threshold: float = FRAUD_THRESHOLD, eval_thresh
     alerts per million, high-risk rate, projected savings, band counts,
     concentration, and fraud velocity per minute over the newest batch window
     (its flagged rows by the minutes of it that have passed, one at least)."""
-    s = business_summary(df, threshold)
     pred = F.col(SCORE) > eval_threshold
     y = F.col(label) == 1
     band = risk_band(SCORE)
-    newest = df.agg(F.max("unix_time")).first()[0]
+    counts = {"_tp": pred & y, "_fp": pred & ~y, "_fn": ~pred & y, "_tn": ~pred & ~y,
+              "risk_low": band == "low", "risk_medium": band == "medium", "risk_high": band == "high"}
+    cells = _cells(df, threshold, ("category",), tuple(F.count(F.when(c, 1)).alias(n) for n, c in counts.items()))
+    s = _summary(cells, _top_flagged_amount(df, cells, 0.01, threshold)[0])
+    newest = cells.agg(F.max("last_time")).first()[0]
     start = (newest // batch_seconds) * batch_seconds if newest is not None else 0
-    one = df.agg(
-        count_if(pred & y).alias("_tp"), count_if(pred & ~y).alias("_fp"),
-        count_if(~pred & y).alias("_fn"), count_if(~pred & ~y).alias("_tn"),
-        count_if(band == "low").alias("risk_low"), count_if(band == "medium").alias("risk_medium"),
-        count_if(band == "high").alias("risk_high"),
-        count_if(flagged(threshold) & (F.col("unix_time") >= F.lit(start))).alias("_last_flagged"))
+    last = df.where(F.col("unix_time") >= F.lit(start)).agg(count_if(flagged(threshold)).alias("_last_flagged"), F.lit(1).alias("_one"))
+    one = cells.agg(*[_count_of(n).alias(n) for n in counts], F.lit(1).alias("_one")).join(last, "_one")
     tp, fp, fn, tn = (F.col(c).cast("double") for c in ("_tp", "_fp", "_fn", "_tn"))
     one = one.select(
         F.when(tp + fp > 0, tp / (tp + fp)).otherwise(F.lit(0.0)).alias("precision_at_threshold"),
