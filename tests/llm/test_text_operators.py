@@ -151,6 +151,16 @@ def test_language_held_out_accuracy(spark):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def test_language_tables_equal_models_in_memory(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    few = [(10 ** 6 + i, t, "xx") for i, t in enumerate(["qaq zib wurm", "zib zib qaq"])]  # every n-gram of a small language is rare
+    docs = docs.unionByName(documents(spark, [*[(i, t, "en") for i, t in AWKWARD], *few]).select("doc_id", "text", "lang"))
+    want, got = (sorted(map(repr, langid.identify(docs, **options).collect())) for options in ({}, {"broadcast_entries": 10}))
+    assert got == want and len(want) == docs.count()
+    rows = docs.filter("lang is not null").select(langid.col("doc_id").alias("id"), "lang", "text")
+    assert isinstance(langid.fit(rows, broadcast_entries=10), langid.TableModels)
+
+
 def test_language_edges(spark, awkward):
     none = langid.identify(awkward).collect()
     assert len(none) == len(AWKWARD) and {r.lang_pred for r in none} == {"und"}
