@@ -111,11 +111,11 @@ test as (select * from r where rn > n - cast(floor(n * 0.2) as bigint))"""
 
 @register("fit_score", None)
 def fit_score(spark, sf):
-    """M1-M5, P1 (rows-only): features -> ordered split -> GBT (20 rounds, depth 6,
+    """M1-M5, P1 (rows-only): features -> ordered split -> GBT (100 rounds, depth 8,
     early stopping on the test part) -> scores of the test rows."""
     feats = _features(spark, sf)
     train, test = ml.ordered_split(feats, 0.2, ["unix_time", "trans_key"])
-    model = ml.fit_risk_model(train, test, depth=6, rounds=20)
+    model = ml.fit_risk_model(train, test)
     return ml.score(test, model).select("trans_key", "unix_time", "is_fraud", "fraud_score", "fraud_prediction")
 
 
@@ -130,8 +130,8 @@ def evaluate_latest(spark, sf):
     root = checkpoint_path(spark, "models", uuid.uuid4().hex)
     feats = _features(spark, sf)
     train, test = ml.ordered_split(feats, 0.2, ["unix_time", "trans_key"])
-    model = ml.fit_risk_model(train, None, depth=4, rounds=10)
-    ml.register_model(model, root, metrics={"rounds": 10})
+    model = ml.fit_risk_model(train, None)
+    ml.register_model(model, root, metrics={"rounds": 100})
     rep = ml.evaluate_latest(test, root, metrics=f"{root}/_metrics")
     g = ct.metric_fold(spark.read.parquet(f"{root}/_metrics")).agg(
         F.count(F.lit(1)).alias("gauges"), F.max(F.when(F.col("name") == "model_accuracy", F.col("value"))).alias("stored"))

@@ -93,7 +93,7 @@ def _scoring_run(spark, sf) -> str:
     base = _scratch(spark, "scores")
     feats = build_features(fx.tx(spark, sf).drop("fraud_score"))
     train, _ = ml.ordered_split(feats, 0.2, ["unix_time", "trans_key"])
-    ml.register_model(ml.fit_risk_model(train, None, depth=4, rounds=8), f"{base}/models")
+    ml.register_model(ml.fit_risk_model(train, None), f"{base}/models")
     _deliver(feats, f"{base}/features")
     schema = spark.read.parquet(f"{base}/features").schema
     st.run_to_end(lambda: st.score_stream(spark, f"{base}/features", schema, f"{base}/models", f"{base}/results",

@@ -1,11 +1,14 @@
 """Split sizes, disjointness, evaluation invariants, scoring range, registry."""
 
+import inspect
 import uuid
 
+import pytest
 from pyspark.sql import functions as F
 
 from riskspark.functions.features import build_features
 from riskspark.operators import ml
+from riskspark.plans import catalog
 from riskspark.session import checkpoint_path
 from riskspark.sources import fixtures as fx
 from conftest import SF_SMALL
@@ -53,6 +56,24 @@ def test_fit_score_register_and_reload(spark):
     assert rep.model_version == 2 and rep.samples_evaluated == test.count()
 
 
+@pytest.mark.parametrize("query", ["fit_score", "evaluate_latest", "stream_scores"])
+def test_registered_queries_train_the_full_model(spark, monkeypatch, query):
+    class Called(Exception):
+        pass
+
+    signature = inspect.signature(ml.fit_risk_model)
+
+    def fit(*args, **options):
+        bound = signature.bind(*args, **options)
+        bound.apply_defaults()
+        raise Called(bound.arguments["depth"], bound.arguments["rounds"])
+
+    monkeypatch.setattr(ml, "fit_risk_model", fit)
+    with pytest.raises(Called) as seen:
+        catalog.queries()[query](spark, SF_SMALL)
+    assert seen.value.args == (8, 100)
+
+
 def test_report_with_defaults_flags_missing(spark):
     vals = spark.createDataFrame([("a", 3.0)], "name string, value double")
     got = {r.name: (r.value, r.is_default) for r in ml.report_with_defaults(vals, {"a": 0.0, "b": 9.0}).collect()}
