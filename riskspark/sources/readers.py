@@ -124,14 +124,24 @@ def storage_bytes(spark: SparkSession, path: str, depth: int = 1) -> DataFrame:
 
 
 def read_or_quarantine(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
-    """S13 for files: (rows of the readable parquet files, (path, bytes, mtime) of the others).
-    A file that cannot be opened as parquet does not end the job; each file that gave no row is
-    reported, unreadable or not.  Files of no bytes hold nothing; Spark's scans pass over them."""
+    """S13 for files: (rows of the sound parquet files, (path, bytes, mtime) of the others).
+    A file that cannot be opened as parquet does not end the job.  Spark skips the rest of a file at its
+    first broken page, so a file is sound only if a scan of all the schema's columns gives as many rows as
+    its footer counts; the others are reported and none of their rows is returned.  Each file that gave no
+    row is reported, unreadable or not.  Files of no bytes hold nothing; Spark's scans pass over them."""
     rows = (spark.read.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet")
             .option("ignoreCorruptFiles", "true").parquet(path))
-    read = rows.select(F.col("_metadata.file_path").alias("_uri")).distinct()
+    uri = F.col("_metadata.file_path").alias("_uri")
+    footer = rows.select(uri).groupBy("_uri").agg(F.count(F.lit(1)).alias("_footer"))
+    nested = (T.ArrayType, T.MapType, T.StructType)
+    values = [F.to_json(F.struct(f"`{f.name}`")) if isinstance(f.dataType, nested) else F.col(f"`{f.name}`") for f in schema.fields]
+    # the hash makes the scan decode every column; as it can be null, the optimiser cannot drop it
+    scan = rows.select(uri, F.xxhash64(*values).alias("_hash")).groupBy("_uri").agg(
+        F.count(F.lit(1)).alias("_rows"), F.bit_xor("_hash").alias("_hash"))
+    sound = footer.join(scan, "_uri").where(F.col("_hash").isNotNull() & (F.col("_rows") == F.col("_footer"))).select("_uri")
     files = _files(spark, path).where(F.col("path").endswith(".parquet"))
-    return rows, files.join(read, "_uri", "left_anti").drop("_uri")
+    good = rows.select("*", uri).join(sound, "_uri", "left_semi").drop("_uri")
+    return good, files.join(sound, "_uri", "left_anti").drop("_uri")
 
 
 # ------------------------------------------------------------------ conform / quarantine

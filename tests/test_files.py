@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,6 +41,29 @@ def test_unreadable_files_are_reported(spark, runs):
     assert named == {"torn.parquet", "text.parquet"}  # and the file without rows, but not the one without bytes
 
 
+def test_files_damaged_after_the_first_rows_are_quarantined(spark, tmp_path):
+    def write(name, damaged):
+        table = pa.table({"id": list(range(30_000)), "note": [f"{name} {i}" for i in range(30_000)], "tags": [[i] for i in range(30_000)]})
+        pq.write_table(table, tmp_path / name, row_group_size=10_000, use_dictionary=False)
+        if damaged is not None:
+            group, column = damaged
+            chunk = pq.ParquetFile(tmp_path / name).metadata.row_group(group).column(column)
+            raw = bytearray((tmp_path / name).read_bytes())
+            raw[chunk.data_page_offset:chunk.data_page_offset + chunk.total_compressed_size] = b"\xff" * chunk.total_compressed_size
+            (tmp_path / name).write_bytes(raw)
+
+    for name, damaged in (("sound.parquet", None), ("later.parquet", (1, 1)), ("first.parquet", (0, 0)), ("nested.parquet", (2, 2))):
+        write(name, damaged)
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("note", T.StringType()),
+                           T.StructField("tags", T.ArrayType(T.LongType()))])
+    rows, bad = rd.read_or_quarantine(spark, str(tmp_path), schema)
+    assert rows.columns == schema.names
+    assert {r.kind: r["count"] for r in rows.groupBy(F.split("note", " ")[0].alias("kind")).count().collect()} == {"sound.parquet": 30_000}
+    assert {r.path.rsplit("/", 1)[1] for r in bad.collect()} == {"later.parquet", "first.parquet", "nested.parquet"}
+    rows, bad = rd.read_or_quarantine(spark, str(tmp_path), T.StructType(schema.fields[:1]))  # what is not read is not judged
+    assert rows.count() == 90_000 and [r.path.rsplit("/", 1)[1] for r in bad.collect()] == ["first.parquet"]
+
+
 def test_retention_by_topic(spark):
     now = dt.datetime(2024, 5, 2, 12)
     rows = [(t, now - dt.timedelta(hours=h) if h is not None else None) for t in ("a", "b", "c") for h in (1, 7, 30, None)]
