@@ -50,12 +50,6 @@ def held_out(id_col: str) -> Column:
     return F.crc32(F.coalesce(col(id_col).cast("string"), F.lit(""))) % 4 == 2
 
 
-def drop_ids(docs: DataFrame, id_col: str, dropped: DataFrame) -> DataFrame:
-    """``docs`` without the ids in the one column of ``dropped`` (null matches null); columns unchanged."""
-    name = fresh(docs.columns, "drop")
-    return docs.join(dropped.toDF(name), col(id_col).eqNullSafe(F.col(name)), "left_anti")
-
-
 def utf8(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(offsets, bytes) of a string array as numpy views; nulls are empty."""
     if arr.null_count:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import col, drop_ids, slices, stored, utf8
+from .common import col, fresh, slices, stored, utf8
 
 LEAF = 48
 
@@ -277,10 +277,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
-    """``docs`` with one document of each component, the one with the smallest id; a row whose
-    id is a component's id stays."""
-    found = stored(near_duplicates(docs, id_col, text_col, shingle, radius).select(col(id_col).alias("id"), "component_id"),
-                   "simhash-found")
-    kept = found.select(F.col("component_id").alias("kept")).distinct()
-    gone = found.select("id").join(kept, F.col("id").eqNullSafe(F.col("kept")), "left_anti").distinct()
-    return drop_ids(docs, id_col, stored(gone, "simhash-dropped"))
+    """``docs`` with one row of each component, one with the smallest id (a null id only if there is no
+    other).  Rows are told apart by a stored row number, also where ids are null or repeated."""
+    row = fresh(docs.columns, "row")
+    who = fresh([*docs.columns, row], "who")
+    rows = stored(docs.withColumn(row, F.monotonically_increasing_id()), "simhash-rows")
+    ranked = F.struct(col(id_col).isNull().alias("none"), col(id_col).alias("id"), col(row).alias("row"))
+    found = near_duplicates(rows.withColumn(who, ranked), who, text_col, shingle, radius)
+    gone = found.filter(F.col(who)["row"] != F.col("component_id")["row"]).select(F.col(who)["row"].alias(row))
+    return rows.join(stored(gone, "simhash-dropped"), row, "left_anti").drop(row)

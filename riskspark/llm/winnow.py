@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import col, drop_ids, slices, stored, utf8
+from .common import col, fresh, slices, stored, utf8
 
 BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
 _INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
@@ -247,10 +247,14 @@ def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_c
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` without the rows whose id is contaminated; columns unchanged."""
-    found = report(docs, benchmark, id_col, text_col, **options)
-    bad = found.filter("contaminated").select(col(id_col)).distinct()
-    return drop_ids(docs, id_col, stored(bad, "contaminated"))
+    """``docs`` without the contaminated rows; columns unchanged.  Each row is judged by its own text,
+    also where ids are null or repeated: rows are dropped by the text's hash beside the id."""
+    key = fresh([*docs.columns, text_col], "key")
+    digest = F.sha2(F.coalesce(col(text_col).cast("string"), F.lit("")), 256)
+    keyed = docs.withColumn(key, F.concat(digest, F.coalesce(F.concat(F.lit(":"), col(id_col).cast("string")), F.lit(""))))
+    found = report(keyed, benchmark, key, text_col, **options)
+    bad = found.filter("contaminated").select(key).distinct()
+    return keyed.join(stored(bad, "contaminated"), key, "left_anti").drop(key)
 
 
 ORACLE_SQL = r"""

@@ -96,6 +96,20 @@ def test_winnowing_edges(spark, awkward):
     assert winnow.report(awkward.limit(0), some).count() == 0
 
 
+def test_rows_with_null_or_repeated_ids_are_dropped_one_by_one(spark):
+    bad, clean = "these words stand in the benchmark", "a clean text of other words"
+    docs = documents(spark, [(None, bad), (None, clean), (None, None), (7, bad), (7, clean), (7, ""), (8, bad)])
+    bench = spark.createDataFrame([(1, bad)], "item_id long, text string")
+    left = winnow.decontaminate(docs, bench)
+    assert left.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=repr) == sorted([(None, clean), (None, None), (7, clean), (7, "")], key=repr)
+    docs = documents(spark, [(None, bad), (None, bad), (None, clean), (7, clean), (7, clean), (7, "one two three four five six"), (3, "x y z")])
+    kept = simhash.keep_first(docs)
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted(
+        [(None, bad), (7, clean), (7, "one two three four five six"), (3, "x y z")], key=repr)
+
+
 # ---------------------------------------------------------------- shards
 
 def test_shards_equal_brute_force(spark):
