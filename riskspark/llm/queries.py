@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, dedup, langid, secrets, shards, simhash, toxicity, warc, winnow
+from . import bpe, chat, dedup, htmltext, langid, secrets, shards, simhash, toxicity, trie, warc, whiten, winnow
 from .common import table
 
 SHARD_BYTES = 1 << 20  # one shard is one read of a streaming loader
@@ -92,15 +92,31 @@ def op10_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(chat_messages(table(spark, sf_dir, "conversations")), TOOLS)
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings whitened on their first 8 components, found by spectral divide and conquer."""
+    return whiten.whiten(table(spark, sf_dir, "embeddings"), components=8)
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prefix trie of all rebuilt conversations, by block digests."""
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page, by differencing pages of near URLs."""
+    return htmltext.extract(table(spark, sf_dir, "pages"))
+
+
 OPERATORS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_bpe_codec, op2_exact_dedup, op3_decontamination, op4_warc, op5_sharding, op6_language_id, op7_toxicity,
-                            op8_secret_scan, op9_simhash_dedup, op10_tool_calls)}
+                            op8_secret_scan, op9_simhash_dedup, op10_tool_calls, op11_embedding_whitening, op12_prefix_trie, op13_html_extraction)}
 
 SQL: dict[str, str] = {
     "op2_exact_dedup": dedup.ORACLE_SQL,
     "op3_decontamination": winnow.ORACLE_SQL,
     "op4_warc": warc.ORACLE_SQL,
     "op5_sharding": shards.oracle_sql(SHARD_BYTES),
+    "op12_prefix_trie": trie.ORACLE_SQL,
 }
 
 
