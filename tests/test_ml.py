@@ -11,7 +11,7 @@ from riskspark.operators import ml
 from riskspark.plans import catalog
 from riskspark.session import checkpoint_path
 from riskspark.sources import fixtures as fx
-from conftest import SF_SMALL
+from support import SF_SMALL
 
 
 def test_ordered_split_sizes_and_order(spark):

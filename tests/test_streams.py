@@ -9,7 +9,7 @@ from riskspark.session import checkpoint_path
 from riskspark.sources import fixtures as fx
 from riskspark.sources.sinks import write_metrics
 from riskspark.streaming import streams as st
-from conftest import SF_SMALL
+from support import SF_SMALL
 
 
 def _counters_stream(spark, src, out, ckpt, schema):
