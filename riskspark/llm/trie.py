@@ -204,8 +204,8 @@ with o as (select conv_id, coalesce(role, '') as role, coalesce(text, '') as tex
 ids as (select conv_id, max(depth) as turns, cast(conv_id as varchar) as name from o group by conv_id),
 bits as (select conv_id, turns, list_reduce(
     list_prepend(cast(4294967295 as bigint), flatten(list_transform(range(1, length(name) + 1),
-      i -> list_prepend(cast(ascii(substr(name, cast(i as integer), 1)) as bigint), [-1, -1, -1, -1, -1, -1, -1, -1])))),
-    (a, x) -> case when x >= 0 then xor(a, x) else xor(a // 2, 3988292384 * (a % 2)) end) as crc from ids),
+      lambda i: list_prepend(cast(ascii(substr(name, cast(i as integer), 1)) as bigint), [-1, -1, -1, -1, -1, -1, -1, -1])))),
+    lambda a, x: case when x >= 0 then xor(a, x) else xor(a // 2, 3988292384 * (a % 2)) end) as crc from ids),
 c as (select b.conv_id, b.conv_id - b.conv_id % 5 as base, xor(crc, 4294967295) % 9 as h from bits b),
 p as (select c.*, least(c.h, coalesce(i.turns, 0)) as head from c left join ids i on i.conv_id = c.base),
 r as (select p.conv_id, o.depth, o.role, o.text from p join o on o.conv_id = p.base where o.depth <= p.head
