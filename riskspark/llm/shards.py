@@ -23,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, stored
+from .common import col, spread_copies, stored
 
 HASH_BITS = 60
 
@@ -83,7 +83,6 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_
     '/page' in an overflowing bucket), depth, shard_bytes, shard_rows, oversize."""
     rows, directory = plan(docs, id_col, text_col, max_bytes)
     depths = [r[0] for r in directory.select("depth").distinct().collect()]  # at most 61 numbers
-    out = None
     candidates = rows.withColumn("depth", F.explode(F.array(*[F.lit(d) for d in sorted(depths)]))) if depths else \
         rows.withColumn("depth", F.lit(0))
     placed = (candidates.withColumn("prefix", _prefix(F.col("h"), F.col("depth")))
@@ -94,7 +93,7 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_
         F.lpad(F.conv(F.col("prefix").cast("string"), 10, 2), F.col("depth"), F.lit("0")))
     per_page = F.greatest(F.lit(1), F.floor(F.lit(max_bytes) / F.greatest(F.col("bytes"), F.lit(1))))
     over = F.col("shard_bytes") > max_bytes
-    out = (placed.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    out = (spread_copies(placed, "copies", "copy")
            .withColumn("page", F.floor(F.col("copy") / per_page))
            .withColumn("in_page", F.least(per_page, F.col("copies") - F.col("page") * per_page)))
     return out.select(

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import col, fresh, slices, stored, utf8
+from .common import col, fresh, row_keys, slices, split_by_keys, stored, utf8
 
 LEAF = 48
 
@@ -278,11 +278,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
     """``docs`` with one row of each component, one with the smallest id (a null id only if there is no
-    other).  Rows are told apart by a stored row number, also where ids are null or repeated."""
-    row = fresh(docs.columns, "row")
-    who = fresh([*docs.columns, row], "who")
-    rows = stored(docs.withColumn(row, F.monotonically_increasing_id()), "simhash-rows")
-    ranked = F.struct(col(id_col).isNull().alias("none"), col(id_col).alias("id"), col(row).alias("row"))
-    found = near_duplicates(rows.withColumn(who, ranked), who, text_col, shingle, radius)
-    gone = found.filter(F.col(who)["row"] != F.col("component_id")["row"]).select(F.col(who)["row"].alias(row))
-    return rows.join(stored(gone, "simhash-dropped"), row, "left_anti").drop(row)
+    other; of rows that repeat id and text any one).  Rows are told apart by a 16-byte hash of id and text, so
+    neither a copy of the table nor a shuffle of its texts is needed."""
+    names = [fresh([*docs.columns, text_col], n) for n in ("key_a", "key_b")]
+    who = fresh([*docs.columns, text_col, *names], "who")
+    keyed = docs.select("*", *[k.alias(n) for n, k in zip(names, row_keys(col(id_col), col(text_col)))])
+    ranked = F.struct(col(id_col).isNull().alias("none"), col(id_col).alias("id"), *names).alias(who)
+    found = near_duplicates(keyed.select(ranked, col(text_col)), who, text_col, shingle, radius)
+    same = F.lit(True)
+    for n in names:
+        same = same & (F.col(who)[n] == F.col("component_id")[n])
+    marked = found.select(*[F.col(who)[n].alias(n) for n in names], same.alias("stays")).groupBy(*names).agg(
+        F.first("stays").alias("stays"), F.count(F.lit(1)).alias("n"))
+    listed = stored(marked.filter("not stays or n > 1"), "simhash-listed")
+    out = split_by_keys(keyed, names, listed.select(*names))[0]
+    repeated = listed.filter("stays").select(*names)
+    if not repeated.isEmpty():
+        out = out.unionByName(split_by_keys(keyed, names, repeated)[1].dropDuplicates(names))
+    return out.drop(*names)

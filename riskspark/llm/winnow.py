@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import col, fresh, slices, stored, utf8
+from .common import bloom_bits, col, fresh, may_hold, row_keys, slices, split_by_keys, stored, utf8
 
 BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
 _INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
@@ -125,15 +125,6 @@ def _rows_schema(id_type: T.DataType) -> T.StructType:
     return T.StructType([T.StructField("id", id_type), T.StructField("n_words", T.LongType()), T.StructField("hits", T.ArrayType(hit))])
 
 
-def _may_hold(bits: np.ndarray, fps: np.ndarray) -> np.ndarray:
-    m = np.uint64(len(bits) * 8 - 1)
-    out = np.ones(len(fps), bool)
-    for salt in (0, 17, 34):
-        at = (fps >> np.uint64(salt)) & m
-        out &= (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
-    return out
-
-
 def _fingerprint_rows(k: int, window: int, short: list[int], bits: np.ndarray | None, items: bool):
     """Per text: id, n_words, fingerprints with their surroundings.  Items yield their windows' grams,
     or themselves if they are shorter; documents also all grams of the lengths in ``short``."""
@@ -146,7 +137,7 @@ def _fingerprint_rows(k: int, window: int, short: list[int], bits: np.ndarray |
             g, inside = words.grams(k)
             at = winnowed(g, inside, window - k + 1)
             if bits is not None:
-                at = at[_may_hold(bits, g[at])]
+                at = at[may_hold(bits, g[at])]
             found += [(p, k, f) for p, f in zip(at.tolist(), g[at].view(np.int64).tolist())]
             for length in (sorted(set(counts[(counts > 0) & (counts < window)].tolist())) if items else short):
                 g, inside = words.grams(length)
@@ -155,7 +146,7 @@ def _fingerprint_rows(k: int, window: int, short: list[int], bits: np.ndarray |
                     whole = first[:-1][counts == length]
                     pick = whole
                 if bits is not None:
-                    pick = pick[_may_hold(bits, g[pick])]
+                    pick = pick[may_hold(bits, g[pick])]
                 found += [(p, -length, f) for p, f in zip(pick.tolist(), g[pick].view(np.int64).tolist())]
             found.sort()
             hits: list[list[dict]] = [[] for _ in counts]
@@ -174,20 +165,6 @@ def _fingerprint_rows(k: int, window: int, short: list[int], bits: np.ndarray |
     return run
 
 
-def _bloom(items: DataFrame, most_bits: int) -> np.ndarray:
-    """Bloom filter of the benchmark's fingerprints: 16 bits for each, ``most_bits`` at most."""
-    n = items.count()
-    size = 1 << 10
-    while size < min(16 * n, most_bits):
-        size *= 2
-    places = items.select(F.explode(F.array(*[F.shiftrightunsigned("fp", s).bitwiseAND(F.lit(size - 1).cast("long"))
-                                              for s in (0, 17, 34)])).alias("b")).distinct()
-    bits = np.zeros(size // 8, np.uint8)
-    for r in places.toLocalIterator():  # at most ``size`` different places
-        bits[r["b"] >> 3] |= 1 << (r["b"] & 7)
-    return bits
-
-
 def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
          item_text: str = "text", window: int = 13, k: int = 7, most_bits: int = 1 << 26) -> tuple[DataFrame, DataFrame]:
     """(rows, matches): rows(row, id, n_words) for every input row, matches(row, item, lo, hi) with the
@@ -198,7 +175,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     items = stored(found.select(F.col("id").alias("item"), F.explode("hits").alias("h")).select("item", "h.*").drop("pos").distinct(),
                    "winnow-items")
     short = sorted(-r[0] for r in items.filter("k < 0").select("k").distinct().collect())  # under ``window`` numbers
-    bits = _bloom(items.select("fp").distinct(), most_bits)
+    bits = bloom_bits(items.select("fp").distinct(), most_bits)
     d = docs.select(col(id_col).alias("id"), col(text_col).cast("string").alias("text"))
     rows = d.mapInArrow(_fingerprint_rows(k, window, short, bits, False), _rows_schema(d.schema["id"].dataType))
     rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), "winnow-rows")
@@ -248,13 +225,14 @@ def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_c
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` without the contaminated rows; columns unchanged.  Each row is judged by its own text,
-    also where ids are null or repeated: rows are dropped by the text's hash beside the id."""
-    key = fresh([*docs.columns, text_col], "key")
-    digest = F.sha2(F.coalesce(col(text_col).cast("string"), F.lit("")), 256)
-    keyed = docs.withColumn(key, F.concat(digest, F.coalesce(F.concat(F.lit(":"), col(id_col).cast("string")), F.lit(""))))
-    found = report(keyed, benchmark, key, text_col, **options)
-    bad = found.filter("contaminated").select(key).distinct()
-    return keyed.join(stored(bad, "contaminated"), key, "left_anti").drop(key)
+    also where ids are null or repeated: rows are dropped by a 16-byte hash of id and text, and no text is
+    moved for it."""
+    names = [fresh([*docs.columns, text_col], n) for n in ("key_a", "key_b")]
+    who = fresh([*docs.columns, text_col, *names], "who")
+    keyed = docs.select("*", *[k.alias(n) for k, n in zip(row_keys(col(id_col), col(text_col)), names)])
+    found = report(keyed.select(F.struct(*names).alias(who), col(text_col)), benchmark, who, text_col, **options)
+    bad = stored(found.filter("contaminated").select(f"{who}.*").distinct(), "contaminated")
+    return split_by_keys(keyed, names, bad)[0].drop(*names)
 
 
 ORACLE_SQL = r"""
