@@ -5,11 +5,12 @@ token encodes to itself and each neighbouring pair (s, t) encodes to (s, t):
 the first merge across a boundary would have to happen between two neighbours.
 So the merges compile into a nondeterministic transducer whose state is (last
 token, position in the vocabulary trie).  ``Transducer`` determinises it
-lazily: a state is the set of live paths with the tokens each has still to
-emit; tokens on which all live paths agree are emitted at once, so a token
-leaves after at most one token length of lookahead.  States, transitions and
-checked pairs are kept up to a fixed number and then built anew, so memory is
-bounded for any text.
+lazily: a state is the set of live paths and nothing else, so states are shared
+by all texts.  What a path has still to emit is not copied from step to step: a
+prefix has one encoding, a state names the token that ends it, and the tokens
+before are read off the states passed.  The tokens that all live paths share
+leave after a bounded lookahead.  States, transitions and checked pairs are kept
+up to a fixed number and then built anew, so memory is bounded for any text.
 
 Decoding looks tokens up and feeds the bytes, chunk by chunk, to an
 incremental UTF-8 state machine that holds back at most three bytes.
@@ -38,6 +39,8 @@ from .common import col, slices
 
 ROOT = 0
 NONE = -1
+END, PATHS = 256, 257
+NODE = (1 << 24) - 1
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -55,16 +58,19 @@ class Transducer:
         leaf: dict[int, int] = {}
         self.kids: list[dict[int, int]] = [{}]
         self.token_at: list[int] = [NONE]
+        self.depth: list[int] = [0]
+        self.size = {v: len(k) for k, v in ranks.items()}
         for tok, rank in ranks.items():
             node = ROOT
             for b in tok:
-                row = self.kids[node]
+                row, node_before = self.kids[node], node
                 if row is leaf:
                     row = self.kids[node] = {}
                 node = row.get(b, ROOT)
                 if node == ROOT:
                     node = row[b] = len(self.token_at)
                     self.token_at.append(NONE)
+                    self.depth.append(self.depth[node_before] + 1)
                     self.kids.append(leaf)
             self.token_at[node] = rank
         self.valid: dict[int, bool] = {}
@@ -72,18 +78,18 @@ class Transducer:
         self._reset()
 
     def _reset(self) -> None:
-        """Forget all states but the start.  A state is (paths, row); the row maps a byte
-        to (next state, tokens emitted).  States point at each other, so rows are emptied."""
-        for _, row in getattr(self, "known", {}).values():
+        """Forget all states but the start.  A state is a row: byte -> next row, ``END`` -> the token that ends
+        here (NONE: no token can), ``PATHS`` -> its paths.  Rows point at each other, so they are emptied."""
+        for row in getattr(self, "known", {}).values():
             row.clear()
-        self.known: dict[tuple, tuple] = {}
-        self.start = self._state(((NONE, (), ROOT),))
+        self.known: dict[tuple, dict] = {}
+        self.start = self._state((ROOT,), NONE)
 
-    def _state(self, paths: tuple) -> tuple:
-        state = self.known.get(paths)
-        if state is None:
-            state = self.known[paths] = (paths, {})
-        return state
+    def _state(self, paths: tuple, end: int) -> dict:
+        row = self.known.get(paths)
+        if row is None:
+            row = self.known[paths] = {END: end, PATHS: paths}
+        return row
 
     def merge(self, data: bytes) -> tuple[int, ...]:
         """The defining procedure: merge the lowest-ranked neighbours, leftmost first."""
@@ -161,53 +167,73 @@ class Transducer:
                     j += 1
         return self.merge(self.bytes_of[last] + self.bytes_of[tok]) == (last, tok)
 
-    def _step(self, state: tuple, byte: int) -> tuple:
-        paths, full, kids, token_at, valid = [], True, self.kids, self.token_at, self.valid
-        for last, pending, node in state[0]:
-            nxt = kids[node].get(byte)
+    def _step(self, row: dict, byte: int) -> dict:
+        """The state after one more byte.  A path is (token it comes after) + 1 << 24 | trie node.  A prefix has
+        one encoding, so at most one path ends a token here, and its token says how the prefix ends."""
+        paths, end, kids, token_at, valid = [], NONE, self.kids, self.token_at, self.valid
+        for path in row[PATHS]:
+            nxt = kids[path & NODE].get(byte)
             if nxt is None:
                 continue
-            paths.append((last, pending, nxt))
-            tok = token_at[nxt]
-            if tok >= 0:
-                ok = valid.get((last + 1) << 24 | tok)
-                if self._follows(last, tok) if ok is None else ok:
-                    paths.append((tok, (*pending, tok), ROOT))
-            if not pending:
-                full = False
-        out = ()
-        if full or len(paths) == 1:  # tokens on which all live paths agree can leave
-            first, agreed = paths[0][1], 0
-            while all(len(p[1]) > agreed and p[1][agreed] == first[agreed] for p in paths):
-                agreed += 1
-            if agreed:
-                out = first[:agreed]
-                paths = [(last, pending[agreed:], node) for last, pending, node in paths]
-        step = state[1][byte] = (self._state(tuple(paths)), out)
+            after = path >> 24 << 24
+            if kids[nxt]:
+                paths.append(after | nxt)
+            if end == NONE:
+                tok = token_at[nxt]
+                if tok >= 0:
+                    ok = valid.get(after | tok)
+                    if self._follows((path >> 24) - 1, tok) if ok is None else ok:
+                        end = tok
+        if end != NONE:
+            paths.append(end + 1 << 24)
+        step = row[byte] = self._state(tuple(paths), end)
         return step
 
-    def encode(self, data: bytes) -> tuple[int, ...]:
-        """Token ids of one piece; a piece that is a token itself is that token."""
+    def _trace(self, ends: list[int], at: int) -> list[int]:
+        """Tokens of the prefix of ``at`` bytes: the last one is known at its end, the others before it in turn."""
+        out, size = [], self.size
+        while at:
+            tok = ends[at - 1]
+            out.append(tok)
+            at -= size[tok]
+        out.reverse()
+        return out
+
+    def _agreed(self, ends: list[int], row: dict, at: int) -> int:
+        """The last place through which every live path of the state goes."""
+        live = sorted({at - self.depth[path & NODE] for path in row[PATHS]})
+        while len(live) > 1:
+            top = live.pop()
+            before = top - self.size[ends[top - 1]]
+            if before not in live:
+                live.append(before)
+                live.sort()
+        return live[0]
+
+    def encode(self, data: bytes, lookahead: int = 4096) -> tuple[int, ...]:
+        """Token ids of one piece; a piece that is a token itself is that token.
+
+        After each ``lookahead`` bytes the tokens that all live paths share leave, so what is held of a
+        long piece is bounded."""
         whole = self.ranks.get(data)
         if whole is not None:
             return (whole,)
         if len(self.known) > self.max_states:
             self._reset()
-        state, out = self.start, []
+        row, ends, out = self.start, [], []
         for b in data:
-            step = state[1].get(b)
-            if step is None:
+            step = row.get(b)
+            row = self._step(row, b) if step is None else step
+            ends.append(row[END])
+            if len(ends) >= lookahead:
+                at = self._agreed(ends, row, len(ends))
+                out += self._trace(ends, at)
+                del ends[:at]
                 if len(self.known) > 2 * self.max_states:  # one very long piece: keep only where we are
+                    paths, end = row[PATHS], row[END]
                     self._reset()
-                    state = self._state(state[0])
-                step = self._step(state, b)
-            state, emitted = step
-            if emitted:
-                out += emitted
-        for _, pending, node in state[0]:
-            if node == ROOT:
-                out += pending
-        return tuple(out)
+                    row = self._state(paths, end)
+        return tuple(out + self._trace(ends, len(ends)))
 
 
 class Utf8Machine:
