@@ -14,7 +14,8 @@ Results, one row per message and per call: conv_id, kind, turn, idx, level, call
            ``orphan`` (no such call) or ``extra`` (the call was answered before, by (turn, text))
   call     status ``linked``, ``unanswered``, ``duplicate`` (its id was used before in the conversation; it
            takes no result) or ``cycle`` (placed nowhere: level null, as is all that waits for it)
-A predecessor that does not exist is an error of the call, not a wait.  Null conversation ids are one
+Arguments that are no JSON (NaN, Infinity and numbers beyond a double included) are an error and stay text;
+lone surrogates stay escaped.  A predecessor that does not exist is an error of the call, not a wait.  Null conversation ids are one
 conversation, null turns sort first, null roles and texts stay null in the JSON, a null call id never links.
 Repeated rows: equal messages give equal lines; a repeated call is a duplicate.  Empty tables give empty
 results; other columns are ignored.
@@ -23,19 +24,44 @@ results; other columns are ignored.
 from __future__ import annotations
 
 import json
+import math
+import re
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import spread_copies, stored
 
 _TYPES = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "object": dict, "array": list, "null": type(None)}
 
 
+_LONE = re.compile("[\ud800-\udfff]")
+
+
+def escaped(text: str) -> str:
+    """Lone surrogates, which no UTF-8 text can hold, written as JSON escapes."""
+    return _LONE.sub(lambda m: f"\\u{ord(m[0]):04x}", text)
+
+
 def canonical(value) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    """Sorted keys, no spaces, plain UTF-8; NaN and infinities are no JSON and raise ValueError."""
+    return escaped(json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False))
+
+
+def _no_json(text: str):
+    raise ValueError(f"not JSON: {text}")
+
+
+def _number(text: str) -> float:
+    value = float(text)
+    return value if math.isfinite(value) else _no_json(text)
+
+
+def parsed(text: str):
+    """Value of a JSON text; NaN, Infinity and numbers beyond a double raise ValueError."""
+    return json.loads(text, parse_constant=_no_json, parse_float=_number)
 
 
 def violations(value, schema: dict, at: str = "$") -> list[str]:
@@ -78,9 +104,9 @@ def violations(value, schema: dict, at: str = "$") -> list[str]:
 def check_call(name: str | None, arguments: str | None, schemas: dict[str, dict]) -> tuple[list[str], object]:
     """(errors, parsed arguments or None)."""
     try:
-        value = json.loads(arguments) if arguments is not None else {}
+        value = parsed(arguments) if arguments is not None else {}
         if isinstance(value, str):  # arguments given as JSON text
-            value = json.loads(value)
+            value = parsed(value)
     except (ValueError, RecursionError):
         return ["$: not JSON"], None
     if name not in schemas:
@@ -192,8 +218,8 @@ def format_chats(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     again = (calls.alias("c").join(owners.filter("uses > 1").alias("o"), _same("c", "o", "conv_id", "call_id"))
              .select("c.*", _same("c", "o", "turn", "idx", "name", "arguments").alias("own")))
     copies = (again.groupBy("conv_id", "turn", "idx", "call_id", "name", "arguments", "after", "own").agg(F.count(F.lit(1)).alias("n"))
-              .withColumn("n", F.col("n") - F.col("own").cast("long")).filter("n > 0")
-              .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))))
+              .withColumn("n", F.col("n") - F.col("own").cast("long")).filter("n > 0"))
+    copies = spread_copies(copies, "n", "copy")
     duplicate = copies.select("conv_id", "turn", "idx", "call_id", "name", "arguments", "after", F.lit(None).cast("int").alias("level"),
                               F.lit(None).cast("string").alias("result"), F.lit("duplicate").alias("status"))
     nameless = calls.filter(F.col("call_id").isNull()).select(
@@ -216,7 +242,7 @@ def format_chats(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
                 after = sorted(set(r.after)) if r.after is not None else []
                 body = {"after": after, "arguments": value if value is not None else r.arguments, "id": r.call_id, "name": r.name,
                         "result": r.result, "status": r.status, "type": "call", "valid": not wrong}
-                errors.append(wrong)
+                errors.append([escaped(w) for w in wrong])
                 out.append(canonical(body))
             f = f.assign(errors=errors, json=out, kind="call")
             yield f[["conv_id", "kind", "turn", "idx", "level", "call_id", "status", "errors", "json"]]

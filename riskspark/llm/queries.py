@@ -16,7 +16,7 @@ SHARD_BYTES = 1 << 20  # one shard is one read of a streaming loader
 TOOLS = {
     "search": {"type": "object", "required": ["query", "limit"], "additionalProperties": False,
                "properties": {"query": {"type": "string", "minLength": 1}, "limit": {"type": "integer", "minimum": 1, "maximum": 50}}},
-    "lookup": {"type": "object", "required": ["key"], "properties": {"key": {"type": "string", "maxLength": 24},
+    "lookup": {"type": "object", "required": ["key"], "properties": {"key": {"type": "string", "maxLength": 400},
                                                                    "scope": {"type": "string", "enum": ["page", "site"]}}},
     "measure": {"type": "object", "required": ["values"], "properties": {"values": {"type": "array", "items": {"type": "integer"}}}},
 }
@@ -69,22 +69,31 @@ def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chat_messages(conversations: DataFrame) -> DataFrame:
     """Stand-in tool traffic in the operator's input schema: each assistant turn carries one call made of
-    its own text, each later user turn is a tool message naming the turn before."""
-    words = F.split(F.coalesce("text", F.lit("")), " ")
-    n = F.length(F.coalesce("text", F.lit("")))
+    its own whole text, each later user turn is a tool message naming the turn before.  A call waits for the
+    one two turns back; some wait for two calls, name a call that is not there, use an identifier again, or
+    wait in a circle."""
+    text = F.coalesce("text", F.lit(""))
+    words = F.split(text, " ")
+    n = F.length(text)
+    turn, odd = F.col("turn"), F.col("conv_id") + F.col("turn")
     name = F.element_at(F.array(*[F.lit(k) for k in TOOLS]), (n % 3 + 1).cast("int"))
-    call = lambda turn: F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("-"), turn.cast("string"))
-    search = F.to_json(F.struct(words[0].alias("query"), (n % 60).alias("limit")))
-    lookup = F.to_json(F.struct(F.substring("text", 1, 28).alias("key"), F.when(n % 2 == 0, "page").otherwise("book").alias("scope")))
-    measure = F.to_json(F.struct(F.transform(F.slice(words, 1, 4), lambda w: F.length(w)).alias("values")))
-    arguments = F.when(n % 3 == 0, search).when(n % 3 == 1, lookup).otherwise(F.substring(measure, 1, 40))
-    calls = F.to_json(F.array(F.struct(call(F.col("turn")).alias("id"), name.alias("name"), arguments.alias("arguments"),
-                                       F.when(F.col("turn") >= 3, F.array(call(F.col("turn") - 2))).alias("after"))))
-    is_answer = (F.col("role") == "user") & (F.col("turn") > 0)
+    call = lambda t: F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("-"), t.cast("string"))
+    search = F.to_json(F.struct(text.alias("query"), (n % 60).alias("limit")))
+    lookup = F.to_json(F.struct(text.alias("key"), F.when(n % 2 == 0, "page").otherwise("book").alias("scope")))
+    measure = F.to_json(F.struct(F.transform(words, lambda w: F.length(w)).alias("values")))
+    arguments = F.when(n % 3 == 0, search).when(n % 3 == 1, lookup).otherwise(
+        F.when(n % 5 == 0, F.concat(measure, F.lit("]"))).otherwise(measure))
+    after = (F.when((odd % 13 == 4) & (turn < 3), F.array(call(turn + 2)))  # that call waits for this one
+             .when(odd % 17 == 3, F.array(call(turn - 2), call(F.lit(-1))))
+             .when((turn % 64 == 5), F.array(call(turn - 2), call(turn - 4)))
+             .when(turn >= 3, F.array(call(turn - 2))))
+    own = F.when((odd % 19 == 6) & (turn >= 3), call(turn - 2)).otherwise(call(turn))
+    calls = F.to_json(F.array(F.struct(own.alias("id"), name.alias("name"), arguments.alias("arguments"), after.alias("after"))))
+    is_answer = (F.col("role") == "user") & (turn > 0)
     return conversations.select(
         "conv_id", "turn", F.when(is_answer, "tool").otherwise(F.col("role")).alias("role"), "text",
         F.when(F.col("role") == "assistant", calls).alias("tool_calls"),
-        F.when(is_answer, call(F.col("turn") - 1)).alias("tool_call_id"))
+        F.when(is_answer, call(turn - 1)).alias("tool_call_id"))
 
 
 def op10_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:

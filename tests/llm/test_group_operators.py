@@ -375,6 +375,42 @@ def test_chats_edges(spark):
     assert chat.format_chats(messages.limit(0), queries.TOOLS).count() == 0
 
 
+def test_chat_arguments_that_utf8_or_json_cannot_hold(spark):
+    """Lone surrogates stay escaped; NaN, Infinity and numbers beyond a double are no JSON."""
+    texts = {"a": '{"key":"\\ud800"}', "b": '{"key":NaN}', "c": '{"key":-Infinity}', "d": '{"key":1e999}', "e": '{"\\udfff":1,"limit":1,"query":"q"}',
+             "f": '{"key":"\\ud83d\\ude42"}', "g": "1e999", "h": '"{\\"key\\":\\"in text\\"}"', "i": None}
+    calls = json.dumps([{"id": k, "name": "search" if k == "e" else "lookup", "arguments": v} for k, v in texts.items()])
+    messages = spark.createDataFrame([(1, 0, "assistant", "t", calls, None)], CHAT.rsplit(",", 1)[0])
+    got = {r.call_id: r for r in chat.format_chats(messages, queries.TOOLS).collect() if r.kind == "call"}
+    for k, r in got.items():
+        value = json.loads(r.json, parse_constant=pytest.fail)
+        assert r.json.isprintable() and value["id"] == k
+    no = {k for k, r in got.items() if list(r.errors) == ["$: not JSON"]}
+    assert no == {"b", "c", "d", "g"} and all(json.loads(got[k].json)["arguments"] == texts[k] for k in no)
+    assert list(got["a"].errors) == [] and '"key":"\\ud800"' in got["a"].json
+    assert list(got["e"].errors) == ["$.\\udfff: unknown"] and "🙂" in got["f"].json and list(got["h"].errors) == []
+
+
+def test_copies_are_spread(spark):
+    from riskspark.llm.common import spread_copies
+    counts = {"a": 1, "b": 4, "c": 5, "d": 16, "e": 17, "f": 1000}
+    got = spread_copies(spark.createDataFrame(list(counts.items()), "k string, n long"), "n", "copy", page=4).collect()
+    assert sorted((r.k, r.copy) for r in got) == [(k, i) for k, n in counts.items() for i in range(n)]
+
+
+def test_rows_are_split_by_keys(spark, monkeypatch):
+    """By broadcast and by the filter of bounded size, also when that is far too small."""
+    from riskspark.llm import common
+    docs = spark.range(3000).withColumn("text", F.concat(F.lit("t"), "id"))
+    docs = docs.select("*", *[k.alias(n) for k, n in zip(common.row_keys(F.col("id"), F.col("text")), "ab")])
+    listed = docs.filter("id % 3 = 0").select("a", "b")
+    for few, most in ((1 << 18, 1 << 27), (10, 1 << 27), (10, 1 << 10)):
+        monkeypatch.setattr(common, "FEW_KEYS", few)
+        others, members = common.split_by_keys(docs, ["a", "b"], listed, most)
+        assert sorted(r.id for r in others.collect()) == [i for i in range(3000) if i % 3]
+        assert sorted(r.id for r in members.collect()) == [i for i in range(3000) if not i % 3]
+
+
 def brute_levels(after):
     """Rounds that place every call whose predecessors are placed."""
     level, left = {}, dict(after)
