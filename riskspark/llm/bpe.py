@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .bulk import BulkTransducer
 from .common import col, slices
 
 ROOT = 0
@@ -143,9 +144,12 @@ class Transducer:
         if ok is None:
             if len(self.valid) >= 4 * self.max_states:
                 self.valid.clear()
-            ok = self.valid[key] = self._spines(tok) is not None and (last == NONE or self._meets(last, tok))
+            ok = self.valid[key] = self.may_follow(last, tok)
         return ok
 
+    def may_follow(self, last: int, tok: int) -> bool:
+        return self._spines(tok) is not None and (last == NONE or self._meets(last, tok))
+
     def _meets(self, last: int, tok: int) -> bool:
         a, b, ranks = self._spines(last), self._spines(tok), self.ranks
         if a[2] and b[2]:
@@ -290,28 +294,19 @@ def splitter(pattern: str) -> Callable[[str], list[str]]:
     return lambda text: general(text) if odd(text) else fast(text)
 
 
-class _Memo(dict):
-    """Piece -> token ids, computed on first use; emptied when full."""
-
-    def __init__(self, machine: Transducer, most: int = 200_000):
-        self.machine, self.most = machine, most
-
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        ids = self.machine.encode(piece.encode())
-        if len(piece) <= 64:
-            if len(self) >= self.most:
-                self.clear()
-            self[piece] = ids
-        return ids
+class Codec:
+    """Encoder and streaming decoder of one rank file and split pattern.
 
+    The memo holds up to ``most`` pieces besides those of the texts at hand; pieces of up to ``short`` bytes
+    are encoded in lockstep."""
 
-class Codec:
-    """Encoder and streaming decoder of one rank file and split pattern."""
+    most, short = 250_000, 64
 
     def __init__(self, path: str, pattern: str):
         self.machine = Transducer(load_ranks(path))
+        self.bulk = BulkTransducer(self.machine)
         self.split = splitter(pattern)
-        self.memo = _Memo(self.machine)
+        self.memo: dict[str, list[int] | tuple[int, ...]] = {}
         size = max(self.machine.bytes_of, default=-1) + 1
         self.vocab = [self.machine.bytes_of.get(i, b"") for i in range(size)]
         self.names = [str(i) for i in range(size)]
@@ -319,11 +314,41 @@ class Codec:
     def forget(self) -> None:
         """Drop all that was learned from texts."""
         self.memo.clear()
+        self.bulk.forget()
         self.machine.valid.clear()
         self.machine._reset()
 
+    def _learn(self, pieces: set[str]) -> None:
+        """Token ids of new pieces into the memo: whole tokens by rank, long pieces one by one, the others in lockstep."""
+        if len(self.memo) + len(pieces) > self.most:
+            self.memo.clear()
+        ranks, names, texts = self.machine.ranks, [], []
+        for piece in pieces:
+            data = piece.encode()
+            whole = ranks.get(data)
+            if whole is not None:
+                self.memo[piece] = (whole,)
+            elif len(data) <= self.short:
+                names.append(piece)
+                texts.append(data)
+            else:
+                self.memo[piece] = self.machine.encode(data)
+        self.memo.update(zip(names, self.bulk.encode(texts)))
+
+    def encode_all(self, texts: list[str]) -> Iterator[list[int]]:
+        """Token ids of each text."""
+        split = [self.split(t) for t in texts]
+        every = set().union(*split)
+        if not every <= self.memo.keys():
+            self._learn(every - self.memo.keys())
+            if not every <= self.memo.keys():  # the memo was emptied
+                self._learn(every - self.memo.keys())
+        look = self.memo.__getitem__
+        for pieces in split:
+            yield list(chain.from_iterable(map(look, pieces)))
+
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(map(self.memo.__getitem__, self.split(text))))
+        return next(self.encode_all([text]))
 
     def decode(self, ids: list[int], chunk: int = 4096) -> Iterator[tuple[bytes, str]]:
         """Bytes and finished characters, a bounded number of ids at a time."""
@@ -352,9 +377,8 @@ def default_tokenizer() -> tuple[str, str]:
 
 def _rows(c: Codec, part: pa.RecordBatch, with_ids: bool) -> pa.RecordBatch:
     cols: list[list] = [[], [], [], [], []]
-    for text in part.column(1).to_pylist():
-        text = text or ""
-        ids = c.encode(text)
+    texts = [text or "" for text in part.column(1).to_pylist()]
+    for text, ids in zip(texts, c.encode_all(texts)):
         plain, chars = hashlib.sha256(), []
         for data, done in c.decode(ids):
             plain.update(data)
