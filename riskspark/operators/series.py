@@ -1,4 +1,4 @@
-"""Series operators over metric points.
+"""Series operators over metric points (W1-W8; smoothing, W3, is in ``smoothing``).
 
 A series is identified by ``keys``; points are ordered by a time column and
 a tie column.  Deltas use the bucketed ``previous_row`` and running values
@@ -10,11 +10,8 @@ from __future__ import annotations
 
 from typing import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .windows import null_safe_join, previous_row
 
@@ -112,41 +109,3 @@ def combine_sources(a: DataFrame, b: DataFrame, on: Sequence[str], value: str =
     j = a2.join(b2, list(on), "full_outer")
     return j.select(*on, "a_value", "b_value", F.greatest("a_value", "b_value").alias("combined"),
                     F.coalesce("a_value", "b_value").alias("first_non_null"))
-
-
-# ------------------------------------------------------------------ EMA
-def _ema_fold(x: np.ndarray, alpha: float, reset: float) -> np.ndarray:
-    out = np.empty(len(x), dtype="float64")
-    old = 0.0
-    keep = 1.0 - alpha
-    for i, v in enumerate(x.tolist()):
-        if v != v:  # NaN / missing: state unchanged
-            out[i] = old
-            continue
-        old = v if abs(v - old) > reset else old * keep + v * alpha
-        out[i] = old
-    return out
-
-
-def ema(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str,
-        alpha: float = 0.3, reset: float = 50_000.0) -> DataFrame:
-    """Exponential smoothing with reset, per series, starting from 0.
-
-    new = old*(1-alpha) + x*alpha, but new = x when |x - old| > reset.
-    The rule is order-dependent and not associative, so each series is one
-    ordered fold: ``applyInPandas`` per series key, rows sorted inside the
-    group (Arrow batches in, one pass, one float per row out).  Streams use
-    ``streaming.stateful_ema`` instead, which keeps one float of state per
-    series and never holds a series in memory.
-    """
-    keys, order = list(keys), list(order)
-    cols = [*keys, *order, value]
-    src = df.select(*cols)
-    schema = T.StructType([*[src.schema[c] for c in cols], T.StructField("ema", T.DoubleType())])
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="mergesort")
-        pdf["ema"] = _ema_fold(pdf[value].astype("float64").to_numpy(), alpha, reset)
-        return pdf
-
-    return src.groupBy(*keys).applyInPandas(fold, schema)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import series as sr
+from ..operators import smoothing
 from ..operators.samples import label
 from ..sources import fixtures as fx
 from .catalog import register
@@ -63,7 +64,7 @@ e(metric, rn, ts, event_id, x, ema) as (
 select metric, ts, event_id, x, ema from e""")
 def ema(spark, sf):
     g = fx.gauge_samples(spark, sf).select("metric", "ts", "event_id", (F.col("value") * 20).alias("x"))
-    return sr.ema(g, ["metric"], ["ts", "event_id"], "x", alpha=0.3, reset=50_000.0)
+    return smoothing.ema(g, ["metric"], ["ts", "event_id"], "x", alpha=0.3, reset=50_000.0)
 
 
 @register("last_n_points", f"""
