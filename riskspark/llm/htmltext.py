@@ -8,7 +8,8 @@ shares it: two pages may tell the same story.  What the markup names as page fur
 ``footer``, ``aside``, forms, classes such as ``ad`` or ``cookie``) goes although no neighbour
 shares it.  If a page names an article, its text is the article; otherwise all lines that remain.
 
-Scale: pages travel as line hashes, never as texts.  Pages of one host with the same lines are one
+Scale: pages are paired and aligned as line hashes, never as texts, and only pages that lose lines are listed; with
+few of them (Spark measures it) the list is broadcast and no text moves, otherwise texts move once.  Pages of one host with the same lines are one
 page in the order, so copies are neither neighbours of each other nor aligned twice.  The order is
 range-partitioned, so a host with a third of all pages is spread over tasks; only the first page of
 each part looks up its neighbour in the part before.  The alignment is bit-parallel and divides its
@@ -221,20 +222,22 @@ def common_lines(a: list, b: list, cells: int = 1 << 26) -> list[tuple[int, int]
 
 # ---------------------------------------------------------------- Spark jobs
 
-PAGE = "host string, path string, page_key string, marks array<bigint>"
+PAGE = "host string, path string, page_key string, marks array<bigint>, loose array<int>"
 
 
 def _read_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(url, html) -> host, path, key of the page's lines within the host, line hashes."""
+    """(url, html) -> host, path, key of the page's lines within the host, line hashes, numbers of the lines that a
+    neighbour may take away."""
     for batch in slices(batches, 1):
         out = []
         for url, markup in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             host, path = url_parts(url)
             lines, kinds = page_lines(markup or "")
-            out.append((host, path, _page_key(host, lines, kinds), _line_marks(lines)))
+            loose = [] if MAIN in kinds else [i for i, k in enumerate(kinds) if k == OTHER]
+            out.append((host, path, _page_key(host, lines, kinds), _line_marks(lines), loose))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.string(), pa.string(), pa.list_(pa.int64())))],
-            names=["host", "path", "page_key", "marks"])
+            [pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32())))],
+            names=["host", "path", "page_key", "marks", "loose"])
 
 
 def _page_key(host: str, lines: list[str], kinds: list[int]) -> str:
@@ -247,25 +250,28 @@ def _page_key(host: str, lines: list[str], kinds: list[int]) -> str:
 
 
 def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows with their neighbour -> the line numbers each of the two shares with the other."""
+    """Rows with their neighbour -> the line numbers each of the two loses, where it loses any."""
     for batch in batches:
         keys, places = [], []
-        for key, marks, other, theirs in zip(*(batch.column(i).to_pylist() for i in range(4))):
+        for key, marks, loose, other, theirs, their_loose in zip(*(batch.column(i).to_pylist() for i in range(6))):
             pairs = common_lines(marks, theirs)
-            if pairs:
-                keys += [key, other]
-                places += [[i for i, _ in pairs], [j for _, j in pairs]]
+            for page, may, shared in ((key, loose, {i for i, _ in pairs}), (other, their_loose, {j for _, j in pairs})):
+                gone = [i for i in may if i in shared]
+                if gone:
+                    keys.append(page)
+                    places.append(gone)
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(places, pa.list_(pa.int32()))], names=["page_key", "shared"])
 
 
 def shared_lines(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(page_key, shared): per distinct page of a host the numbers of its lines that a neighbour in URL order shares."""
+    """(page_key, shared): per distinct page of a host the numbers of the lines it loses because a neighbour in URL
+    order shares them; pages that lose none are not listed."""
     read = pages.select(col(url_col).cast("string").alias("url"), col(html_col).cast("string").alias("html")).mapInArrow(_read_pages, PAGE)
-    distinct = read.groupBy("host", "page_key").agg(F.min("path").alias("path"), F.first("marks").alias("marks"))
+    distinct = read.groupBy("host", "page_key").agg(F.min("path").alias("path"), F.first("marks").alias("marks"), F.first("loose").alias("loose"))
     # a written part of the order is one bucket: its number is fixed, whatever is computed again later
     order = stored(distinct.repartitionByRange("host", "path", "page_key").withColumn("part", F.spark_partition_id()), "url-order")
-    near = previous_row(order, ["host"], ["path", "page_key"], ["page_key", "marks"], F.col("part"))
-    aligned = (near.where(F.col("prev_page_key").isNotNull()).select("page_key", "marks", "prev_page_key", "prev_marks")
+    near = previous_row(order, ["host"], ["path", "page_key"], ["page_key", "marks", "loose"], F.col("part"))
+    aligned = (near.where(F.col("prev_page_key").isNotNull()).select("page_key", "marks", "loose", "prev_page_key", "prev_marks", "prev_loose")
                .mapInArrow(_align, "page_key string, shared array<int>"))
     # at most two rows a page: the neighbour before it and the one after it
     return aligned.groupBy("page_key").agg(F.array_distinct(F.flatten(F.collect_list("shared"))).alias("shared"))
@@ -273,7 +279,7 @@ def shared_lines(pages: DataFrame, url_col: str = "url", html_col: str = "html")
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars, n_lines, n_shared) per row: the main text of every page, its code
-    points, the lines of the page and how many of them a neighbour shares."""
+    points, the lines of the page and how many of them went because a neighbour shares them."""
     template = stored(shared_lines(pages, url_col, html_col), "shared-lines")
     id_type = pages.schema[id_col].dataType.simpleString()
 
