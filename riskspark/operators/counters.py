@@ -2,7 +2,7 @@
 
 Counters and gauges are rows ``(batch_id, name, kind, value, ts)``.  A batch
 writes its rows once, keyed by ``batch_id``; replaying a batch rewrites the
-same rows (see ``sinks.write_metrics``), so nothing is counted twice.  The
+same rows (see ``metric_store.write_metrics``), so nothing is counted twice.  The
 current value of a name is a fold: counters add up, gauges take the newest
 value.  Values are DECIMAL so that folds do not depend on row order.
 """
@@ -76,7 +76,7 @@ def batch_counters(scored: DataFrame, batch: str = "batch_id", ts: str = "batch_
 def metric_increment(df: DataFrame, batch_id: int, name: str, value: Column | None = None,
                      ts: Column | None = None) -> DataFrame:
     """One counter row for a batch: ``value`` aggregated over ``df``
-    (default: its row count).  Written with ``sinks.write_metrics``, a replay
+    (default: its row count).  Written with ``metric_store.write_metrics``, a replay
     of the same batch id replaces the row instead of adding it again."""
     v = value if value is not None else F.count(F.lit(1))
     return df.agg(v.cast(VALUE).alias("value")).select(
@@ -96,9 +96,10 @@ def metric_fold(metrics: DataFrame, prefix: str = "") -> DataFrame:
     (by ts, then batch_id).  ``prefix`` keeps names that start with it."""
     m = metrics.where(F.col("name").startswith(prefix)) if prefix else metrics
     order = F.struct("ts", "batch_id")
+    n = F.sum("n") if "n" in metrics.columns else F.count(F.lit(1))  # a compacted row stands for several
     return m.groupBy("name", "kind").agg(
         F.when(F.col("kind") == "counter", F.sum("value")).otherwise(F.max_by("value", order)).alias("value"),
-        F.count(F.lit(1)).cast("bigint").alias("n_batches"))
+        n.cast("bigint").alias("n_batches"))
 
 
 def category_avg_score(folded: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ..functions.features import FRAUD_THRESHOLD, MODEL_FEATURES, model_columns
 from ..session import ensure_checkpoint_dir
-from ..sources.sinks import write_metrics
+from ..sources.metric_store import write_metrics
 from .counters import VALUE
 from .selection import at_cut, kth_cut, upto_cut
 

@@ -15,24 +15,27 @@ from ..operators import counters as ct
 from ..operators import ml
 from ..session import checkpoint_path
 from ..sources import fixtures as fx
+from ..sources import folders, metric_store
 from ..streaming import streams as st
+from ..streaming.files import audited_stream, stream_in_name_order
+from ..streaming.velocity import velocity_stream
 from .catalog import REGISTRY, register, with_tx
 from .q_features import R9
 from .q_sources import METRIC_ROWS
 
 FILES = 4
+MANY = 1_000_000  # files per trigger: all of a delivery
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
     return checkpoint_path(spark, "streams", f"{name}-{uuid.uuid4().hex}")
 
 
-def _stage(df: DataFrame, path: str, order: list[str], files: int = FILES) -> None:
-    """Deliver the input as ``files`` parquet files, one range of the first
-    ``order`` column per file, written one after another so that the file
-    source (oldest file first) replays them in time order."""
-    first = order[0]
-    num = F.unix_micros(F.col(first)) if dict(df.dtypes)[first].startswith("timestamp") else F.col(first)
+def _replay(df: DataFrame, path: str, order: str, start, files: int = FILES) -> None:
+    """Deliver the input as ``files`` ranges of the ``order`` column, one after another, and run the stream to its
+    end after each, as a job that is started again whenever data came: ranges arrive in time order, rows of a
+    range in any order and number of files."""
+    num = F.unix_micros(F.col(order)) if dict(df.dtypes)[order].startswith("timestamp") else F.col(order)
     d = df.withColumn("_stage_k", num)
     cuts = d.approxQuantile("_stage_k", [i / files for i in range(1, files)], 0.001)
     bounds = [None, *sorted(set(cuts)), None]
@@ -40,10 +43,11 @@ def _stage(df: DataFrame, path: str, order: list[str], files: int = FILES) -> No
         part = d
         if lo is not None:
             part = part.where(F.col("_stage_k") >= lo)
-        if hi is not None:  # rows without a time come with the first file
+        if hi is not None:  # rows without a time come with the first range
             early = F.col("_stage_k") < hi
             part = part.where(early | F.col("_stage_k").isNull() if lo is None else early)
-        part.drop("_stage_k").coalesce(1).sortWithinPartitions(*order).write.mode("append").parquet(path)
+        part.drop("_stage_k").write.mode("append").parquet(path)
+        st.run_to_end(start)
 
 
 def _deliver(df: DataFrame, path: str, files: int = FILES) -> None:
@@ -101,13 +105,12 @@ def _scoring_run(spark, sf) -> str:
     return base
 
 
-@register("stream_scores", with_tx("select trans_key, unix_time, cast(1 as int) as model_version, true as score_fits from tx"))
+@register("stream_scores", None)
 def stream_scores(spark, sf):
-    """Feature stream scored by the newest registered model.  SQL can tell which rows are
-    scored and by which version; the score itself is held to its range and to its serving flag."""
-    base = _scoring_run(spark, sf)
-    fits = F.col("fraud_score").between(0, 1) & (F.col("fraud_prediction") == (F.col("fraud_score") >= 0.52).cast("int"))
-    return spark.read.parquet(f"{base}/results").select("trans_key", "unix_time", "model_version", fits.alias("score_fits"))
+    """Feature stream scored by the newest registered model (held against the batch scores of that model
+    in ``tests/test_ml.py``)."""
+    return spark.read.parquet(f"{_scoring_run(spark, sf)}/results").select(
+        "trans_key", "unix_time", "fraud_score", "fraud_prediction", "model_version", F.col("batch_id").cast("bigint").alias("batch_id"))
 
 
 @register("stream_counters", with_tx(METRIC_ROWS + """
@@ -125,7 +128,7 @@ def stream_counters(spark, sf):
     def process(batch: DataFrame, batch_id: int) -> None:
         rows = ct.batch_counters(batch.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
                                  .withColumn("batch_ts", F.timestamp_seconds(F.lit(batch_id))))
-        from ..sources.sinks import write_metrics
+        from ..sources.metric_store import write_metrics
         write_metrics(rows, f"{base}/metrics")
 
     def start():
@@ -141,22 +144,112 @@ def stream_counters(spark, sf):
 
 @register("stream_ema", REGISTRY["ema"][1])
 def stream_ema(spark, sf):
-    """EMA with reset kept as per-series state across micro-batches; equals the batch fold."""
+    """EMA with reset carried from micro-batch to micro-batch; equals the batch fold."""
     base = _scratch(spark, "ema")
     g = fx.gauge_samples(spark, sf).select("metric", "ts", "event_id", (F.col("value") * 20).alias("x"))
-    _stage(g, f"{base}/src", ["ts", "event_id"])
-    schema = spark.read.parquet(f"{base}/src").schema
 
     def start():
-        s = st.stream_parquet(spark, f"{base}/src", schema, 1)
-        out = st.stateful_ema(s, ["metric"], ["ts", "event_id"], "x")
-        return out.writeStream.outputMode("update").foreachBatch(_foreach_append(f"{base}/out")) \
-                  .option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start()
+        s = st.stream_parquet(spark, f"{base}/src", g.schema, MANY)
+        return st.smooth_stream(s, ["metric"], ["ts", "event_id"], "x", f"{base}/out", f"{base}/state", f"{base}/ckpt", available_now=True)
 
-    st.run_to_end(start)
+    _replay(g, f"{base}/src", "ts", start)
     return spark.read.parquet(f"{base}/out").drop("batch_id")
 
 
+@register("stream_velocity", REGISTRY["card_velocity"][1])
+def stream_velocity(spark, sf):
+    """F17/W8 on a stream: trailing hour per card, rows arriving up to 50 minutes late; equals the batch figures."""
+    base = _scratch(spark, "velocity")
+    tx = fx.tx(spark, sf).select("trans_key", "cc_num", "unix_time", "amt")
+    late = F.pmod(F.xxhash64("trans_key"), F.lit(3000))
+    arriving = tx.withColumn("arrival", F.col("unix_time") + late)
+
+    def start():
+        s = st.stream_parquet(spark, f"{base}/src", arriving.schema, MANY).drop("arrival")
+        return st.sink_stage(velocity_stream(s, delay="1 hour"), f"{base}/out", f"{base}/ckpt", available_now=True)
+
+    _replay(arriving, f"{base}/src", "arrival", start)
+    # the stream ends here: one later row, of no card, moves the watermark past all others
+    end = arriving.agg(F.max("unix_time").alias("t")).select(
+        *[(F.col("t") + 86_400 if c in ("unix_time", "arrival") else F.lit(None)).cast(arriving.schema[c].dataType).alias(c) for c in arriving.columns])
+    end.write.mode("append").parquet(f"{base}/src")
+    st.run_to_end(start)
+    out = spark.read.parquet(f"{base}/out").where("trans_key is not null").drop("amt")
+    return out.withColumnsRenamed({"txn_count_3600s": "txn_count_1h", "amount_3600s": "amount_1h"})
+
+
+@register("stream_name_order", """
+select event_id, event_type, value, cast(floor((event_id % 7) / 2) as bigint) as batch_id from events""")
+def stream_name_order(spark, sf):
+    """Files written in reverse order of their names are taken in name order, two per micro-batch, the
+    stream being started anew for each."""
+    base = _scratch(spark, "names")
+    ev = spark.read.parquet(f"{sf}/events.parquet").select("event_id", "event_type", "value")
+    for name in reversed(range(7)):
+        one = f"{base}/one-{name}"
+        ev.where(F.col("event_id") % 7 == name).coalesce(1).write.parquet(one)  # a file is what is delivered here
+        folders.move_file(spark, one, ".parquet", f"{base}/src", f"batch-{name:04d}.parquet")
+
+    def start():
+        s = stream_in_name_order(spark, f"{base}/src", ev.schema, max_files=2)
+        return s.writeStream.foreachBatch(_foreach_append(f"{base}/out")).option("checkpointLocation", f"{base}/ckpt") \
+                .trigger(availableNow=True).start()
+
+    for _ in range(5):  # the last one finds nothing new
+        st.run_to_end(start)
+    return spark.read.parquet(f"{base}/out").select("event_id", "event_type", "value", F.col("batch_id").cast("bigint").alias("batch_id"))
+
+
+@register("stream_audited", """
+select l_orderkey, l_linenumber, l_quantity, 'row' as kind, cast(1 as bigint) as times from lineitem where l_linenumber <> 3
+union all select null, null, null, 'broken file', cast(1 as bigint)""")
+def stream_audited(spark, sf):
+    """S13 on a stream: one folder of files, those of line number 3 cut off in the middle; the rows of the sound
+    ones arrive, and the ledger lists each broken file once (here: one line for all, with the times it stands there)."""
+    base = _scratch(spark, "audited")
+    li = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_quantity")
+    schema = li.schema
+
+    def start():
+        return audited_stream(spark, f"{base}/src", schema, _foreach_append(f"{base}/out"), f"{base}/ledger", f"{base}/ckpt",
+                              max_files=3, available_now=True)
+
+    for n in range(1, 8):
+        one = f"{base}/one-{n}"
+        li.where(F.col("l_linenumber") == n).coalesce(1).write.parquet(one)  # a file is what is delivered here
+        folders.move_file(spark, one, ".parquet", f"{base}/src", f"file-{n}.parquet", keep=0.5 if n == 3 else 1.0)
+        if n in (2, 5, 7):
+            st.run_to_end(start)
+    rows = spark.read.parquet(f"{base}/out").select(*li.columns, F.lit("row").alias("kind"), F.lit(1).cast("bigint").alias("times"))
+    broken = spark.read.parquet(f"{base}/ledger").groupBy("path").agg(F.count(F.lit(1)).alias("times"))
+    return rows.unionByName(broken.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema], F.lit("broken file").alias("kind"), "times"))
+
+
+MONTH = 30 * 86400
+
+
+@register("metric_store_compacted", with_tx(METRIC_ROWS.replace("86400", str(MONTH)) + "\nselect name, kind, cast(value as double) as value, n_batches from folded"))
+def metric_store_compacted(spark, sf):
+    """The store written batch by batch, compacted on the way, with a closed and an open batch written
+    again; the fold over base and open batches is the fold over all batches."""
+    path = _scratch(spark, "store")
+    b = F.floor(F.col("unix_time") / MONTH)
+    tx = fx.tx(spark, sf).withColumn("batch_id", b).withColumn("batch_ts", F.timestamp_seconds((b + 1) * MONTH))
+    rows = ct.batch_counters(tx).persist()
+    try:
+        ids = [r[0] for r in rows.select("batch_id").distinct().orderBy("batch_id").collect()]  # the batches of the stand-in
+        third = max(1, len(ids) // 3)
+        for part in (ids[:third], ids[third:2 * third], ids[2 * third:]):
+            if not part:
+                continue
+            metric_store.write_metrics(rows.where(F.col("batch_id").isin(part)), path)
+            metric_store.compact_metrics(spark, path, part[len(part) // 2])
+        metric_store.write_metrics(rows.where(F.col("batch_id").isin([ids[0], ids[-1]])), path)
+    finally:
+        rows.unpersist()
+    return ct.metric_fold(metric_store.read_metrics(spark, path)).withColumn("value", F.col("value").cast("double"))
+
+
 @register("stream_dedupe", REGISTRY["dedupe_batches"][1])
 def stream_dedupe(spark, sf):
     """Republished rows dropped within a one-day watermark on their arrival, in any order of event times."""
@@ -179,17 +272,15 @@ def stream_tumbling(spark, sf):
     """Per-minute event counts with a watermark in update mode; the last
     update of every window equals the batch count."""
     base = _scratch(spark, "tumbling")
-    ev = spark.read.parquet(f"{sf}/events.parquet").withColumn("ts", fx.ntz_as_utc("ts"))
-    _stage(ev.select("event_id", "ts", "event_type", "value"), f"{base}/src", ["ts", "event_id"])
-    schema = spark.read.parquet(f"{base}/src").schema
+    ev = spark.read.parquet(f"{sf}/events.parquet").withColumn("ts", fx.ntz_as_utc("ts")).select("event_id", "ts", "event_type", "value")
 
     def start():
-        s = st.stream_parquet(spark, f"{base}/src", schema, 1)
+        s = st.stream_parquet(spark, f"{base}/src", ev.schema, MANY)
         t = st.tumbling_counts(s, "ts", "event_type", "value", "1 minute", "10 minutes")
         return t.writeStream.outputMode("update").foreachBatch(_foreach_append(f"{base}/out")) \
                 .option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start()
 
-    st.run_to_end(start)
+    _replay(ev, f"{base}/src", "ts", start)
     out = spark.read.parquet(f"{base}/out")
     last = out.groupBy("window_start", "window_end", "event_type").agg(
         F.max_by(F.struct("n", "total_value"), "batch_id").alias("l"))

@@ -129,8 +129,16 @@ def read_or_quarantine(spark: SparkSession, path: str, schema: T.StructType) ->
     first broken page, so a file is sound only if a scan of all the schema's columns gives as many rows as
     its footer counts; the others are reported and none of their rows is returned.  Each file that gave no
     row is reported, unreadable or not.  Files of no bytes hold nothing; Spark's scans pass over them."""
+    good, sound = sound_files(spark, [path], schema)
+    files = _files(spark, path).where(F.col("path").endswith(".parquet"))
+    return good, files.join(sound, files["_uri"] == sound["path"], "left_anti").drop("_uri")
+
+
+def sound_files(spark: SparkSession, paths: list[str], schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+    """(rows, path) of the parquet files in ``paths`` (folders or files) of which a scan of all the schema's
+    columns gives as many rows, one at least, as the footer counts."""
     rows = (spark.read.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet")
-            .option("ignoreCorruptFiles", "true").parquet(path))
+            .option("ignoreCorruptFiles", "true").parquet(*paths))
     uri = F.col("_metadata.file_path").alias("_uri")
     footer = rows.select(uri).groupBy("_uri").agg(F.count(F.lit(1)).alias("_footer"))
     nested = (T.ArrayType, T.MapType, T.StructType)
@@ -139,9 +147,7 @@ def read_or_quarantine(spark: SparkSession, path: str, schema: T.StructType) ->
     scan = rows.select(uri, F.xxhash64(*values).alias("_hash")).groupBy("_uri").agg(
         F.count(F.lit(1)).alias("_rows"), F.bit_xor("_hash").alias("_hash"))
     sound = footer.join(scan, "_uri").where(F.col("_hash").isNotNull() & (F.col("_rows") == F.col("_footer"))).select("_uri")
-    files = _files(spark, path).where(F.col("path").endswith(".parquet"))
-    good = rows.select("*", uri).join(sound, "_uri", "left_semi").drop("_uri")
-    return good, files.join(sound, "_uri", "left_anti").drop("_uri")
+    return rows.select("*", uri).join(sound, "_uri", "left_semi").drop("_uri"), sound.select(F.col("_uri").alias("path"))
 
 
 # ------------------------------------------------------------------ conform / quarantine

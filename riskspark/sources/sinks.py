@@ -1,5 +1,4 @@
-"""Sinks (S10, S11, S14, S19): snappy parquet, idempotent metric batches,
-dual writes and JSON snapshots."""
+"""Sinks (S10, S11, S19): snappy parquet, dual writes and JSON snapshots (metric batches: ``metric_store``)."""
 
 from __future__ import annotations
 
@@ -17,14 +16,6 @@ def write_parquet_snappy(df: DataFrame, path: str, mode: str = "append", partiti
     w.parquet(path)
 
 
-def write_metrics(metrics: DataFrame, path: str) -> None:
-    """Append metric rows partitioned by ``batch_id`` with dynamic
-    partition overwrite: a replayed batch replaces its own partition, so a
-    counter is never added twice."""
-    (metrics.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .option("compression", "snappy").partitionBy("batch_id").parquet(path))
-
-
 def dual_sink(df: DataFrame, path_a: str, path_b: str, batch_id: int | None = None) -> None:
     """Write one batch to two places (queue + archive).  The batch is
     persisted once so both writes see the same rows; with ``batch_id`` each

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from riskspark.operators import counters as ct
 from riskspark.session import checkpoint_path
 from riskspark.sources import fixtures as fx
-from riskspark.sources.sinks import write_metrics
+from riskspark.sources import folders
+from riskspark.sources.metric_store import write_metrics
 from riskspark.streaming import streams as st
+from riskspark.streaming.files import audited_stream, stream_in_name_order
 from riskspark.streaming.velocity import velocity_stream
 from support import SF_SMALL
 
@@ -98,3 +100,72 @@ def test_stream_velocity_with_late_rows_and_restart(spark):
     got = sorted((r for r in spark.read.parquet(out).collect() if r.trans_key >= 0), key=key)
     assert [r.asDict() for r in got] == [r.asDict() for r in sorted(batch.collect(), key=key)]
     assert "too late" not in {r.note for r in spark.read.parquet(out).collect()}
+
+
+def test_named_files_arrive_in_name_order_each_once(spark):
+    """Files written in reverse time order; new files and restarts between the micro-batches."""
+    base = checkpoint_path(spark, "test-names", uuid.uuid4().hex)
+    def write(i):
+        spark.range(i * 10, i * 10 + 10).coalesce(1).write.parquet(f"{base}/one-{i}")
+        folders.move_file(spark, f"{base}/one-{i}", ".parquet", f"{base}/src", f"f{i:03d}.parquet")
+    seen = {}
+    def start():
+        s = stream_in_name_order(spark, f"{base}/src", spark.range(1).schema, max_files=2)
+        return (s.writeStream.foreachBatch(lambda d, b: seen.setdefault(b, []).extend(r.id for r in d.collect()))
+                .option("checkpointLocation", f"{base}/ck").trigger(availableNow=True).start())
+    for new in ([5, 4, 3, 2, 1], [], [8, 7], [], []):
+        for i in new:
+            write(i)
+        st.run_to_end(start)
+    assert [sorted(v) for _, v in sorted(seen.items()) if v] == [
+        [*range(10, 30)], [*range(30, 50)], [*range(50, 60), *range(70, 80)], [*range(80, 90)]]
+
+
+def test_stream_over_sound_torn_and_half_damaged_files(spark):
+    """Good files arrive whole, the others stand in the ledger once, also after a restart."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    base = checkpoint_path(spark, "test-audit", uuid.uuid4().hex)
+    import os
+    os.makedirs(f"{base}/src")
+    for i in range(6):  # three row groups a file
+        pq.write_table(pa.table({"id": range(i * 3000, (i + 1) * 3000), "v": [float(x % 97) for x in range(3000)]}), f"{base}/src/{i}.parquet",
+                       row_group_size=1000, compression="none", use_dictionary=False)
+    with open(f"{base}/src/1.parquet", "r+b") as f:
+        f.truncate(20_000)                             # torn: no footer
+    with open(f"{base}/src/4.parquet", "r+b") as f:    # the second row group is damaged, the footer sound
+        at = pq.ParquetFile(f"{base}/src/4.parquet").metadata.row_group(1).column(0).data_page_offset
+        f.seek(at)
+        f.write(b"\xff" * 64)
+    open(f"{base}/src/5.parquet", "wb").write(b"no parquet at all")
+    schema = spark.read.parquet(f"{base}/src/0.parquet").schema
+
+    def append(d, b):
+        d.write.mode("overwrite").parquet(f"{base}/out/batch_id={b}")
+
+    for _ in range(2):
+        st.run_to_end(lambda: audited_stream(spark, f"{base}/src", schema, append, f"{base}/ledger", f"{base}/ck", max_files=2, available_now=True))
+    got = sorted(r.id for r in spark.read.parquet(f"{base}/out").collect())
+    assert got == [x for i in (0, 2, 3) for x in range(i * 3000, (i + 1) * 3000)]
+    assert sorted(r.path.rsplit("/", 1)[-1] for r in spark.read.parquet(f"{base}/ledger").collect()) == ["1.parquet", "4.parquet", "5.parquet"]
+
+
+def test_smoothing_stream_replays_a_batch(spark):
+    """State is taken from the batch before, so a batch that is run again gives the same rows; old states go."""
+    from riskspark.operators import smoothing
+    base = checkpoint_path(spark, "test-smooth", uuid.uuid4().hex)
+    rows = [(k, i, float((i * 7919 + len(k)) % 120_000)) for k in ("a", "bb") for i in range(90)] + [("old", 0, 5.0)]
+    df = spark.createDataFrame(rows, "k string, t long, x double")
+    def start():
+        s = st.stream_parquet(spark, f"{base}/src", df.schema, 100)
+        return st.smooth_stream(s, ["k"], ["t"], "x", f"{base}/out", f"{base}/state", f"{base}/ck", available_now=True)
+    for lo in range(0, 90, 30):
+        df.where(F.col("t").between(lo, lo + 29)).write.mode("append").parquet(f"{base}/src")
+        st.run_to_end(start)
+    want = {(r.k, r.t): r.ema for r in smoothing.ema(df, ["k"], ["t"], "x").collect()}
+    out = lambda: {(r.k, r.t): r.ema for r in spark.read.parquet(f"{base}/out").collect()}
+    assert out() == want and folders.numbers(spark, f"{base}/state", "batch_id") == [1, 2]
+    folders.remove(spark, f"{base}/ck/commits/2")  # as if the last batch had not been committed
+    st.run_to_end(start)
+    assert out() == want
+    assert {r.k for r in spark.read.parquet(f"{base}/state/batch_id=2").collect()} == {"a", "bb", "old"}
