@@ -171,9 +171,10 @@ def parse_usage(df: DataFrame, line: str = "line") -> DataFrame:
                     mem.try_cast("bigint").alias("mem_mib"))
 
 
-QUANTITY_RE = r"^(\d+)(Ki|Mi|Gi|Ti)?$"
-# Binary unit factors (bytes); bare numbers are Ki.
-UNIT_BYTES = {"Ki": 1024, "Mi": 1024 ** 2, "Gi": 1024 ** 3, "Ti": 1024 ** 4}
+QUANTITY_RE = r"(?i)^(\d+)([KMGT]i?)?$"
+# Unit factors in bytes; with "i" binary, without it decimal.
+UNIT_BYTES = {"k": 1000, "m": 1000 ** 2, "g": 1000 ** 3, "t": 1000 ** 4,
+              "ki": 1024, "mi": 1024 ** 2, "gi": 1024 ** 3, "ti": 1024 ** 4}
 
 
 def cpu_millicores(q: Column) -> Column:
@@ -184,17 +185,16 @@ def cpu_millicores(q: Column) -> Column:
              .when(whole != "", whole.try_cast("bigint") * 1000))
 
 
-def memory_bytes(q: Column) -> Column:
-    """T3: '<n>[Ki|Mi|Gi|Ti]' -> bytes; a bare number is Ki; anything else -> null."""
-    n = F.regexp_extract(q, QUANTITY_RE, 1)
-    unit = F.regexp_extract(q, QUANTITY_RE, 2)
-    factor = F.lit(1024)
-    for u, f in UNIT_BYTES.items():
-        factor = F.when(unit == u, F.lit(f)).otherwise(factor)
-    return F.when(n != "", n.try_cast("bigint") * factor)
+def memory_bytes(q: Column, bare: str = "Ki") -> Column:
+    """T3: '<n>[K|M|G|T][i]' in any case -> bytes; anything else, or what exceeds a long, -> null.
 
+    ``bare`` is the unit of a number without one: Ki in node listings, Gi in the scaler's limits."""
+    unit = F.lower(F.regexp_extract(q, QUANTITY_RE, 2))
+    table = F.create_map(*[F.lit(x) for u, f in (UNIT_BYTES | {"": UNIT_BYTES[bare.lower()]}).items() for x in (u, f)])
+    return F.try_multiply(F.regexp_extract(q, QUANTITY_RE, 1).try_cast("bigint"), table[unit])
 
-def memory_gib(q: Column) -> Column:
-    """Whole GiB of a memory quantity, at least 1 (the scaler's bound rule)."""
-    b = memory_bytes(q)
-    return F.when(b.isNotNull(), F.greatest(F.lit(1), F.floor(b / (1024 ** 3)))).cast("bigint")
+
+def memory_gib(q: Column, bare: str = "Gi") -> Column:
+    """Whole GiB of a memory limit, at least 1 (the scaler's bound rule)."""
+    b = memory_bytes(q, bare)
+    return F.when(b.isNotNull(), F.greatest(F.lit(1), F.call_function("div", b, F.lit(1024 ** 3)))).cast("bigint")

@@ -120,6 +120,9 @@ EXPOSITION = [
     ("fraud_det_fraud_exposure_usd", "Total potential fraud identified in USD", "gauge", "total_fraud_amount_identified"),
     ("fraud_det_throughput_tps", "Current pipeline throughput in txns/sec", "gauge", "throughput"),
     ("fraud_det_decision_latency_ms", "Model decision latency in milliseconds", "gauge", "decision_latency_ms"),
+]
+# Names of our own: the volumes are not named after a product.
+EXPOSITION += [
     ("fraud_det_cpu_volume_throughput_mbps", "CPU volume throughput", "gauge", "cpu_volume_throughput"),
     ("fraud_det_gpu_volume_throughput_mbps", "GPU volume throughput", "gauge", "gpu_volume_throughput"),
 ]

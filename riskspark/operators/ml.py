@@ -18,7 +18,7 @@ from typing import Sequence
 from pyspark.errors import AnalysisException
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -92,35 +92,81 @@ def scale_pos_weight(dist: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ M4, M5
+#: Rows per partition of the training frame: a round makes one pass per tree level, so small inputs get few tasks.
+TRAIN_ROWS_PER_TASK = 50_000
+
+
 def fit_risk_model(train: DataFrame, test: DataFrame | None = None, cols: Sequence[str] = MODEL_FEATURES,
                    label: str = "is_fraud", depth: int = 8, rate: float = 0.1, rounds: int = 100,
-                   validation_tol: float = 0.01, seed: int = 42) -> PipelineModel:
+                   patience: int = 10, seed: int = 42, most_rows: int | None = None) -> PipelineModel:
     """M4/M5: boosted trees on the ordered features.
 
-    Positives are weighted by scale_pos_weight (one aggregate).  With a test
-    set, its rows are appended with ``_is_val`` = true and GBT stops when the
-    validation error stops improving by ``validation_tol`` -- Spark's rule,
-    not a fixed patience of 10 rounds.
-    """
-    w = scale_pos_weight(class_distribution(train, label)).first()["scale_pos_weight"]
+    Positives are weighted by scale_pos_weight (one aggregate).  With a test set, the model is cut at the round
+    with the least test log loss, the rounds being looked at until ``patience`` of them in a row bring no gain
+    (see ``best_round``).
+
+    Every row's tree node is cached between the levels of a tree (``cacheNodeIds``), with checkpoints in the shared folder
+    every 10 rounds, so a level costs one pass without walking the tree again and a lost executor does not
+    repeat all rounds.  ``most_rows`` bounds the training rows: each row is drawn with the same probability,
+    by a hash of its inputs, so that about this many stay; all rows count for the weight of positives."""
+    ensure_checkpoint_dir(train.sparkSession)  # names the folder of Spark ML's checkpoints
+    dist = scale_pos_weight(class_distribution(train, label)).first()
+    n, w = dist["positives"] + dist["negatives"], dist["scale_pos_weight"]
     t = train.select(*_inputs(train, cols), F.col(label).cast("double").alias("label"))
-    if test is not None:
-        v = test.select(*_inputs(test, cols), F.col(label).cast("double").alias("label"))
-        t = t.withColumn("_is_val", F.lit(False)).unionByName(v.withColumn("_is_val", F.lit(True)))
+    if most_rows is not None and n > most_rows:
+        part = F.pmod(F.xxhash64(F.lit(seed), *t.columns), F.lit(1 << 30)) / float(1 << 30)
+        t, n = t.where(part < most_rows / n), most_rows
     t = t.withColumn("_w", F.when(F.col("label") == 1.0, F.lit(float(w))).otherwise(F.lit(1.0)))
     gbt = GBTClassifier(featuresCol="features", labelCol="label", weightCol="_w", maxDepth=depth,
                         stepSize=rate, maxIter=rounds, lossType="logistic", seed=seed, maxBins=64,
-                        featureSubsetStrategy="all", validationTol=validation_tol)
-    if test is not None:
-        gbt = gbt.setValidationIndicatorCol("_is_val")
-    assembler = VectorAssembler(inputCols=[f"_mf_{n}" for n in cols], outputCol="features", handleInvalid="keep")
-    # GBT makes one pass per round over the training and validation rows:
-    # keep the narrow (20 doubles + label) input materialised for the fit
-    t = t.persist(StorageLevel.MEMORY_AND_DISK)
+                        featureSubsetStrategy="all", cacheNodeIds=True, checkpointInterval=10, maxMemoryInMB=512)
+    assembler = VectorAssembler(inputCols=[f"_mf_{c}" for c in cols], outputCol="features", handleInvalid="keep")
+    # GBT makes a pass per level over the training rows: keep the narrow (20 doubles + label) input materialised
+    t = t.repartition(max(1, -(-n // TRAIN_ROWS_PER_TASK))).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return Pipeline(stages=[assembler, gbt]).fit(t)
+        model = Pipeline(stages=[assembler, gbt]).fit(t)
     finally:
         t.unpersist(blocking=True)
+    if test is None:
+        return model
+    losses = round_losses(model, test, cols, label)
+    return cut_model(model, best_round(losses, patience)) if losses else model
+
+
+def round_losses(model: PipelineModel, test: DataFrame, cols: Sequence[str] = MODEL_FEATURES, label: str = "is_fraud") -> list[float]:
+    """Mean log loss on ``test`` after each round, rows unweighted (empty without rows)."""
+    v = test.select(*_inputs(test, cols), F.col(label).cast("double").alias("label"))
+    v = model.stages[0].transform(v).select("features", "label", F.lit(1.0).alias("_w")).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return [] if v.isEmpty() else list(model.stages[-1].evaluateEachIteration(v))
+    finally:
+        v.unpersist(blocking=True)
+
+
+def best_round(losses: Sequence[float], patience: int) -> int:
+    """Rounds up to the best one, the search ending once ``patience`` rounds in a row were no better."""
+    best = 0
+    for i, loss in enumerate(losses):
+        if loss < losses[best]:
+            best = i
+        elif i - best >= patience:
+            break
+    return best + 1
+
+
+def cut_model(model: PipelineModel, rounds: int) -> PipelineModel:
+    """The model with its first ``rounds`` trees: what training for so many rounds gives, without training again."""
+    clf = model.stages[-1]
+    if rounds >= clf.getNumTrees:
+        return model
+    gateway, java = model.stages[-1]._java_obj, SparkSession.getActiveSession().sparkContext._gateway
+    tree_class = java.jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel
+    trees, weights = java.new_array(tree_class, rounds), java.new_array(java.jvm.double, rounds)
+    for i in range(rounds):
+        trees[i], weights[i] = gateway.trees()[i], float(clf.treeWeights[i])
+    cut = java.jvm.org.apache.spark.ml.classification.GBTClassificationModel(
+        gateway.uid(), trees, weights, gateway.numFeatures(), gateway.numClasses())
+    return PipelineModel([*model.stages[:-1], GBTClassificationModel(gateway.copyValues(cut, gateway.extractParamMap()))])
 
 
 def _inputs(df: DataFrame, cols: Sequence[str]) -> list[Column]:

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from ..functions.features import BAND_CUTS, FRAUD_THRESHOLD, mask_card, risk_band
 from ..session import checkpoint_path
 from .selection import kth_cut, below_cut
+from .sketch import sketch_quantiles
 
 SCORE = "fraud_score"
 MONEY = "decimal(18,2)"
@@ -296,12 +297,15 @@ def fraud_split(df: DataFrame, threshold: float = FRAUD_THRESHOLD) -> DataFrame:
 
 
 def business_kpis(df: DataFrame, threshold: float = FRAUD_THRESHOLD, eval_threshold: float = 0.5,
-                  label: str = "is_fraud", batch_seconds: int = 86400) -> DataFrame:
-    """The dashboard's KPI row from scored rows: exposure, volume, flagged
+                  label: str = "is_fraud", batch_seconds: int = 86400, folded: DataFrame | None = None) -> DataFrame:
+    """The dashboard's 17 KPIs.  From scored rows: exposure, volume, flagged
     count, precision/recall/FPR at the evaluation threshold, fraud rate,
-    alerts per million, high-risk rate, projected savings, band counts,
-    concentration, and fraud velocity per minute over the newest batch window
-    (its flagged rows by the minutes of it that have passed, one at least)."""
+    alerts per million, high-risk rate, projected savings, band counts (one KPI),
+    concentration, fraud velocity per minute over the newest batch window
+    (its flagged rows by the minutes of it that have passed, one at least), and flagged
+    rows per category and per state as maps.  From the ``folded`` metric store: the median decision
+    latency (counters of ``sketch.sketch_rows`` named ``decision_latency_ms``) and the storage utilisation (gauge
+    ``storage_util_pct``); where the store has none they are null and their ``_known`` flag is false."""
     pred = F.col(SCORE) > eval_threshold
     y = F.col(label) == 1
     band = risk_band(SCORE)
@@ -327,7 +331,22 @@ def business_kpis(df: DataFrame, threshold: float = FRAUD_THRESHOLD, eval_thresh
         F.col("alerts_per_million").alias("alerts_per_1m"), "high_risk_txn_rate",
         F.col("projected_annual_savings").alias("annual_savings_usd"),
         F.col("concentration_pct").alias("risk_concentration_pct"), F.lit(1).alias("_one"))
-    return kpi.join(one, "_one").drop("_one")
+    def map_of(rows: DataFrame, key: str, name: str) -> DataFrame:  # one row: a map of few names
+        entries = F.collect_list(F.when(F.col("flagged_count") > 0, F.struct(key, "flagged_count")))
+        return rows.agg(F.map_from_entries(F.array_sort(entries)).alias(name), F.lit(1).alias("_one"))
+
+    categories = cells.groupBy("category").agg(F.sum("flagged").cast("bigint").alias("flagged_count"))
+    states = state_risk(df, threshold).select(F.coalesce("state", F.lit("unknown")).alias("state"), "flagged_count")
+    kpi = (kpi.join(one, "_one").join(map_of(categories, "category", "category_risk"), "_one")
+           .join(map_of(states, "state", "state_risk"), "_one"))
+    if folded is None:
+        return kpi.select("*", F.lit(None).cast("double").alias("decision_latency_ms"), F.lit(False).alias("decision_latency_known"),
+                          F.lit(None).cast("double").alias("storage_util_pct"), F.lit(False).alias("storage_util_known")).drop("_one")
+    latency = sketch_quantiles(folded, "decision_latency_ms", {"decision_latency_ms": 0.5}).select(
+        "decision_latency_ms", (F.col("n") > 0).alias("decision_latency_known"), F.lit(1).alias("_one"))
+    util = folded.where((F.col("kind") == "gauge") & (F.col("name") == "storage_util_pct")).agg(
+        F.max("value").cast("double").alias("storage_util_pct"), (F.count("value") > 0).alias("storage_util_known"), F.lit(1).alias("_one"))
+    return kpi.join(latency, "_one").join(util, "_one").drop("_one")  # single rows
 
 
 def totals(df: DataFrame, threshold: float = FRAUD_THRESHOLD) -> DataFrame:

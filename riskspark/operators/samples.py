@@ -49,6 +49,51 @@ def instant(samples: DataFrame, at=None, lookback_seconds: int = 300, tie: Seque
                          F.col("_last.ts").alias("ts"), F.col("_last.value").alias("value"))
 
 
+def instant_range(samples: DataFrame, start: int, end: int, step: int, lookback_seconds: int = 300, missing: float | None = 0.0,
+                  tie: Sequence[str] = (), metric: str | None = None, match: dict[str, str] | None = None) -> DataFrame:
+    """Q1m at many instants: (metric, labels, at, value) for the instants start, start + step, ... end (epoch
+    seconds) and every series with a sample in (start - lookback, end].
+
+    ``value`` is that of the latest sample in (at - lookback, at], or ``missing`` where there is none (null keeps
+    the gap).  A sample answers the instants from its own time to the next sample of the series, with its value
+    while it is within the lookback; so one lag over the samples and one explode give the whole grid,
+    without a join of instants with samples.  Hour buckets spread a busy series over tasks."""
+    d = _select(samples, metric, match).where((F.col("ts") > F.timestamp_seconds(F.lit(start - lookback_seconds)))
+                                              & (F.col("ts") <= F.timestamp_seconds(F.lit(end))))
+    us, back = F.unix_micros("ts"), [f"_tie{i}" for i in range(len(tie))]
+    # the next sample is the previous one of the reversed order
+    d = d.select("metric", series_key().alias("_sk"), "value", us.alias("_us"), (-us).alias("_back"), *[(-F.col(t)).alias(b) for t, b in zip(tie, back)])
+    p = previous_row(d, ["metric", "_sk"], ["_back", *back], ["_us"], F.floor(F.col("_back") / 3_600_000_000))
+    grid = lambda t: F.ceil((t - F.lit(start * 1_000_000)) / (step * 1_000_000))  # noqa: E731  number of the first instant at or after t
+    last = F.lit((end - start) // step).cast("bigint")
+    first = F.greatest(grid(F.col("_us")), F.lit(0).cast("bigint"))
+    until = F.when(F.col("prev__us").isNull(), last).otherwise(F.least(grid(F.col("prev__us")) - 1, last))
+    none = F.array().cast("array<bigint>")
+    held = p.select("metric", "_sk", "value", "_us", F.explode(F.when(first <= until, F.sequence(first, until)).otherwise(none)).alias("_k"))
+    fresh = F.lit(start * 1_000_000) + F.col("_k") * (step * 1_000_000) < F.col("_us") + lookback_seconds * 1_000_000
+    gap = F.lit(missing).cast("double")
+    held = held.select("metric", "_sk", "_k", F.when(fresh, F.col("value")).otherwise(gap).alias("value"))
+    # instants before a series' first sample
+    head = d.groupBy("metric", "_sk").agg(F.min("_us").alias("_us")).withColumn("_n", F.least(grid(F.col("_us")) - 1, last)).where("_n >= 0")
+    head = head.select("metric", "_sk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n"))).alias("_k"), gap.alias("value"))
+    return held.unionByName(head).select("metric", F.map_from_entries("_sk").alias("labels"),
+                                         F.timestamp_seconds(F.lit(start) + F.col("_k") * step).alias("at"), "value")
+
+
+def pod_cpu_millicores(samples: DataFrame, window_seconds: int, tie: Sequence[str] = (), metric: str | None = None,
+                       match: dict[str, str] | None = None) -> DataFrame:
+    """Q8m: ``sum(rate(cpu seconds{match}[window])) * 1000`` per metric and window: each series' increase over the time it
+    covers, so a pod that lived for a part of the window counts by that part."""
+    r = counter_rate(samples, window_seconds, tie, metric, match, by=[])
+    return r.select("metric", "window_start", (F.col("rate") * 1000).alias("cpu_millicores"))
+
+
+def pod_mem_mib(inst: DataFrame, match: dict[str, str] | None = None) -> DataFrame:
+    """Q8m: ``sum(working set bytes{match}) / 1048576`` over an instant vector, per metric."""
+    return _select(inst, None, match).groupBy("metric").agg((F.sum("value") / 1048576).alias("mem_mib"),
+                                                            F.count(F.lit(1)).cast("bigint").alias("n_series"))
+
+
 def sum_by_label(inst: DataFrame, match: dict[str, str] | None = None, scale: float = 1.0,
                  by: Sequence[str] = ()) -> DataFrame:
     """Q2m/Q3m: ``sum(m{l="v"}) / scale`` -- plus avg and series count -- over

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import counters as ct
 from ..operators import risk
+from ..operators.sketch import GAMMA, sketch_rows
 from ..sources import fixtures as fx
 from .catalog import register, with_tx
 
@@ -194,7 +196,12 @@ b as (select cast(count(*) as bigint) as n, {MONEY} as total_amount,
              cast(count(case when fraud_score >= 0.6 and fraud_score < 0.9 then 1 end) as bigint) as risk_medium,
              cast(count(case when fraud_score >= 0.9 then 1 end) as bigint) as risk_high,
              count(case when {FLAG} and unix_time >= (select (max(unix_time) // 86400) * 86400 from tx) then 1 end) as last_flagged
-      from tx)
+      from tx),
+lat as (select case when value <= 0 then null else cast(ceil(ln(value) / ln({GAMMA!r})) as int) end as i, count(*) as n from events
+        where value is not null and isfinite(value) group by 1),
+run as (select i, sum(n) over (order by i nulls first) as upto, sum(n) over () as total from lat),
+mid as (select case when i is null then 0.0 else 2 * pow({GAMMA!r}, i) / ({GAMMA!r} + 1) end as v from run
+        where upto >= greatest(1, ceil(total * 0.5)) order by upto limit 1)
 select fraud_amt as fraud_exposure_identified_usd, n as transactions_analyzed, flagged_n as high_risk_flagged,
   fraud_amt / greatest(1.0, total_amount) * 100 as fraud_rate_pct,
   cast(floor(flagged_n / cast(greatest(1, n) as double) * 1e6) as bigint) as alerts_per_1m,
@@ -206,7 +213,18 @@ select fraud_amt as fraud_exposure_identified_usd, n as transactions_analyzed, f
   case when tp + fn > 0 then cast(tp as double) / (tp + fn) else 0.0 end as recall,
   case when fp + tn > 0 then cast(fp as double) / (fp + tn) else 0.0 end as false_positive_rate,
   risk_low, risk_medium, risk_high, 
-  last_flagged / greatest(1.0, (select max(unix_time) % 86400 from tx) / 60.0) as fraud_velocity_per_min
+  last_flagged / greatest(1.0, (select max(unix_time) % 86400 from tx) / 60.0) as fraud_velocity_per_min,
+  (select string_agg(k || '=' || n, ',' order by k) from (select coalesce(category, 'unknown') as k, count(*) as n from tx where {FLAG} group by 1)) as category_risk,
+  (select string_agg(k || '=' || n, ',' order by k) from (select coalesce(state, 'unknown') as k, count(*) as n from tx where {FLAG} group by 1)) as state_risk,
+  round((select v from mid), 9) as decision_latency_ms, (select count(*) > 0 from mid) as decision_latency_known,
+  cast(null as double) as storage_util_pct, false as storage_util_known
 from b"""))
 def business_kpis(spark, sf):
-    return risk.business_kpis(fx.tx(spark, sf))
+    """The 17 KPIs; event values stand for latencies, the store has no storage utilisation.  Maps as text."""
+    ev = spark.read.parquet(f"{sf}/events.parquet").select("value", fx.ntz_as_utc("ts").alias("ts"))
+    day = F.floor(F.unix_seconds("ts") / 86400)
+    folded = ct.metric_fold(sketch_rows(ev.withColumn("batch_id", day), "value", "decision_latency_ms", ts="ts"))
+    k = risk.business_kpis(fx.tx(spark, sf), folded=folded)
+    text = lambda c: F.array_join(F.transform(F.array_sort(F.map_entries(c)), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",")
+    return k.withColumns({"category_risk": text("category_risk"), "state_risk": text("state_risk"),
+                          "decision_latency_ms": F.round("decision_latency_ms", 9)})

@@ -88,12 +88,49 @@ def cpu_busy(spark, sf):
     return sm.cpu_busy(_increase(spark, sf))
 
 
-@register("pod_cpu_millicores", f"""with {INCREASE}
-select metric, window_start, sum(increase) / {DAY}.0 * 1000 as cpu_millicores from inc group by metric, window_start""")
+# the namespace of the stand-in samples is their mode label
+POD_CPU = """
+select metric, window_start, round(sum(case when covered_us > 0 then increase * 1e6 / cast(covered_us as double) end) * 1000, 6) as cpu_millicores
+from inc {where} group by metric, window_start"""
+
+
+def _millicores(df):
+    return df.withColumn("cpu_millicores", F.round("cpu_millicores", 6))
+
+
+@register("pod_cpu_millicores", f"with {INCREASE}" + POD_CPU.format(where=""))
 def pod_cpu_millicores(spark, sf):
     """Q8m: sum(rate(cpu seconds)) * 1000 per metric and window."""
-    inc = _increase(spark, sf)
-    return inc.groupBy("metric", "window_start").agg((F.sum("increase") / float(DAY) * 1000).alias("cpu_millicores"))
+    return _millicores(sm.pod_cpu_millicores(fx.counter_samples(spark, sf), DAY, tie=["event_id"]))
+
+
+@register("pod_cpu_namespace", f"with {INCREASE}" + POD_CPU.format(where="where mode = 'user'"))
+def pod_cpu_namespace(spark, sf):
+    """Q8m with its namespace filter."""
+    return _millicores(sm.pod_cpu_millicores(fx.counter_samples(spark, sf), DAY, tie=["event_id"], match={"mode": "user"}))
+
+
+@register("sample_range", f"""with {GAUGE},
+edge as (select cast(floor(epoch(min(ts)) / 3600) * 3600 as bigint) as t0, cast(floor(epoch(max(ts)) / 3600) * 3600 + 3600 as bigint) as t1 from g),
+grid as (select unnest(range(t0, t1 + 1, 3600)) as t from edge),
+series as (select distinct metric, instance, cpu, mode, dimension from g),
+cells as (select series.*, t from series, grid),
+found as (select c.metric, c.instance, c.cpu, c.mode, c.dimension, c.t, arg_max(g.value, (g.ts, g.event_id)) as value
+  from cells c join g on g.metric = c.metric and g.instance = c.instance and g.cpu = c.cpu and g.mode = c.mode and g.dimension = c.dimension
+    and g.ts > make_timestamp((c.t - 7200) * 1000000) and g.ts <= make_timestamp(c.t * 1000000) group by all)
+select metric, c.t as at_second, cast(count(*) as bigint) as n_series, cast(count(f.value) as bigint) as n_filled,
+  round(sum(coalesce(f.value, 0)), 6) as total from cells c left join found f using (metric, instance, cpu, mode, dimension, t)
+group by metric, c.t""")
+def sample_range(spark, sf):
+    """Q1m over a grid of hours with a lookback of two: per metric and instant the series, those with a value, and
+    the sum with gaps as 0."""
+    g = fx.gauge_samples(spark, sf)
+    edge = g.agg(F.floor(F.unix_seconds(F.min("ts")) / 3600).alias("a"), F.floor(F.unix_seconds(F.max("ts")) / 3600).alias("b")).first()
+    if edge["a"] is None:
+        return spark.createDataFrame([], "metric string, at_second bigint, n_series bigint, n_filled bigint, total double")
+    r = sm.instant_range(g, edge["a"] * 3600, edge["b"] * 3600 + 3600, 3600, lookback_seconds=7200, missing=None, tie=["event_id"])
+    return r.groupBy("metric", F.unix_seconds("at").alias("at_second")).agg(
+        F.count(F.lit(1)).alias("n_series"), F.count("value").alias("n_filled"), F.round(F.sum(F.coalesce("value", F.lit(0.0))), 6).alias("total"))
 
 
 @register("distinct_cpus", f"""with {GAUGE}
@@ -124,6 +161,4 @@ def pct_of_max(spark, sf):
 select metric, sum(value) / 1048576 as mem_mib, cast(count(*) as bigint) as n_series from inst group by metric""")
 def pod_mem_mib(spark, sf):
     """Q8m: ``sum(working set bytes) / 1048576`` over the instant vector, per metric."""
-    inst = _gauge_instant(spark, sf)
-    return inst.groupBy("metric").agg((F.sum("value") / 1048576).alias("mem_mib"),
-                                      F.count(F.lit(1)).cast("bigint").alias("n_series"))
+    return sm.pod_mem_mib(_gauge_instant(spark, sf))

@@ -101,10 +101,10 @@ def retention(spark, sf):
 
 @register("sample_limit", with_tx("""
 select unix_time, trans_key, cc_num, amt, fraud_score, merchant from tx
-order by unix_time, trans_key, cc_num, amt, fraud_score, merchant limit 1000"""))
+order by unix_time, trans_key, cc_num, amt, fraud_score, merchant limit 500000"""))
 def sample_limit(spark, sf):
     keys = ["unix_time", "trans_key", "cc_num", "amt", "fraud_score", "merchant"]
-    return rd.sample_limit(fx.tx(spark, sf).select(*keys), 1000, keys)
+    return rd.sample_limit(fx.tx(spark, sf).select(*keys), 500_000, keys)
 
 
 @register("union_batches", with_tx("""

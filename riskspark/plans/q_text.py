@@ -123,16 +123,20 @@ def usage_parse(spark, sf):
     return tx.parse_usage(fx.usage_lines(spark, sf))
 
 
-@register("quantity_parse", f"""with q as ({fx.quantities_sql()})
+@register("quantity_parse", f"""with q as ({fx.quantities_sql()}),
+p as (select id, cpu, memory, try_cast(regexp_extract(memory, '^([0-9]+)([KkMmGgTt][Ii]?)?$', 1) as hugeint) as n,
+        lower(regexp_extract(memory, '^([0-9]+)([KkMmGgTt][Ii]?)?$', 2)) as unit from q),
+f as (select *, case unit when 'k' then 1000 when 'm' then 1000000 when 'g' then 1000000000 when 't' then 1000000000000
+        when 'ki' then 1024 when 'mi' then 1048576 when 'gi' then 1073741824 when 'ti' then 1099511627776 end as factor from p),
+b as (select *, try_cast(n * coalesce(factor, 1024) as bigint) as memory_bytes,
+        try_cast(n * coalesce(factor, 1073741824) as bigint) as limit_bytes from f)
 select id, cpu, memory,
   case when regexp_extract(cpu, '^(\\d+)m$', 1) != '' then cast(regexp_extract(cpu, '^(\\d+)m$', 1) as bigint)
        when regexp_extract(cpu, '^(\\d+)$', 1) != '' then cast(regexp_extract(cpu, '^(\\d+)$', 1) as bigint) * 1000 end as cpu_millicores,
-  case when regexp_extract(memory, '{tx.QUANTITY_RE}', 1) != '' then
-    cast(regexp_extract(memory, '{tx.QUANTITY_RE}', 1) as bigint) *
-    case regexp_extract(memory, '{tx.QUANTITY_RE}', 2) when 'Mi' then 1048576 when 'Gi' then 1073741824
-         when 'Ti' then 1099511627776 else 1024 end end as memory_bytes
-from q""")
+  memory_bytes, case when limit_bytes is not null then cast(greatest(1, limit_bytes // 1073741824) as bigint) end as limit_gib
+from b""")
 def quantity_parse(spark, sf):
+    """Cpu and memory quantities of node listings, and the same text read as a scaler's limit in GiB."""
     q = fx.quantities(spark, sf)
     return q.select("id", "cpu", "memory", tx.cpu_millicores(F.col("cpu")).alias("cpu_millicores"),
-                    tx.memory_bytes(F.col("memory")).alias("memory_bytes"))
+                    tx.memory_bytes(F.col("memory")).alias("memory_bytes"), tx.memory_gib(F.col("memory")).alias("limit_gib"))

@@ -298,10 +298,18 @@ def usage_lines_sql() -> str:
 
 QUANTITY_CPU = ("case s_suppkey % 3 when 0 then concat(cast(s_suppkey % 64 as {s}), '') "
                 "when 1 then concat(cast(s_suppkey * 37 % 64000 as {s}), 'm') else 'bad' end")
-QUANTITY_MEM = ("case s_suppkey % 5 when 0 then concat(cast(s_suppkey * 53 % 90000 as {s}), 'Ki') "
+QUANTITY_MEM = ("case s_suppkey % 12 when 0 then concat(cast(s_suppkey * 53 % 90000 as {s}), 'Ki') "
                 "when 1 then concat(cast(s_suppkey % 9000 as {s}), 'Mi') "
                 "when 2 then concat(cast(s_suppkey % 64 as {s}), 'Gi') "
-                "when 3 then cast(s_suppkey * 11 % 100000 as {s}) else concat(cast(s_suppkey % 9 as {s}), 'Ti') end")
+                "when 3 then cast(s_suppkey * 11 % 100000 as {s}) "
+                "when 4 then concat(cast(s_suppkey % 9 as {s}), 'Ti') "
+                "when 5 then concat(cast(s_suppkey * 7 % 9000 as {s}), 'k') "
+                "when 6 then concat(cast(s_suppkey % 9000 as {s}), 'M') "
+                "when 7 then concat(cast(s_suppkey % 64 as {s}), 'g') "
+                "when 8 then concat(cast(s_suppkey % 5 as {s}), 'T') "
+                "when 9 then concat(cast(s_suppkey % 700 as {s}), 'mI') "
+                "when 10 then concat(cast(s_suppkey as {s}), '.5Gi') "
+                "else concat(cast(s_suppkey as {s}), '9999999999', 'gi') end")
 
 
 def quantities(spark: SparkSession, sf_dir: str) -> DataFrame:

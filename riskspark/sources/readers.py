@@ -26,8 +26,27 @@ def read_features(spark: SparkSession, path: str, cols: Sequence[str]) -> DataFr
 
 
 def sample_limit(df: DataFrame, n: int, keys: Sequence[str]) -> DataFrame:
-    """S3: first ``n`` rows in ``keys`` order (a deterministic head)."""
-    return df.orderBy(*keys).limit(n)
+    """S3: first ``n`` rows in ``keys`` order (a deterministic head).
+
+    The key of the n-th row is found by a band search over the leading numeric keys and the rows up to it are
+    filtered where they lie, so n rows never meet in one task; only rows that equal the n-th in all those
+    keys are ordered by the rest.  Without a leading numeric key the head is taken by order and limit."""
+    from ..operators.selection import at_cut, below_cut, kth_cut
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    numeric = []
+    for k in keys:
+        if not isinstance(kinds[k], T.NumericType):
+            break
+        numeric.append(k)
+    if not numeric:
+        return df.orderBy(*keys).limit(n)
+    total = df.count()
+    if total <= n:
+        return df
+    cut = kth_cut(df, numeric, n, n=total)
+    if cut is None:
+        return df.limit(0)
+    return df.where(below_cut(df, numeric, cut)).unionByName(df.where(at_cut(df, numeric, cut)).orderBy(*keys).limit(cut.take))
 
 
 def latest_run(df: DataFrame, run: str = "run") -> DataFrame:
