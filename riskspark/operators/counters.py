@@ -28,9 +28,9 @@ def batch_counters(scored: DataFrame, batch: str = "batch_id", ts: str = "batch_
 
     totals, flagged totals, band counts, and per category / state counts and
     amounts of flagged rows; the category mean score is kept as a sum and a
-    count (a mean of means would be wrong across batches).  One aggregate per
-    (batch, category, state) reads the rows; grouping sets -- (batch), (batch,
-    category), (batch, state) -- then add up its few rows.
+    count (a mean of means would be wrong across batches).  One aggregate per (batch,
+    category) gives those rows and, added up, the batch's totals; another reads only
+    flagged rows per (batch, state).
     """
     f = F.col("fraud_score") >= threshold
     amt = F.col("amt").cast("decimal(18,2)")
@@ -38,14 +38,14 @@ def batch_counters(scored: DataFrame, batch: str = "batch_id", ts: str = "batch_
     d = (scored.withColumn("category", F.coalesce("category", F.lit("unknown")))
                .withColumn("state", F.coalesce("state", F.lit("unknown"))))
     sums = ["n", "amount", "flagged", "flagged_amount", "score_sum", "band_low", "band_medium", "band_high"]
-    d = d.groupBy(batch, "category", "state").agg(
-        F.max(ts).alias("_ts"),
-        F.count(F.lit(1)).alias("n"), F.sum(amt).alias("amount"),
-        F.count(F.when(f, 1)).alias("flagged"), F.coalesce(F.sum(F.when(f, amt)), F.lit(0)).alias("flagged_amount"),
+    flagged = [F.count(F.when(f, 1)).alias("flagged"), F.coalesce(F.sum(F.when(f, amt)), F.lit(0)).alias("flagged_amount")]
+    per_category = d.groupBy(batch, "category").agg(
+        F.max(ts).alias("_ts"), F.count(F.lit(1)).alias("n"), F.sum(amt).alias("amount"), *flagged,
         F.sum(F.when(f, F.col("fraud_score").cast("decimal(12,4)"))).alias("score_sum"),
         *[F.count(F.when(band == b, 1)).alias(f"band_{b}") for b in ("low", "medium", "high")])
-    g = d.groupingSets([[batch], [batch, "category"], [batch, "state"]], batch, "category", "state").agg(
+    g = per_category.groupingSets([[batch], [batch, "category"]], batch, "category").agg(
         F.grouping_id().alias("_gid"), F.max("_ts").alias("_ts"), *[F.sum(c).alias(c) for c in sums])
+    per_state = d.where(f).groupBy(batch, "state").agg(F.max(ts).alias("_ts"), *flagged)
     t = F.col("_ts")
     totals = [
         _rows(batch, t, F.lit("total_txns_scored"), "counter", F.col("n")),
@@ -66,11 +66,10 @@ def batch_counters(scored: DataFrame, batch: str = "batch_id", ts: str = "batch_
         _rows(batch, t, F.concat(spre, F.lit("_count")), "counter", F.col("flagged")),
         _rows(batch, t, F.concat(spre, F.lit("_amount")), "counter", F.col("flagged_amount")),
     ]
-    # grouping_id bits: (category, state) absent -> 3 = (batch); 1 = (batch, category); 2 = (batch, state)
-    rows = (F.when(F.col("_gid") == 3, F.array(*totals))
-             .when((F.col("_gid") == 1) & (F.col("flagged") > 0), F.array(*cats))
-             .when((F.col("_gid") == 2) & (F.col("flagged") > 0), F.array(*states)))
-    return g.select(F.explode(rows).alias("m")).select("m.*")
+    # grouping_id: 1 = the whole batch, 0 = (batch, category)
+    rows = F.when(F.col("_gid") == 1, F.array(*totals)).when(F.col("flagged") > 0, F.array(*cats))
+    return (g.select(F.explode(rows).alias("m")).unionByName(per_state.select(F.explode(F.array(*states)).alias("m")))
+            .select("m.*"))
 
 
 def metric_increment(df: DataFrame, batch_id: int, name: str, value: Column | None = None,
