@@ -30,12 +30,6 @@ def telemetry_entries(line: Column) -> Column:
         strip(F.substr(p, F.instr(p, "=") + 1)).alias("value")))
 
 
-def _last_value(entries: Column, key: str) -> Column:
-    """Value of the last entry named ``key`` (later parts overwrite earlier ones)."""
-    hits = F.filter(entries, lambda e: e["key"] == F.lit(key))
-    return F.when(F.size(hits) > 0, F.element_at(hits, -1)["value"])
-
-
 PART_RE = r"(?:^|\|)\s*([^=|]*?)\s*=([^|]*)"
 NUMBER_RE = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$|^[+-]?(?i:nan|inf|infinity)$"
 

@@ -19,7 +19,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.features import BAND_CUTS, FRAUD_THRESHOLD, mask_card, risk_band
+from ..functions.features import BAND_CUTS, FRAUD_THRESHOLD, mask_card, risk_band, seconds_ago
 from ..session import checkpoint_path
 from .selection import kth_cut, below_cut
 from .sketch import sketch_quantiles
@@ -131,7 +131,7 @@ def alert_projection(df: DataFrame, as_of: Column | None = None) -> DataFrame:
             F.coalesce(F.col("last"), F.lit("Unknown")).alias("last"),
             iso_utc(F.col("unix_time")).alias("timestamp")]
     if as_of is not None:
-        cols.append((as_of - F.col("unix_time")).cast("bigint").alias("seconds_ago"))
+        cols.append(seconds_ago("unix_time", as_of).alias("seconds_ago"))
     return high_risk(df).select(*cols)
 
 

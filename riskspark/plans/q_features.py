@@ -88,6 +88,18 @@ def features_all(spark, sf):
                       for c in f.columns])
 
 
+@register("features_clean", with_tx("""
+select trans_key, category, coalesce(case when trans_key % 10 != 0 then amt end, 0) as amt,
+  coalesce(case when trans_key % 7 != 0 then lat end, 0) as lat, coalesce(case when trans_key % 3 != 0 then city_pop end, 0) as city_pop
+from tx"""))
+def features_clean(spark, sf):
+    """text columns dropped, missing numbers 0."""
+    t, k = fx.tx(spark, sf), F.col("trans_key")
+    return ft.fill_zero(ft.drop_text_columns(t.select(
+        "trans_key", "category", "gender", F.when(k % 10 != 0, F.col("amt")).alias("amt"), F.when(k % 7 != 0, F.col("lat")).alias("lat"),
+        F.when(k % 3 != 0, F.col("city_pop")).alias("city_pop"), F.lit("x").alias("street"), F.lit("y").alias("job"))))
+
+
 @register("card_velocity", with_tx("""
 select trans_key, cc_num, unix_time,
   cast(count(*) over w as bigint) as txn_count_1h,

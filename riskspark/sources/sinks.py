@@ -36,7 +36,3 @@ def dual_sink(df: DataFrame, path_a: str, path_b: str, batch_id: int | None = No
 def snapshot_json(df: DataFrame, path: str) -> None:
     """The latest payload (a small aggregate) as one JSON document per row."""
     df.select(F.to_json(F.struct(*df.columns)).alias("value")).coalesce(1).write.mode("overwrite").text(path)
-
-
-def to_json_column(df: DataFrame, name: str = "json") -> DataFrame:
-    return df.select(F.to_json(F.struct(*df.columns)).alias(name))
