@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 
 from .common import col, fresh, row_keys, slices, split_by_keys, stored, utf8
 
-LEAF = 48
+LEAF = 8
 
 
 def fingerprint(text: bytes, shingle: int = 4, seed: int = 42) -> int:
@@ -155,7 +155,7 @@ def link_chunks(tree_fps: np.ndarray, query_fps: np.ndarray | None, radius: int)
     return fps[moved], fps[roots[moved]]
 
 
-def block_plan(n: int, radius: int, per_shard: int = 64) -> list[list[tuple[int, int]]]:
+def block_plan(n: int, radius: int, per_shard: int = 512) -> list[list[tuple[int, int]]]:
     """For ``n`` fingerprints: the choices of bit blocks (first bit, bits) that make shard keys.
     The fewest blocks whose keys leave at most ``per_shard`` random fingerprints in a shard."""
     for blocks in range(radius + 1, 65):
@@ -206,7 +206,7 @@ def _link_rows(radius: int):
     return run
 
 
-def links(nodes: DataFrame, radius: int = 4, chunk: int = 2048, per_shard: int = 64) -> DataFrame:
+def links(nodes: DataFrame, radius: int = 4, chunk: int = 2048, per_shard: int = 512) -> DataFrame:
     """Stored links (u, v) between distinct fingerprints ``nodes(fp)`` that keep their components."""
     n = nodes.count()
     choices = block_plan(n, radius, per_shard)
