@@ -33,6 +33,8 @@ from ..session import checkpoint_path
 from .common import col
 
 CHUNK = 1 << 20
+#: Compressed bytes of records that one task reads.
+READ_BYTES = 64 << 20
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"  # RFC 4648 base32
 
 
@@ -54,23 +56,31 @@ def records(pages: DataFrame, id_col: str, url_col: str, payload_col: str, least
     rows = pages.select(col(id_col).alias("id"), col(url_col).cast("string").alias("url"),
                         F.coalesce(col(payload_col).cast("string"), F.lit("")).alias("payload"))
     rows = rows.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", base32_sha1(F.col("payload")))
+    # payloads are equal if SHA-1, length and two more hashes are: known SHA-1 collisions differ in these
+    rows = rows.withColumn("check_a", F.xxhash64(F.lit(1), "payload")).withColumn("check_b", F.xxhash64(F.lit(2), "payload"))
+    same = ["payload_digest", "payload_bytes", "check_a", "check_b"]
     # counted per digest before the shuffle; only ids, digests and lengths move, the payload does not
-    best = (rows.filter(F.col("payload_bytes") >= least).groupBy("payload_digest", "payload_bytes")
+    best = (rows.filter(F.col("payload_bytes") >= least).groupBy(*same)
             .agg(F.max("id").alias("best"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"))
-    rows = rows.join(best, ["payload_digest", "payload_bytes"], "left")
+    rows = rows.join(best, same, "left").drop("check_a", "check_b")
     revisit = F.col("best").isNotNull() & ~F.col("id").eqNullSafe(F.col("best"))
     return rows.withColumn("revisit", revisit).withColumn("refers_to", F.when(revisit, F.col("best"))).drop("best")
 
 
+def urn(id_: Column) -> Column:
+    """Record id of a page id, in URL encoding; the null id has a name of its own."""
+    return F.when(id_.isNull(), F.lit("<urn:no-page-id>")).otherwise(F.concat(F.lit("<urn:page:"), F.url_encode(id_.cast("string")), F.lit(">")))
+
+
 def record_text(r: DataFrame) -> Column:
     """One WARC/1.1 record without the final line break (the text writer adds it)."""
     line = "\r\n"
     url = F.regexp_replace(F.regexp_replace(F.col("url"), "\r", "%0D"), "\n", "%0A")
     block = F.when(F.col("revisit"), F.lit("")).otherwise(F.col("payload"))
     head = [F.lit("WARC/1.1"), F.concat(F.lit("WARC-Type: "), F.when(F.col("revisit"), "revisit").otherwise("response")),
-            F.concat(F.lit("WARC-Record-ID: <urn:page:"), F.coalesce(F.col("id").cast("string"), F.lit("null")), F.lit(">")),
+            F.concat(F.lit("WARC-Record-ID: "), urn(F.col("id"))),
             F.concat(F.lit("WARC-Target-URI: "), url),
-            F.concat(F.lit("WARC-Refers-To: <urn:page:"), F.col("refers_to").cast("string"), F.lit(">")),
+            F.when(F.col("refers_to").isNotNull(), F.concat(F.lit("WARC-Refers-To: "), urn(F.col("refers_to")))),
             F.when(F.col("revisit"), "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"),
             F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.col("payload_digest")),
             F.concat(F.lit("WARC-Payload-Length: "), F.col("payload_bytes").cast("string")),
@@ -225,7 +235,12 @@ def read_indexed(index: DataFrame) -> DataFrame:
         if opened:
             opened[1].close()
 
-    return index.select("archive", "offset", "length").mapInArrow(run, READ)
+    # dealt by the bytes to be read, not by the size of the index: a stretch of an archive is a task's work
+    total = index.agg(F.sum("length")).first()[0] or 0
+    tasks = max(index.sparkSession.sparkContext.defaultParallelism, -(-total // READ_BYTES))
+    stretch = F.floor(F.col("offset") / max(1 << 20, min(READ_BYTES, total // tasks + 1)))
+    dealt = index.select("archive", "offset", "length").repartition(int(tasks), "archive", stretch)
+    return dealt.sortWithinPartitions("archive", "offset").mapInArrow(run, READ)
 
 
 def _read_batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -243,8 +258,7 @@ def archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", pay
     kind = pages.schema[id_col].dataType
 
     def page(c: str) -> Column:
-        inner = F.regexp_extract(c, r"^<urn:page:(.*)>$", 1)
-        return F.when(inner != "null", inner).cast(kind)
+        return F.when(F.col(c).rlike("^<urn:page:"), F.url_decode(F.regexp_extract(c, r"^<urn:page:(.*)>$", 1))).cast(kind)
 
     return back.select(page("record_id").alias(id_col), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"))
 
