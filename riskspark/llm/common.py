@@ -65,17 +65,21 @@ def utf8(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def slices(batches: Iterator[pa.RecordBatch], text_index: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Consecutive parts of the batches with about ``most`` bytes of text each (at
-    least one row), so that memory per task does not follow the batch size."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        offs, _ = utf8(batch.column(text_index))
-        at = 0
-        while at < batch.num_rows:
-            to = int(np.searchsorted(offs, offs[at] + most, side="right")) - 1
-            to = min(max(to, at + 1), batch.num_rows)
-            yield batch.slice(at, to - at)
-            at = to
+    least one row), so that memory per task does not follow the batch size.  A worker that goes on to
+    other tasks gives back what Arrow holds for reuse."""
+    try:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            offs, _ = utf8(batch.column(text_index))
+            at = 0
+            while at < batch.num_rows:
+                to = int(np.searchsorted(offs, offs[at] + most, side="right")) - 1
+                to = min(max(to, at + 1), batch.num_rows)
+                yield batch.slice(at, to - at)
+                at = to
+    finally:
+        pa.default_memory_pool().release_unused()
 
 
 #: Keys up to this number are broadcast as they are (16 bytes each).
@@ -153,3 +157,17 @@ def spread_copies(rows: DataFrame, n: str, copy: str, page: int = 4096) -> DataF
         F.col(at) * page, F.least((F.col(at) + 1) * page, F.ceil(F.col(n) / page)) - 1))).repartition(F.col(at))
     opened = pages.withColumn(copy, F.explode(F.sequence(F.col(at) * page, F.least((F.col(at) + 1) * page, F.col(n)) - 1))).drop(at)
     return few.unionByName(opened)
+
+
+def bounded_sample(rows: DataFrame, ids: DataFrame, most: int) -> DataFrame:
+    """The rows whose ``id`` is in ``ids`` (at most ``most`` of them), ``most`` rows at most.
+
+    Where ids repeat and their rows are more than that, rows of equal id and text count once and ``most`` of the
+    others are drawn by a hash of id and text.  Texts are read where they lie; only those drawn move."""
+    some = rows.join(F.broadcast(ids), "id")
+    if some.select("id").count() <= most:
+        return some
+    keys = ["id", "_text_key"]
+    some = some.withColumn("_text_key", F.xxhash64("text"))
+    drawn = some.select(*keys).distinct().orderBy(F.xxhash64(F.col("id").cast("string"), "_text_key"), *keys).limit(most)
+    return some.join(F.broadcast(drawn), keys).dropDuplicates(keys).drop("_text_key")

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import col, fresh, held_out, slices, stored
+from .common import bounded_sample, col, fresh, held_out, slices, stored
 
 SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine deinem deinen deiner ihr euch euer "
                           "tu te toi ton ta tes vous votre vos tú ti tus usted ustedes vosotros tuyo".split())
@@ -52,7 +52,8 @@ FEATURES = ["weight_density", "hit_density", "hits", "kinds", "max_weight", "nea
 
 
 def terms(text: str) -> set[str]:
-    """Words, and beginnings of longer words (marked by a trailing *), of a text."""
+    """Words, and beginnings of longer words (marked by a trailing *), of a text.  A word of more than 24
+    characters is no entry of its own; its beginnings are."""
     words = set(_WORD.findall(text.lower()))
     return {w for w in words if len(w) <= 24} | {w[:n] + "*" for w in words for n in BEGINNINGS if len(w) > n}
 
@@ -174,14 +175,13 @@ class ToxicityModel:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
         sample_rows: int = 20_000, lexicon_size: int = 2000, trees: int = 20, depth: int = 4, seed: int = 7) -> ToxicityModel:
-    """Learn from at most ``sample_rows`` labelled ids that are not held out."""
+    """Learn from at most ``sample_rows`` rows of labelled ids that are not held out (also where an id repeats)."""
     spark = docs.sparkSession
     one = (labels.filter(col(label_col).isNotNull() & ~held_out(id_col)).groupBy(col(id_col).alias("id"))
            .agg(F.max(col(label_col).cast("int")).alias("y")).filter("id is not null and y in (0, 1)"))
     pick = one.orderBy(F.xxhash64("id"), "id").limit(sample_rows)
     texts = docs.select(col(id_col).alias("id"), F.coalesce(col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = texts.join(F.broadcast(pick), "id").select("id", "text", "y")  # at most sample_rows narrow rows
-    sample = stored(rows, "toxicity-sample")
+    sample = stored(bounded_sample(texts, pick, sample_rows).select("id", "text", "y"), "toxicity-sample")
     totals = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     base = totals.get(1, 0) / max(1, sum(totals.values()))
     if len(totals) < 2:

@@ -439,3 +439,25 @@ def test_call_levels(spark):
     got = chat.levels(spark.createDataFrame(rows, "conv_id long, call_id string, after array<string>")).collect()
     want = sorted(((conv, k, n) for conv, after in graphs.items() for k, n in brute_levels(after).items()), key=repr)
     assert sorted((tuple(r) for r in got), key=repr) == want
+
+
+def test_sample_is_bounded_where_ids_repeat(spark):
+    from riskspark.llm.common import bounded_sample
+    rows = [(1, f"text {i}", "x") for i in range(3000)] + [(2, "same", "x")] * 3000 + [(i, f"own {i}", "x") for i in range(3, 50)]
+    df = spark.createDataFrame(rows, "id long, text string, lang string").repartition(4)
+    ids = df.select("id").distinct()
+    got = bounded_sample(df, ids, 500).collect()
+    assert len(got) == 500 and len({(r.id, r.text) for r in got}) == 500
+    assert len(bounded_sample(df, ids.filter("id = 2"), 500).collect()) == 1
+    assert len(bounded_sample(df, ids.filter("id > 2"), 500).collect()) == 47
+
+
+def test_warc_of_text_ids(spark):
+    """Ids that hold line breaks, signs or the word null, beside a null id, come back as they are."""
+    ids = ["null", None, "a\r\nb", "x>y", "", "é %41", "plain"]
+    pages = spark.createDataFrame([(i, "u", "same" if n % 2 else f"p{n}") for n, i in enumerate(ids)], "page_id string, url string, html string")
+    got = {r.page_id: r for r in warc.archive(pages).collect()}
+    assert set(got) == set(ids)
+    same = [i for n, i in enumerate(ids) if n % 2]
+    best = max(i for i in same if i is not None)
+    assert {i: got[i].refers_to for i in same} == {i: None if i == best else best for i in same}
