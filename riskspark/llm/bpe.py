@@ -31,6 +31,7 @@ from itertools import accumulate, chain
 
 import pyarrow as pa
 import regex
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,10 +45,19 @@ END, PATHS = 256, 257
 NODE = (1 << 24) - 1
 
 
+def parse_ranks(data: bytes) -> dict[bytes, int]:
+    """Token bytes -> rank of the content of a tiktoken rank file."""
+    return {base64.b64decode(a): int(b) for a, b in (line.split() for line in data.splitlines() if line.strip())}
+
+
 def load_ranks(path: str) -> dict[bytes, int]:
     """Token bytes -> rank of a tiktoken rank file."""
+    return parse_ranks(read_file(path))
+
+
+def read_file(path: str) -> bytes:
     with open(path, "rb") as f:
-        return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+        return f.read()
 
 
 class Transducer:
@@ -302,8 +312,8 @@ class Codec:
 
     most, short = 250_000, 64
 
-    def __init__(self, path: str, pattern: str):
-        self.machine = Transducer(load_ranks(path))
+    def __init__(self, ranks: dict[bytes, int], pattern: str):
+        self.machine = Transducer(ranks)
         self.bulk = BulkTransducer(self.machine)
         self.split = splitter(pattern)
         self.memo: dict[str, list[int] | tuple[int, ...]] = {}
@@ -362,11 +372,11 @@ class Codec:
 _CODECS: dict[tuple[str, str], Codec] = {}
 
 
-def codec(path: str, pattern: str) -> Codec:
-    """One codec per worker process and tokenizer."""
+def codec(path: str, pattern: str, data: bytes | None = None) -> Codec:
+    """One codec per worker process and tokenizer; ``data`` is the rank file's content where the path may be unknown."""
     key = (path, pattern)
     if key not in _CODECS:
-        _CODECS[key] = Codec(path, pattern)
+        _CODECS[key] = Codec(parse_ranks(read_file(path) if data is None else data), pattern)
     return _CODECS[key]
 
 
@@ -399,9 +409,9 @@ def _rows(c: Codec, part: pa.RecordBatch, with_ids: bool) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(out, names=names)
 
 
-def _report(path: str, pattern: str, with_ids: bool) -> Callable:
+def _report(path: str, pattern: str, with_ids: bool, ranks: Broadcast) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path, pattern)
+        c = codec(path, pattern, ranks.value)
         gc.disable()  # scanning the transducer's many tuples costs more than the work; it frees them itself
         try:
             for part in slices(batches, 1):
@@ -429,7 +439,8 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
               T.StructField("round_trip", T.BooleanType())]
     if with_ids:
         fields.append(T.StructField("token_ids", T.ArrayType(T.IntegerType())))
-    out = rows.mapInArrow(_report(path, pattern, with_ids), T.StructType(fields))
+    ranks = docs.sparkSession.sparkContext.broadcast(read_file(path))  # executors need not have the file; a vocabulary has a fixed size
+    out = rows.mapInArrow(_report(path, pattern, with_ids, ranks), T.StructType(fields))
     return out.select(F.col("id").alias(id_col), *out.columns[1:])
 
 
@@ -437,9 +448,10 @@ def decode(rows: DataFrame, id_col: str, ids_col: str, path: str | None = None,
     """id, text of token id arrays; a null array is an empty text, broken UTF-8 becomes U+FFFD."""
     own_path, own_pattern = default_tokenizer()
     path, pattern = path or own_path, pattern or own_pattern
+    ranks = rows.sparkSession.sparkContext.broadcast(read_file(path))
 
     def run(batches):
-        c = codec(path, pattern)
+        c = codec(path, pattern, ranks.value)
         for b in batches:
             texts = ["".join(s for _, s in c.decode(ids or [])) for ids in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["id", "text"])

@@ -48,6 +48,8 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
                    "strike strong sub sup time tt u var wbr img".split())
 #: An open one of these ends at the next block.
 SHORT = frozenset("p li dt dd h1 h2 h3 h4 h5 h6 td th tr option".split())
+#: Words that name page furniture only outside an article, whose own heading is part of it.
+HEADINGS = frozenset(("header", "masthead", "banner"))
 #: Words in class, id or role that name page furniture.
 HINTS = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo cookie cookies consent notice notices "
                   "menu navbar nav navigation breadcrumb breadcrumbs sidebar footer masthead header comment comments reply replies "
@@ -64,7 +66,8 @@ def _kind(tag: str, attributes: str, inside_main: bool) -> int | None:
     hinted = False
     if attributes and "=" in attributes and tag not in ("html", "body"):
         for found in HINT.findall(attributes):
-            if not HINTS.isdisjoint(WORD.findall((found[0] or found[1] or found[2]).lower())):
+            words = HINTS.intersection(WORD.findall((found[0] or found[1] or found[2]).lower()))
+            if words - HEADINGS if inside_main else words:
                 hinted = True
     if tag in ARTICLE:  # classes of an article tell about its layout, unless they call it a comment or an advert
         words = WORD.findall(attributes.lower()) if hinted else ()

@@ -174,6 +174,8 @@ def test_page_lines():
     assert lines("<div class='x ad-box'>buy<div>more</div>now</div><p>kept<p class=notice>cookies<p>kept too") == [
         ("buy", C), ("more", C), ("now", C), ("kept", O), ("cookies", C), ("kept too", O)]
     assert lines("<main class=has-sidebar>m<article class=comment>said</article></main><header>h</header>") == [("m", M), ("said", C), ("h", C)]
+    assert lines("<div class=page-header>h</div><article><div class=article-header>T</div><div class=article-footer>by</div>m</article>") == [
+        ("h", C), ("T", M), ("by", C), ("m", M)]
     assert lines("<p title='a > b'>x</p><p title=\"open>y") == [("x", O), ("y", O)]
     assert lines("<p>x<!-- open") == lines("<p>x<script>open") == lines("<p>x<em open") == [("x", O)]
     assert lines("<article>" + "word " * 100000 + "</article>")[0][0].count("word") == 100000
