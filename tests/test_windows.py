@@ -5,7 +5,8 @@ import random
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from riskspark.operators.series import cumulative, last_n_points, ema
+from riskspark.operators.series import cumulative, last_n_points
+from riskspark.operators.smoothing import ema
 from riskspark.operators.windows import previous_row, trailing_aggregate, trailing_sums
 
 
