@@ -18,6 +18,9 @@ within stretches of a conversation plus the totals of earlier stretches, so one
 spread over tasks.  Members of a node that end there are hashed from packed, sorted stretches of ids as
 they stream by.
 
+Limit: the rows of one conversation whose turn numbers lie within one stretch of ``STRETCH`` (or are all null) are
+ordered in one task, as digests; such a window spills.
+
 Defined results: turns of equal number go by the digest of role and text; rows without conv_id belong to no
 conversation and count nowhere; null role and text are empty; repeated rows are turns of their own; an
 empty table has no nodes.  Columns other than the four named ones are ignored.
