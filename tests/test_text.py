@@ -9,11 +9,11 @@ def _parse(spark, lines):
 
 
 def test_sample_line(spark):
-    line = ("[TELEMETRY] stage=Ingest | status=Running | rows=530000 | throughput=22595 | elapsed=23.5 | "
-            "cpu_cores=10.8 | ram_gb=10.74 | ram_percent=70.0")
+    line = ("[TELEMETRY] stage=Merge | status=Idle | rows=4711 | throughput=812 | elapsed=5.8 | "
+            "cpu_cores=2.5 | ram_gb=3.25 | ram_percent=41.5")
     r = _parse(spark, [line])[0]
     assert (r.stage, r.status, r.rows, r.throughput, r.elapsed, r.cpu_cores, r.ram_gb, r.ram_percent) == \
-        ("Ingest", "Running", 530000, 22595, 23.5, 10.8, 10.74, 70.0)
+        ("Merge", "Idle", 4711, 812, 5.8, 2.5, 3.25, 41.5)
     assert r.fraud_blocked is None
 
 
