@@ -50,7 +50,7 @@ def key_value(names: Column, values: Column, key: str) -> Column:
 
 def strip(c: Column) -> Column:
     """Without white space of any kind at both ends."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.btrim(c, F.lit(" \t\n\x0b\f\r"))
 
 
 def parse_telemetry(df: DataFrame, line: str = "line", keep: list[str] | None = None,
@@ -110,7 +110,9 @@ def with_telemetry(df: DataFrame, line: str = "line", keep: list[str] | None = N
     for k in TEXT_KEYS:
         out.append(F.col(f"_raw_{k}").alias(k))
     for k, _ in typed_keys:
-        bad = bad | (F.col(f"_raw_{k}").isNotNull() & (F.col(f"_typed_{k}").isNull() | ~F.col(f"_raw_{k}").rlike(NUMBER_RE)))
+        raw, typed = F.col(f"_raw_{k}"), F.col(f"_typed_{k}")
+        # a number written as Spark writes it needs no look at its form
+        bad = bad | (raw.isNotNull() & (typed.isNull() | ((raw != typed.cast("string")) & ~raw.rlike(NUMBER_RE))))
         out.append(F.col(f"_typed_{k}").alias(k))
     if with_extra:
         d = d.withColumn("_e", F.when(tagged, telemetry_entries(F.col(line))))
