@@ -30,16 +30,15 @@ def telemetry_entries(line: Column) -> Column:
         strip(F.substr(p, F.instr(p, "=") + 1)).alias("value")))
 
 
-PART_RE = r"(?:^|\|)\s*([^=|]*?)\s*=([^|]*)"
 NUMBER_RE = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$|^[+-]?(?i:nan|inf|infinity)$"
 
 
-def key_value_arrays(clean: Column) -> tuple[Column, Column]:
-    """Names and values of the ``name=value`` parts of a tag-free line, newest
-    part first.  One forward regex scan per array; a part's name is the text
-    before its first '=', spaces trimmed."""
-    return (F.reverse(F.regexp_extract_all(clean, F.lit(PART_RE), 1)),
-            F.reverse(F.regexp_extract_all(clean, F.lit(PART_RE), 2)))
+def key_value_arrays(parts: Column) -> tuple[Column, Column]:
+    """Names and values of the ``name=value`` parts of a tag-free line cut at '|', newest part first.  A
+    part's name is the text before its first '=', white space trimmed; parts without one have no name."""
+    newest = F.reverse(parts)
+    name = lambda p: F.when(F.instr(p, "=") > 0, strip(F.substring_index(p, "=", 1)))
+    return F.transform(newest, name), F.transform(newest, lambda p: F.substr(p, F.instr(p, "=") + 1))
 
 
 def key_value(names: Column, values: Column, key: str) -> Column:
@@ -94,10 +93,10 @@ def with_telemetry(df: DataFrame, line: str = "line", keep: list[str] | None = N
     ``_bad`` (tagged line with a value that does not parse)."""
     keep = [k for k in (keep or []) if k in df.columns]
     tagged = F.instr(F.col(line), TAG) > 0
-    clean = F.regexp_replace(F.col(line), r"\[TELEMETRY\]", "")
-    names, values = key_value_arrays(clean)
-    d = df.select(*keep, *([] if line in keep else [line]), tagged.alias("_tagged"),
-                  F.when(tagged, names).alias("_k"), F.when(tagged, values).alias("_v"))
+    clean = F.replace(F.col(line), F.lit(TAG), F.lit(""))
+    d = df.select(*keep, *([] if line in keep else [line]), tagged.alias("_tagged"), F.when(tagged, F.split(clean, r"\|")).alias("_parts"))
+    names, values = key_value_arrays(F.col("_parts"))
+    d = d.select(*keep, *([] if line in keep else [line]), "_tagged", names.alias("_k"), values.alias("_v"))
     typed_keys = [*[(k, "bigint") for k in INT_KEYS], *[(k, "double") for k in FLOAT_KEYS]]
     # one projection per step: each raw string and each cast is computed once
     # and read by reference afterwards (CollapseProject keeps non-cheap
