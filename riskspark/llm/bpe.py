@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bulk import BulkTransducer
-from .common import col, slices
+from .common import col, give_back, slices
 
 ROOT = 0
 NONE = -1
@@ -310,7 +310,7 @@ class Codec:
     The memo holds up to ``most`` pieces besides those of the texts at hand; pieces of up to ``short`` bytes
     are encoded in lockstep."""
 
-    most, short = 250_000, 64
+    most, short = 80_000, 64
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.machine = Transducer(ranks)
@@ -414,11 +414,12 @@ def _report(path: str, pattern: str, with_ids: bool, ranks: Broadcast) -> Callab
         c = codec(path, pattern, ranks.value)
         gc.disable()  # scanning the transducer's many tuples costs more than the work; it frees them itself
         try:
-            for part in slices(batches, 1):
+            for part in slices(batches, 1, 1 << 20):
                 yield _rows(c, part, with_ids)
         finally:
             gc.enable()
             c.forget()  # the worker process may live on with other work
+            give_back()
     return run
 
 

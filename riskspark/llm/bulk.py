@@ -78,7 +78,7 @@ class _Rows:
 class BulkTransducer:
     """Encodes lists of pieces; ``machine`` is the ``bpe.Transducer`` whose vocabulary and pair rule it uses."""
 
-    def __init__(self, machine, max_states: int = 400_000, max_pairs: int = 1_000_000):
+    def __init__(self, machine, max_states: int = 120_000, max_pairs: int = 250_000):
         self.machine, self.max_states, self.max_pairs = machine, max_states, max_pairs
         edges = [(node << 8 | byte, child) for node, row in enumerate(machine.kids) for byte, child in row.items()]
         self.trie = Table()

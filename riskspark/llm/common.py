@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -63,6 +64,15 @@ def utf8(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offs - offs[0], raw[offs[0]:offs[-1]]
 
 
+def give_back() -> None:
+    """Return memory that is free but held for reuse, by Arrow and by the C library where it can."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not every C library has it
+        pass
+
+
 def slices(batches: Iterator[pa.RecordBatch], text_index: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Consecutive parts of the batches with about ``most`` bytes of text each (at
     least one row), so that memory per task does not follow the batch size.  A worker that goes on to
@@ -79,7 +89,7 @@ def slices(batches: Iterator[pa.RecordBatch], text_index: int, most: int = SLICE
                 yield batch.slice(at, to - at)
                 at = to
     finally:
-        pa.default_memory_pool().release_unused()
+        give_back()
 
 
 #: Keys up to this number are broadcast as they are (16 bytes each).
