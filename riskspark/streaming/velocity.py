@@ -12,15 +12,20 @@ span and the delay, however long the stream.  Any state store provider will do.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+# the step travels to the workers as it is, so that they need not have this package on their path
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 #: Groups of cards; fixed in a stream's checkpoint.
 GROUPS = 512
 _HELD = pa.schema([("card", pa.string()), ("at_second", pa.int64()), ("cents_paid", pa.int64()), ("row_json", pa.string()), ("written", pa.bool_())])
