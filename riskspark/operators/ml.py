@@ -94,6 +94,13 @@ def scale_pos_weight(dist: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ M4, M5
 #: Rows per partition of the training frame: a round makes one pass per tree level, so small inputs get few tasks.
 TRAIN_ROWS_PER_TASK = 50_000
+#: Rows per partition once every task slot has one: each partition sends its histograms at every level.
+MOST_TRAIN_ROWS_PER_TASK = 500_000
+
+
+def train_partitions(n: int, slots: int) -> int:
+    """Partitions of ``n`` training rows: one wave of tasks as long as these hold ``MOST_TRAIN_ROWS_PER_TASK`` rows at most."""
+    return max(1, min(slots, -(-n // TRAIN_ROWS_PER_TASK)), -(-n // MOST_TRAIN_ROWS_PER_TASK))
 
 
 def fit_risk_model(train: DataFrame, test: DataFrame | None = None, cols: Sequence[str] = MODEL_FEATURES,
@@ -105,9 +112,9 @@ def fit_risk_model(train: DataFrame, test: DataFrame | None = None, cols: Sequen
     with the least test log loss, the rounds being looked at until ``patience`` of them in a row bring no gain
     (see ``best_round``).
 
-    Every row's tree node is cached between the levels of a tree (``cacheNodeIds``), with checkpoints in the shared folder
-    every 10 rounds, so a level costs one pass without walking the tree again and a lost executor does not
-    repeat all rounds.  ``most_rows`` bounds the training rows: each row is drawn with the same probability,
+    A level costs one pass, in which a row finds its node by walking the tree built so far: that is cheaper than
+    Spark's cache of node ids, which is written anew at every level.  Checkpoints in the shared folder every 10 rounds
+    see to it that a lost executor does not repeat all rounds.  ``most_rows`` bounds the training rows: each row is drawn with the same probability,
     by a hash of its inputs, so that about this many stay; all rows count for the weight of positives."""
     ensure_checkpoint_dir(train.sparkSession)  # names the folder of Spark ML's checkpoints
     dist = scale_pos_weight(class_distribution(train, label)).first()
@@ -119,10 +126,10 @@ def fit_risk_model(train: DataFrame, test: DataFrame | None = None, cols: Sequen
     t = t.withColumn("_w", F.when(F.col("label") == 1.0, F.lit(float(w))).otherwise(F.lit(1.0)))
     gbt = GBTClassifier(featuresCol="features", labelCol="label", weightCol="_w", maxDepth=depth,
                         stepSize=rate, maxIter=rounds, lossType="logistic", seed=seed, maxBins=64,
-                        featureSubsetStrategy="all", cacheNodeIds=True, checkpointInterval=10, maxMemoryInMB=512)
+                        featureSubsetStrategy="all", cacheNodeIds=False, checkpointInterval=10, maxMemoryInMB=512)
     assembler = VectorAssembler(inputCols=[f"_mf_{c}" for c in cols], outputCol="features", handleInvalid="keep")
     # GBT makes a pass per level over the training rows: keep the narrow (20 doubles + label) input materialised
-    t = t.repartition(max(1, -(-n // TRAIN_ROWS_PER_TASK))).persist(StorageLevel.MEMORY_AND_DISK)
+    t = t.repartition(train_partitions(n, train.sparkSession.sparkContext.defaultParallelism)).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         model = Pipeline(stages=[assembler, gbt]).fit(t)
     finally:

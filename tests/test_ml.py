@@ -133,3 +133,10 @@ def test_report_with_defaults_flags_missing(spark):
     vals = spark.createDataFrame([("a", 3.0)], "name string, value double")
     got = {r.name: (r.value, r.is_default) for r in ml.report_with_defaults(vals, {"a": 0.0, "b": 9.0}).collect()}
     assert got == {"a": (3.0, False), "b": (9.0, True)}
+
+
+def test_training_partitions_follow_the_slots_and_stay_bounded():
+    assert ml.train_partitions(0, 12) == 1
+    assert ml.train_partitions(60_000, 12) == 2
+    assert ml.train_partitions(2_880_000, 12) == 12          # one wave, not 58 tasks at every level
+    assert ml.train_partitions(172_800_000, 12) == 346       # 500,000 rows a task at most
