@@ -70,6 +70,11 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+#: Rows of a stored file, about; larger inputs get more files.
+ROWS_PER_FILE = 1_000_000
+#: Suppliers up to this number are broadcast (a key and a name each).
+FEW_SUPPLIERS = 500_000
+
 _STORED: dict[tuple[str, str, str], str] = {}
 _STORED_LOCK = threading.RLock()
 
@@ -88,17 +93,23 @@ def stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
 
 
 def _stored_path(spark: SparkSession, key: tuple[str, str, str], build) -> str:
-    from ..session import checkpoint_path
+    from ..session import checkpoint_path, conf_override
     sf_dir, name = key[1], key[2]  # key = (application id, input folder, input name)
     path = _STORED.get(key)
     if path is None:
         import hashlib
         tag = hashlib.sha1(key[1].encode()).hexdigest()[:12]
         path = checkpoint_path(spark, "inputs", f"{name}-{tag}-{key[0]}")
-        # one file per task slot, so that reading the stored table is parallel
-        # (the small test files hold a single row group each)
         parts = max(1, spark.sparkContext.defaultParallelism)
-        build(spark, sf_dir).repartition(parts).write.mode("overwrite").option("compression", "snappy").parquet(path)
+        df, rows = build(spark, sf_dir), _read(spark, sf_dir, "lineitem").count() if name == "tx" else 0
+        if rows <= parts * ROWS_PER_FILE:
+            # one file per task slot, so that reading the stored table is parallel
+            # (the small test files hold a single row group each)
+            df = df.repartition(parts)
+        else:  # rows stay where the join on the order key left them: the wide rows are not shuffled again
+            parts = -(-rows // ROWS_PER_FILE)
+        with conf_override(spark, "spark.sql.shuffle.partitions", str(parts)):
+            df.write.mode("overwrite").option("compression", "snappy").parquet(path)
         _STORED[key] = path
     return path
 
@@ -111,11 +122,9 @@ def tx(spark: SparkSession, sf_dir: str) -> DataFrame:
 def build_tx(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Transactions (raw schema + rule score) from lineitem ⋈ orders ⋈ customer ⋈ nation ⋈ supplier.
 
-    lineitem/orders is a large-large equi-join (shuffle on the order key).
-    nation has a fixed 25 rows and is broadcast behind a row-count check;
-    customer and supplier grow with the data and are left to Catalyst/AQE,
-    which broadcasts them only when their measured size is under the
-    threshold.
+    Orders get their customer first, which is the smaller of the large joins; lineitem meets them in one equi-join
+    (shuffle on the order key), the only one that moves its rows.  Up to ``FEW_SUPPLIERS`` suppliers (counted) are
+    broadcast; more are left to Catalyst/AQE, as are customer and nation.
     """
     li = _read(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice",
@@ -124,10 +133,12 @@ def build_tx(spark: SparkSession, sf_dir: str) -> DataFrame:
     cu = _read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
     na = _read(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     su = _read(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
-    joined = (li.join(od, li.l_orderkey == od.o_orderkey)
-                .join(cu, F.col("o_custkey") == cu.c_custkey)
-                .join(na, F.col("c_nationkey") == na.n_nationkey)
-                .join(su, F.col("l_suppkey") == su.s_suppkey))
+    if su.count() <= FEW_SUPPLIERS:
+        su = F.broadcast(su)
+    ordered = (od.join(cu, F.col("o_custkey") == cu.c_custkey)
+                 .join(na, F.col("c_nationkey") == na.n_nationkey))
+    joined = (li.join(ordered, F.col("l_orderkey") == F.col("o_orderkey"))
+                .join(su, F.col("l_suppkey") == F.col("s_suppkey")))
     return joined.selectExpr(*[f"{e.format(epoch=SPARK_EPOCH)} as {a}" for a, e in TX_COLUMNS])
 
 

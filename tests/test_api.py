@@ -9,6 +9,7 @@ from riskspark.operators import counters as ct
 from riskspark.operators import pressure as pr
 from riskspark.operators import samples as sm
 from riskspark.sources import fixtures as fx
+from support import SF_SMALL
 
 
 def test_optional_features_follow_the_schema(spark):
@@ -58,3 +59,15 @@ def test_counter_reset_and_filters(spark):
     assert {x["mode"] for x in by} == {"idle", "user"}
     inst = sm.instant(s, lookback_seconds=86400, metric="c", match={"mode": "idle"}).collect()
     assert [x.value for x in inst] == [8.0]
+
+
+def test_large_transactions_are_not_shuffled_again(spark, monkeypatch):
+    """Beyond a file per task slot the stored transactions are written as the join leaves them, in files of bounded size."""
+    want = fx.build_tx(spark, SF_SMALL)
+    monkeypatch.setattr(fx, "ROWS_PER_FILE", 300)
+    monkeypatch.setattr(fx, "_STORED", {})
+    plans = []
+    monkeypatch.setattr(type(want), "repartition", lambda df, *a: plans.append(a) or df)
+    got = fx.tx(spark, SF_SMALL)
+    assert not plans
+    assert got.count() == want.count() and got.exceptAll(want).isEmpty()
