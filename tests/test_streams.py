@@ -169,3 +169,50 @@ def test_smoothing_stream_replays_a_batch(spark):
     st.run_to_end(start)
     assert out() == want
     assert {r.k for r in spark.read.parquet(f"{base}/state/batch_id=2").collect()} == {"a", "bb", "old"}
+
+
+def test_velocity_step_needs_no_package_on_the_workers(tmp_path):
+    """A worker that has only pyspark, numpy, pandas and pyarrow can load the step."""
+    import os
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    from riskspark.streaming.velocity import velocity_step
+    (tmp_path / "step").write_bytes(cloudpickle.dumps(velocity_step(3600)))
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    code = "import pickle; pickle.load(open('step', 'rb')); import sys; assert not [m for m in sys.modules if m.startswith('riskspark')]"
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0, done.stderr
+
+
+def test_large_deliveries_come_in_more_files(spark, monkeypatch):
+    from riskspark.plans import catalog
+    catalog.queries()
+    from riskspark.plans import q_streams
+    monkeypatch.setattr(fx, "ROWS_PER_FILE", 100)
+    path = checkpoint_path(spark, "test-deliver", uuid.uuid4().hex)
+    each = q_streams._deliver(spark.range(1200), path)
+    assert each == 3
+    files = spark.read.parquet(path).groupBy(F.input_file_name()).count().collect()
+    assert len(files) == 12 and max(r["count"] for r in files) <= 150 and sum(r["count"] for r in files) == 1200
+
+
+def test_audited_files_stay_small(spark, monkeypatch, tmp_path):
+    from riskspark.plans import catalog
+    catalog.queries()
+    from riskspark.plans import q_streams
+    monkeypatch.setattr(fx, "ROWS_PER_FILE", 100)
+    spark.range(2100).selectExpr("id as l_orderkey", "cast(id % 7 + 1 as int) as l_linenumber", "cast(id as double) as l_quantity").write.parquet(
+        f"{tmp_path}/lineitem.parquet")
+    sizes, move = [], folders.move_files
+
+    def watched(spark, folder, *args, **more):
+        sizes.extend(r["count"] for r in spark.read.parquet(folder).groupBy(F.input_file_name()).count().collect())
+        move(spark, folder, *args, **more)
+
+    monkeypatch.setattr(folders, "move_files", watched)
+    out = q_streams.stream_audited(spark, str(tmp_path)).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.max("times").alias("t")).collect()
+    assert {r["kind"]: (r["n"], r["t"]) for r in out} == {"row": (1800, 1), "broken file": (1, 1)}
+    assert len(sizes) == 21 and max(sizes) <= 150
