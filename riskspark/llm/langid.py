@@ -7,9 +7,9 @@ one model per language: sorted arrays of n-gram hashes for the orders 4 to 1, wi
 interpolated Kneser-Ney probability of each n-gram and the back-off weight of each context.
 
 A text's language is the one with the lowest cross-entropy per character.  Softmax over the
-negative cross-entropies, with a temperature fitted on a bounded sample of learning rows,
-gives the confidence; ``rejected`` marks texts whose cross-entropy exceeds what all but
-``reject_share`` of that sample have in their own language.
+negative cross-entropies, with a temperature fitted on all learning rows, gives the
+confidence; ``rejected`` marks texts whose cross-entropy exceeds what all but
+``reject_share`` of the learning rows have in their own language (to a ``BINS``-th of a bit).
 
 No n-gram is left out.  Models of up to ``broadcast_entries`` summed (language, 4-gram) rows are
 broadcast; larger ones stay Spark tables partitioned and sorted by n-gram (``TableModels``), built by
@@ -24,21 +24,24 @@ empty results; other columns are ignored.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_sample, col, fresh, held_out, slices, stored
+from .common import col, fresh, held_out, slices, stored
 
 ORDER = 4
 UND = "und"
 UNSEEN = 1.0 / 65536
 SCALE = 1 << 24
+BINS = 4096
 _TABLE: list[np.ndarray] = []
 
 
@@ -167,18 +170,41 @@ class Decision:
         limit = np.array([self.limits.get(x, np.inf) for x in self.langs])[best]
         return [self.langs[b] if ok else UND for b, ok in zip(best, has)], np.where(has, score, 0.0), ~has | (lowest > limit)
 
-    def calibrate(self, langs: list[str], h: np.ndarray, reject_share: float) -> None:
-        """Temperature and limits from the cross-entropies of rows of known languages."""
-        own = np.array([self.langs.index(x) for x in langs])
+    def calibrate(self, measured: DataFrame, reject_share: float) -> None:
+        """Temperature and limits from ``measured(lang, n, h)``: cross-entropies of rows of known languages.
 
-        def loss(t):
-            z = -t * (h - h.min(1, keepdims=True))
-            return float(np.mean(np.log(np.exp(z).sum(1)) - z[np.arange(len(own)), own]))
-        self.sharpness = min((0.5 * 1.5 ** i for i in range(16)), key=lambda t: (loss(t), t))
-        for i, lang in enumerate(self.langs):
-            mine = h[own == i, i]
-            if len(mine):
-                self.limits[lang] = float(np.quantile(mine, 1 - reject_share) * 1.05)
+        Tasks add up the loss at each temperature and count the rows per language and ``BINS``-th of a bit (rounded up),
+        so the driver sees a histogram, whatever the number of rows."""
+        place, steps = {x: i for i, x in enumerate(self.langs)}, [0.5 * 1.5 ** i for i in range(16)]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            losses, bins = np.zeros(len(steps)), Counter()
+            for part in batches:
+                part = part.filter(pc.greater(part.column(1), 0))
+                if not part.num_rows:
+                    continue
+                own = np.array([place[x] for x in part.column(0).to_pylist()])
+                h = part.column(2).flatten().to_numpy().reshape(-1, len(place))
+                gap, each = h - h.min(1, keepdims=True), np.arange(len(own))
+                for i, t in enumerate(steps):
+                    losses[i] += float((np.log(np.exp(-t * gap).sum(1)) + t * gap[each, own]).sum())
+                bins.update(zip(own.tolist(), np.ceil(h[each, own] * BINS).astype(np.int64).tolist()))
+            if bins:
+                rows = [(-1, i, x) for i, x in enumerate(losses.tolist())] + [(lang, b, float(n)) for (lang, b), n in bins.items()]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.float64()))],
+                                                 names=["lang", "bin", "value"])
+
+        found = measured.select("lang", "n", "h").mapInArrow(run, "lang int, bin long, value double").groupBy("lang", "bin").agg(
+            F.sum("value").alias("value")).toPandas().sort_values(["lang", "bin"])
+        if not len(found):
+            return
+        loss = found[found["lang"] == -1]["value"].to_numpy()
+        self.sharpness = min(zip(loss, steps))[1]
+        for i, mine in found[found["lang"] >= 0].groupby("lang"):
+            upto = mine["value"].to_numpy().cumsum()
+            at = (upto[-1] - 1) * (1 - reject_share)
+            low, high = (mine["bin"].to_numpy()[np.searchsorted(upto, x, side="right")] / BINS for x in (np.floor(at), np.ceil(at)))
+            self.limits[self.langs[i]] = float((low + (high - low) * (at - np.floor(at))) * 1.05)
 
 
 class LanguageModels(Decision):
@@ -326,10 +352,9 @@ class TableModels(Decision):
         return rows.select("row", "lang").join(self.sums(rows), "row").select("lang", "n", h.alias("h"))
 
 
-def fit(rows: DataFrame, broadcast_entries: int = 4_000_000, sample_rows: int = 4000,
-        reject_share: float = 0.001) -> LanguageModels | TableModels:
-    """Models from all ``rows(id, lang, text)``; ``sample_rows`` bounds the rows of the calibration only (also where an id repeats),
-    ``broadcast_entries`` the models that are held in memory."""
+def fit(rows: DataFrame, broadcast_entries: int = 4_000_000, reject_share: float = 0.001) -> LanguageModels | TableModels:
+    """Models, temperature and limits from all ``rows(id, lang, text)``; ``broadcast_entries`` bounds the models that are
+    held in memory."""
     counts = stored(count_grams(rows), "langid-counts")
     if counts.count() > broadcast_entries:
         model = TableModels(counts, sorted(r["lang"] for r in counts.select("lang").distinct().collect()))
@@ -338,11 +363,7 @@ def fit(rows: DataFrame, broadcast_entries: int = 4_000_000, sample_rows: int =
                                 for lang, part in counts.toPandas().groupby("lang", sort=True)})
     if not model.langs:
         return model
-    ids = rows.filter("id is not null").select("id").orderBy(F.xxhash64(F.col("id").cast("string")), "id").limit(sample_rows)
-    pick = bounded_sample(rows, ids.distinct(), sample_rows)
-    seen = sorted((r["lang"], r["h"]) for r in model.measured(pick).collect() if r["n"])
-    if seen:
-        model.calibrate([lang for lang, _ in seen], np.array([h for _, h in seen]), reject_share)
+    model.calibrate(model.measured(rows), reject_share)
     return model
 
 

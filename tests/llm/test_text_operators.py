@@ -230,3 +230,21 @@ def test_toxicity_edges(spark, awkward):
     rows = toxicity.report(docs, labels, trees=2, depth=2).collect()
     assert len(rows) == len(AWKWARD) + 60 and all(0 <= r.score <= 1 for r in rows)
     assert toxicity.report(docs.limit(0), labels).count() == 0
+
+
+def test_language_calibration_sees_every_learning_row(spark, monkeypatch):
+    import numpy as np
+
+    from riskspark.llm import langid
+    words = {"en": ["the", "house", "with", "thing"], "de": ["das", "haus", "mit", "ding"]}
+    rows = [(i, lang, " ".join(w[(i * k + k) % 4] for k in range(1, 4 + i % 5))) for i in range(2500) for lang, w in words.items()]
+    df = spark.createDataFrame(rows, "id long, lang string, text string")
+    seen, measured = [], langid.LanguageModels.measured
+    monkeypatch.setattr(langid.LanguageModels, "measured", lambda self, r: seen.append(r.count()) or measured(self, r))
+    model = langid.fit(df, reject_share=0.1)
+    assert seen == [5000]
+    h, n = model.cross_entropy([t for _, _, t in rows])
+    own = np.array([model.langs.index(lang) for _, lang, _ in rows])
+    for i, lang in enumerate(model.langs):
+        want = np.quantile(h[own == i, i], 0.9) * 1.05
+        assert abs(model.limits[lang] - want) <= 1.05 / langid.BINS
