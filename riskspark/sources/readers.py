@@ -201,8 +201,18 @@ def quarantine(df: DataFrame, schema: T.StructType, required: Sequence[str] = ()
     return good, bad
 
 
-def dedupe_batches(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
+#: Rows that one task of ``dedupe_batches`` compares, about.
+DEDUPE_ROWS = 250_000
+
+
+def dedupe_batches(df: DataFrame, cols: Sequence[str] | None = None, rows: int | None = None) -> DataFrame:
     """Drop repeated rows (a republished batch) -- whole-row identity, since
-    the data has no unique key.  Hash aggregation with map-side combine, so
-    a row repeated many times collapses before the shuffle."""
-    return df.dropDuplicates(list(cols)) if cols else df.dropDuplicates()
+    the data has no unique key.  Hardly any row repeats within a task's input, and
+    a combine before the shuffle would hold all of it; so equal rows first meet in
+    partitions whose number follows ``rows`` (counted if not given).  Values of
+    ``cols`` may be few, so these are combined before the shuffle."""
+    if cols or len({c.lower() for c in df.columns}) < len(df.columns):  # columns of one name can't be named for a partition
+        return df.dropDuplicates(list(cols)) if cols else df.dropDuplicates()
+    n = -(-(df.count() if rows is None else rows) // DEDUPE_ROWS)
+    names = ["`" + c.replace("`", "``") + "`" for c in df.columns]
+    return df.repartition(max(n, df.sparkSession.sparkContext.defaultParallelism), *names).dropDuplicates()

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from riskspark import session
 from riskspark.functions import text
 from riskspark.operators import ml, samples as sm, series, windows
+from riskspark.sources import readers as rd
 from riskspark.streaming import streams as st
 
 
@@ -67,6 +68,24 @@ def test_stream_dedupe_keeps_late_first_copies(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 300
 
 
+def test_dedupe_batches_holds_few_rows_in_a_task(spark, monkeypatch, capsys):
+    """No rows are held before the shuffle, and a task after it gets a bounded number of them."""
+    monkeypatch.setattr(rd, "DEDUPE_ROWS", 50)
+    odd = [(None, None, None), (None, "", None), (0, "a", 0.0), (0, "a", -0.0), (0, "a", float("nan")), (0, "a", float("nan"))]
+    rows = [(i % 1000, f"s{i % 1000}", i % 1000 / 4) for i in range(1100)] + odd * 3
+    d = spark.createDataFrame(rows, "`k.1` long, `s``` string, v double")
+    got = rd.dedupe_batches(d)
+    got.explain()
+    plan = capsys.readouterr().out
+    assert plan.count("Exchange") == 1 and "Aggregate" not in plan.partition("Exchange")[2]
+    assert max(r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()) <= 100
+    assert got.count() == 1004 and sorted(map(str, got.collect())) == sorted(map(str, d.dropDuplicates().collect()))
+    assert rd.dedupe_batches(d, rows=1).count() == 1004 and rd.dedupe_batches(d.limit(0)).count() == 0
+    same_names = d.selectExpr("v as x", "`k.1` as X")
+    assert rd.dedupe_batches(same_names).count() == same_names.dropDuplicates().count()
+    assert rd.dedupe_batches(d, ["s`"]).count() == 1003
+
+
 def test_unreadable_registry_is_an_error(spark, tmp_path):
     assert ml.registry_table(spark, str(tmp_path / "none")) is None and ml.next_version(spark, str(tmp_path / "none")) == 1
     os.makedirs(tmp_path / "bad/_registry")
