@@ -1,11 +1,11 @@
 """Split, train, evaluate, register and score (M1-M13, P1) with Spark ML.
 
 The model is a ``Pipeline`` of ``VectorAssembler`` (the 20 ordered features,
-missing ones as 0) and ``GBTClassifier`` with the reference's settings
-(depth 8, step 0.1, 100 rounds, logistic loss), class weighting through
-``weightCol`` and a validation column for early stopping.  Training data is
-never collected: the split is a filter on an exact cut, the class counts are
-one aggregate, and GBT trains on the distributed frame.
+missing ones as 0) and a ``GBTClassificationModel`` with the reference's settings
+(depth 8, step 0.1, 100 rounds, logistic loss), positives weighted by class, cut at
+the round with the least test loss.  Training data is never collected: the split is a
+filter on an exact cut, the class counts are one aggregate, and ``boosting`` trains on
+the distributed frame.
 """
 
 from __future__ import annotations
@@ -16,18 +16,17 @@ from dataclasses import dataclass
 from typing import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.features import FRAUD_THRESHOLD, MODEL_FEATURES, model_columns
 from ..session import ensure_checkpoint_dir
 from ..sources.metric_store import write_metrics
+from . import boosting
 from .counters import VALUE
 from .selection import at_cut, kth_cut, upto_cut
 
@@ -92,9 +91,9 @@ def scale_pos_weight(dist: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ M4, M5
-#: Rows per partition of the training frame: a round makes one pass per tree level, so small inputs get few tasks.
+#: Rows per training task: tasks meet at every tree level, so small inputs get few of them.
 TRAIN_ROWS_PER_TASK = 50_000
-#: Rows per partition once every task slot has one: each partition sends its histograms at every level.
+#: Rows per partition once every task slot has one.
 MOST_TRAIN_ROWS_PER_TASK = 500_000
 
 
@@ -112,28 +111,21 @@ def fit_risk_model(train: DataFrame, test: DataFrame | None = None, cols: Sequen
     with the least test log loss, the rounds being looked at until ``patience`` of them in a row bring no gain
     (see ``best_round``).
 
-    A level costs one pass, in which a row finds its node by walking the tree built so far: that is cheaper than
-    Spark's cache of node ids, which is written anew at every level.  Checkpoints in the shared folder every 10 rounds
-    see to it that a lost executor does not repeat all rounds.  ``most_rows`` bounds the training rows: each row is drawn with the same probability,
+    Rows are binned once and stay with their tasks for all levels and rounds (see ``boosting``).
+    ``most_rows`` bounds the training rows: each row is drawn with the same probability,
     by a hash of its inputs, so that about this many stay; all rows count for the weight of positives."""
-    ensure_checkpoint_dir(train.sparkSession)  # names the folder of Spark ML's checkpoints
     dist = scale_pos_weight(class_distribution(train, label)).first()
     n, w = dist["positives"] + dist["negatives"], dist["scale_pos_weight"]
     t = train.select(*_inputs(train, cols), F.col(label).cast("double").alias("label"))
     if most_rows is not None and n > most_rows:
         part = F.pmod(F.xxhash64(F.lit(seed), *t.columns), F.lit(1 << 30)) / float(1 << 30)
         t, n = t.where(part < most_rows / n), most_rows
-    t = t.withColumn("_w", F.when(F.col("label") == 1.0, F.lit(float(w))).otherwise(F.lit(1.0)))
-    gbt = GBTClassifier(featuresCol="features", labelCol="label", weightCol="_w", maxDepth=depth,
-                        stepSize=rate, maxIter=rounds, lossType="logistic", seed=seed, maxBins=64,
-                        featureSubsetStrategy="all", cacheNodeIds=False, checkpointInterval=10, maxMemoryInMB=512)
+    gbt = GBTClassifier(featuresCol="features", labelCol="label", maxDepth=depth,
+                        stepSize=rate, maxIter=rounds, lossType="logistic", seed=seed, maxBins=64, featureSubsetStrategy="all")
     assembler = VectorAssembler(inputCols=[f"_mf_{c}" for c in cols], outputCol="features", handleInvalid="keep")
-    # GBT makes a pass per level over the training rows: keep the narrow (20 doubles + label) input materialised
-    t = t.repartition(train_partitions(n, train.sparkSession.sparkContext.defaultParallelism)).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        model = Pipeline(stages=[assembler, gbt]).fit(t)
-    finally:
-        t.unpersist(blocking=True)
+    slots = train.sparkSession.sparkContext.defaultParallelism
+    trees = boosting.BoostedTrees(gbt, assembler.getInputCols(), "label", float(w), min(train_partitions(n, slots), slots))
+    model = Pipeline(stages=[assembler, trees]).fit(t)
     if test is None:
         return model
     losses = round_losses(model, test, cols, label)
@@ -142,12 +134,7 @@ def fit_risk_model(train: DataFrame, test: DataFrame | None = None, cols: Sequen
 
 def round_losses(model: PipelineModel, test: DataFrame, cols: Sequence[str] = MODEL_FEATURES, label: str = "is_fraud") -> list[float]:
     """Mean log loss on ``test`` after each round, rows unweighted (empty without rows)."""
-    v = test.select(*_inputs(test, cols), F.col(label).cast("double").alias("label"))
-    v = model.stages[0].transform(v).select("features", "label", F.lit(1.0).alias("_w")).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return [] if v.isEmpty() else list(model.stages[-1].evaluateEachIteration(v))
-    finally:
-        v.unpersist(blocking=True)
+    return boosting.losses(model.stages[-1], test.select(*_inputs(test, cols), F.col(label).cast("double").alias("label")))
 
 
 def best_round(losses: Sequence[float], patience: int) -> int:
@@ -187,13 +174,9 @@ def score(df: DataFrame, model: PipelineModel, cols: Sequence[str] = MODEL_FEATU
     """Positive-class probability as ``fraud_score`` and ``fraud_prediction``
     (score >= threshold).  The feature columns are rebuilt in order with
     missing ones as 0, then the original columns are kept."""
-    clf = model.stages[-1]
-    # only the probability is needed: skip the raw-score and label columns, so
-    # the trees are evaluated once per row
-    clf = clf.copy({clf.rawPredictionCol: "", clf.predictionCol: "", clf.probabilityCol: "probability"})
-    out = PipelineModel(model.stages[:-1] + [clf]).transform(df.select("*", *_inputs(df, cols)))
-    p = vector_to_array(F.col("probability"))[1]
-    res = out.select(*df.columns, p.alias("fraud_score"))
+    inputs = dict(zip((f"_mf_{n}" for n in cols), model_columns(df, list(cols))))
+    p = boosting.probability(model.stages[-1])(*[inputs[c] for c in model.stages[0].getInputCols()])
+    res = df.select("*", p.alias("fraud_score"))
     return res.withColumn("fraud_prediction", (F.col("fraud_score") >= threshold).cast("int"))
 
 
