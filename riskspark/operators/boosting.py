@@ -248,7 +248,7 @@ def best_splits(n: np.ndarray, g: np.ndarray, weight: float) -> tuple[np.ndarray
         good = (rows > 0) & (rows < all_rows) & (w > 0) & (all_w - w > 0) & (gain > 1e-12 * whole)
         gain = np.where(good, gain / all_w, 0.0)
     k, bins = gain.shape[1], gain.shape[2]
-    best = gain.transpose(1, 0, 2).reshape(k, -1).argmax(axis=1)
+    best = gain.transpose(1, 0, 2).reshape(k, len(gain) * bins).argmax(axis=1)
     j, b, i = best // bins, best % bins, np.arange(k)
     return gain[j, i, b], j, b, n[j, i, :, b], g[j, i, b]
 
